@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -14,11 +16,15 @@ from pyspark.sql import functions as F
 from skein.llm.words import Words, slices
 
 #: Words a worker remembers besides the broadcast ones; a full cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+
+#: What a worker process keeps from task to task: the tokenizer it last used and that one's word lengths.
+_kept: dict[bytes, tuple[Callable[[list[str]], list[int]], dict[bytes, int]]] = {}
 
 
 def load_counter(content: bytes) -> Callable[[list[str]], list[int]]:
     """Token counts of strings by the `tokenizers` library, nothing added, special strings as its default has them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part; threads of its own only hold memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content.decode())
@@ -27,6 +33,14 @@ def load_counter(content: bytes) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _of_worker(content: bytes) -> tuple[Callable[[list[str]], list[int]], dict[bytes, int]]:
+    key = hashlib.sha256(content).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = load_counter(content), {}
+    return _kept[key]
+
+
 def count_tokens(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, frequent: int = 32_768, sample_rows: int = 2_000) -> DataFrame:
     """Tokens of every whole text.
 
@@ -55,18 +69,17 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, max_tokens: int = 2048, f
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, known = shared.value
-        encode = load_counter(content)
-        cache: dict[bytes, int] = {}
+        encode, cache = _of_worker(content)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 words = Words(part.column("text"))
                 codes, distinct = words.encoded()
                 missing = [w for w in distinct if w not in known and w not in cache]
                 if len(cache) + len(missing) > CACHE_WORDS:
                     cache.clear()
                     missing = [w for w in distinct if w not in known]
-                for i in range(0, len(missing), 4096):
-                    some = missing[i : i + 4096]
+                for i in range(0, len(missing), 1024):
+                    some = missing[i : i + 1024]
                     cache.update(zip(some, encode([w.decode() for w in some]), strict=True))
                 lengths = np.fromiter((known[w] if w in known else cache[w] for w in distinct), np.int64, len(distinct))
                 n = words.sums(lengths[codes]) if len(distinct) else np.zeros(part.num_rows, np.int64)
