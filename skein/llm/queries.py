@@ -38,6 +38,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects, with their scores."""
+    from skein.llm.quality import select_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return select_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str, delta_chars: int = 256) -> DataFrame:
     """Every row becomes a created message; an assistant's text arrives as streamed deltas of delta_chars."""
     from skein.llm.chat_format import format_chats, read_chats
@@ -67,7 +75,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str, delta_chars: int = 256) ->
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.substring_dedup import substring_dedup
 
-    out = substring_dedup(_table(spark, sf_dir, "documents"), width=13)
+    out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -88,6 +96,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the windows where they do."""
+    from skein.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by which languages reach fixed shares; the labelled documents' languages are the labelled table."""
+    from skein.llm.mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.col("lang").alias("domain"))
+    return mix(docs, labelled, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}).select("doc_id", "lang", "n_tokens", "posterior", "rate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -62,11 +62,9 @@ class _Windows:
 
     def __init__(self, blob: bytes, width: int, bits: int):
         table = _unpacked(blob)
-        self.ids = table.column("doc_id").combine_chunks()
-        self.texts = table.column("text").combine_chunks()
-        self.ids, self.texts = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (self.ids, self.texts))
-        self.words = Words(self.texts)
-        order_of = np.asarray(pc.fill_null(self.ids, _LAST))
+        self.rows = table.to_batches()[0]
+        self.words = Words(self.rows.column("text"))
+        order_of = np.asarray(pc.fill_null(self.rows.column("doc_id"), _LAST))
         self.starts = self.words.full(width)
         self.owner = order_of[self.words.text_of()[self.starts]]
         # the upper bits are the bucket; one low bit goes for each but the seventh
@@ -97,10 +95,10 @@ def _decode(counts: bytes, low: bytes, table: bytes, index: bytes) -> tuple[np.n
 def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     """Removes the words of every window of `width` words that a document with a smaller id has too.
 
-    docs: doc_id, text; other columns are ignored. Words are [^\\x20\\x09-\\x0D]+, unchanged; all
-    windows of whole texts are judged on the input. Returns doc_id, n_words, n_removed, kept_text
-    (kept words joined by one space), removed (array<struct<first, last>>: the maximal removal
-    intervals by word number), one row per input row. Null, blank and short texts have no windows
+    docs: doc_id, text and any other columns, which stay (those named as the new ones are
+    replaced). Words are [^\\x20\\x09-\\x0D]+, unchanged; all windows of whole texts are judged on the
+    input. Adds n_words, n_removed, kept_text (kept words joined by one space), removed
+    (array<struct<first, last>>: the maximal removal intervals by word number), one row per input row. Null, blank and short texts have no windows
     and lose nothing; rows of one doc_id do not count as smaller than each other; a null doc_id
     counts as the largest.
 
@@ -112,7 +110,9 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     entries. Hashes keep 56 bits besides the bucket's (at least 6), so the chance that any of n
     windows is removed wrongly is about n^2 / 2^(57 + bucket bits): 0.1 % at 10^8 windows.
     """
-    chunks, _ = materialize(_chunked(docs.select(F.col("doc_id").cast("long"), "text"), width), "chunks")
+    new = "n_words long, n_removed long, kept_text string, removed array<struct<first:int,last:int>>"
+    docs = docs.drop("n_words", "n_removed", "kept_text", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
+    chunks, _ = materialize(_chunked(docs, width), "chunks")
     windows = chunks.agg(F.sum("windows")).first()[0] or 0
     bits = max(6, math.ceil(math.log2(max(1, windows / BUCKET_WINDOWS))))
 
@@ -160,7 +160,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     packed = chunks.select("chunk", "blob").mapInArrow(sent, "bucket int, chunk long, counts binary, low binary, ids binary, index binary")
     answers = packed.groupBy("bucket").applyInArrow(answered, "chunk long, bucket int, bits binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    schema = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:int,last:int>>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), new])
     return chunks.join(answers, "chunk", "left").select("blob", "answers").mapInArrow(cut, schema)
 
 
@@ -188,7 +188,7 @@ def _removed(w: _Windows, starts: np.ndarray, width: int) -> Iterator[pa.RecordB
     at = ends[words.offsets]
     kept = [text[s : max(s, e - 1)].decode() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     batch = pa.RecordBatch.from_arrays(
-        [w.ids, pa.array(np.diff(words.offsets).astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), removed],
-        ["doc_id", "n_words", "n_removed", "kept_text", "removed"],
+        [*w.rows.columns, pa.array(np.diff(words.offsets).astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), removed],
+        [*w.rows.schema.names, "n_words", "n_removed", "kept_text", "removed"],
     )
     yield from slices(batch, "kept_text", 4 << 20)
