@@ -1,15 +1,21 @@
-"""Registered queries over the supplied tables, each with its SQL."""
+"""Every registered query of the library."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import registry
+
+for _name in ("scan_queries",):
+    import_module(f"skein.plans.{_name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
