@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans import registry
 
-for _name in ("scan_queries",):
+for _name in ("scan_queries", "stats_queries", "pattern_queries"):
     import_module(f"skein.plans.{_name}")
 
 
@@ -19,3 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return registry.ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version graph statistics."""
+    return registry.QUERIES["A3_version_graph_stats"](spark, sf_dir)
