@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs:
             break
         s, y = rate * step, new_grad - grad
         theta = theta + s
-        done = now - new < 1e-3 * max(now, 1e-6)
+        done = now - new < 1e-5 * max(now, 1e-6)
         now, grad = new, new_grad
         if float(s @ y) > 1e-12:
             pairs = [*pairs[-7:], (s, y)]

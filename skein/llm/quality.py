@@ -37,8 +37,16 @@ def cumulative_link(rest: np.ndarray, y: np.ndarray, scores: np.ndarray) -> tupl
 
 
 def fit_ordinal(labelled: DataFrame, grades: int, bits: int = BITS) -> np.ndarray:
-    """Weights and thresholds, flat, from labelled (text, y in 0..grades-1): shared weights, ordered thresholds."""
-    return fit(labelled, cumulative_link, np.concatenate([[-1.0], np.zeros(grades - 2)]), bits)
+    """Weights and thresholds, flat, from labelled (text, y in 0..grades-1): shared weights, ordered thresholds.
+
+    Thresholds start where the grades' shares put them (one more of each grade than there are).
+    """
+    counts = np.ones(grades)
+    for r in labelled.where("y is not null").groupBy("y").count().collect():
+        counts[r["y"]] += r["count"]
+    share = np.cumsum(counts)[:-1] / counts.sum()
+    cuts = np.log(share / (1 - share))
+    return fit(labelled, cumulative_link, np.concatenate([cuts[:1], np.log(np.diff(cuts))]), bits)
 
 
 def grade(docs: DataFrame, theta: np.ndarray, grades: int, bits: int = BITS) -> DataFrame:
