@@ -92,12 +92,13 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray, np.ndarray]]
 
 
-def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs: int = 1, ridge: float = 1e-5, rounds: int = 60, tasks: int = 6, prefixes: tuple[int, ...] = PREFIXES) -> np.ndarray:
+def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs: int = 1, prior: float = 8.0, rounds: int = 60, tasks: int = 6, prefixes: tuple[int, ...] = PREFIXES) -> np.ndarray:
     """Weights [2^bits x outputs] and other parameters, flat, by L-BFGS on the mean loss.
 
     labelled: text, y. Features are computed once and kept in the shared folder; each step is a
     Spark job in which every task gives one partial loss and gradient. The driver holds parameters
-    and `tasks` partial gradients, whatever the number of rows.
+    and `tasks` partial gradients, whatever the number of rows. Weights have a normal prior of variance
+    1 / prior, so that few rows are held back more than many.
     """
     spark = labelled.sparkSession
     size = (1 << bits) * outputs
@@ -115,6 +116,7 @@ def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs:
     theta = np.concatenate([np.zeros(size), extra])
     if not n:
         return theta
+    ridge = prior / n
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(theta)

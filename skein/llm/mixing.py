@@ -39,7 +39,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     number = F.coalesce(*[F.when(F.col("domain") == d, i) for i, d in enumerate(domains)])
     y = labelled.select("doc_id", number.alias("y")).where("y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     k = len(domains)
-    theta = fit(labelled_sample(docs, y, sample_rows).select("text", "y"), softmax_loss, np.zeros(0), BITS, outputs=k, ridge=1e-4, rounds=15, prefixes=())
+    theta = fit(labelled_sample(docs, y, sample_rows).select("text", "y"), softmax_loss, np.zeros(0), BITS, outputs=k, prior=0.8, rounds=15, prefixes=())
     shared = docs.sparkSession.sparkContext.broadcast(theta.astype(np.float32))
 
     def score(bucket: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
