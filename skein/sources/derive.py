@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.storage import materialize
+
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 _NODES = """
@@ -88,8 +90,16 @@ def _filled(text: str, words: dict[str, str]) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: words[m[1]], text)
 
 
+#: Graph tables that were written in this process: (application, folder of the base tables, name) -> path.
+_written: dict[tuple[str, str, str], str] = {}
+
+
 class Derived:
-    """Base tables as attributes by their names, derived ones by the names in SQL; each is read when first asked for."""
+    """Base tables as attributes by their names, derived ones by the names in SQL; each is read when first asked for.
+
+    The graph itself is loaded once: nodes and edges are written as Parquet to the shared folder
+    when first asked for, so that queries which join them several times scan columns of a table.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -104,9 +114,17 @@ class Derived:
             else:
                 used = {b for b in re.findall(r"\{(\w+)\}", SQL[name]) if b in BASE}
                 text = _filled(SQL[name], {b: "{" + b + "}" for b in BASE} | _SPARK)
-                self._held[name] = self.spark.sql(text, **{b: getattr(self, b) for b in used})
+                self._held[name] = self._loaded(name, self.spark.sql(text, **{b: getattr(self, b) for b in used}))
         return self._held[name]
 
+    def _loaded(self, name: str, made: DataFrame) -> DataFrame:
+        if name not in ("nodes", "edges"):
+            return made
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            _, _written[key] = materialize(made, name)
+        return self.spark.read.schema(made.schema).parquet(_written[key])
+
     @cached_property
     def v1_nodes(self) -> DataFrame:
         return self.nodes.where("in_v1")
