@@ -62,6 +62,40 @@ def shingle_runs(texts: pa.Array, width: int) -> tuple[Words, np.ndarray, np.nda
     return words, first[order], last[order], offsets
 
 
+def _shingle_hashes(words: Words, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    one = words.hashes(42)
+    h = rolling(one, first, 1)
+    for j in range(1, width):
+        inside = first + j <= last
+        h[inside] = mixed(h[inside] * np.uint64(3) + one[first[inside] + j])
+    return h
+
+
+def _seeded(h: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(h + np.uint64(0x9E3779B97F4A7C15 * seed & (1 << 64) - 1))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's distinct shingles in order, and their offsets by text."""
+    words, first, last, offsets = shingle_runs(texts, width)
+    h = _shingle_hashes(words, first, last, width)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((h, owner))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    out = np.zeros(len(offsets), np.int64)
+    np.cumsum(np.bincount(owner[new], minlength=len(offsets) - 1), out=out[1:])
+    return h[new], out
+
+
+def _set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of every set; 0 for an empty one."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(_seeded(h, 0), out=total[1:])
+    return mixed(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seeds: int = 1) -> DataFrame:
     """(doc_id, fps array<long>): SimHash of the space-joined word shingles of every whole text.
 
@@ -80,12 +114,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seeds: int = 1) -> DataFrame:
                     spans = zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)
                     fps = [majority(np.fromiter((xx(joined[s:e], 42) for s, e in spans), np.uint64, len(first)), offsets)]
                 else:
-                    one = words.hashes(42)
-                    h = rolling(one, first, 1)
-                    for j in range(1, width):
-                        inside = first + j <= last
-                        h[inside] = mixed(h[inside] * np.uint64(3) + one[first[inside] + j])
-                    fps = [majority(mixed(h + np.uint64(0x9E3779B97F4A7C15 * s & (1 << 64) - 1)), offsets) for s in range(1, seeds + 1)]
+                    h = _shingle_hashes(words, first, last, width)
+                    fps = [majority(_seeded(h, s), offsets) for s in range(1, seeds + 1)]
                 flat = np.stack(fps, axis=1).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * seeds, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "fps"])
@@ -93,8 +123,11 @@ def fingerprints(docs: DataFrame, width: int = 4, seeds: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, fps array<long>")
 
 
-def _tile_links(rows: dict[str, np.ndarray], seeds: int, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) links that connect what is linked within each run of equal group; rows sorted by group, d0."""
+def _tile_links(rows: dict[str, np.ndarray], seeds: int, radius: int, total: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) links that connect what is linked within each run of equal group; rows sorted by group, d0.
+
+    Without `forest` every linked pair.
+    """
     n = len(rows["group"])
     fps, one, group, d0 = rows["fps"], rows["fp"], rows["group"], rows["d0"]
     tables = [np.bitwise_count(one ^ np.uint64(p)).astype(np.int8) for p in PIVOTS]
@@ -136,10 +169,12 @@ def _tile_links(rows: dict[str, np.ndarray], seeds: int, radius: int, total: int
             a, b = a[near], b[near]
         held.append((a, b))
         size += len(a)
-        if size > HELD:
+        if forest and size > HELD:
             join(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             held, size = [], 0
         shift += 1
+    if not forest:
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in held)]) for i in (0, 1))
     if held:
         join(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
     member = np.flatnonzero(root != np.arange(n))
@@ -168,6 +203,11 @@ def links(classes: DataFrame, seeds: int, radius: int, total: int) -> DataFrame:
             key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
             columns.append(F.struct(F.lit(s * 64 + lo).alias("cut"), key.alias("key"), F.lit(s).alias("s")))
     dealt = classes.select("id", "fps", F.explode(F.array(*columns)).alias("k")).select("id", "fps", "k.*")
+    return _met(dealt, seeds, radius, total)
+
+
+def _met(dealt: DataFrame, seeds: int, radius: int, total: int, forest: bool = True) -> DataFrame:
+    """(src, dst) between rows of dealt (id, fps, cut, key, s) of equal cut and key; see `links`."""
     hot = dealt.groupBy("cut", "key").count().where(F.col("count") > TILE).select("cut", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     hot, _ = materialize(hot, "hotkeys")
     if hot.count() <= 50_000:  # a bound checked here; beyond it the join is shuffled
@@ -205,7 +245,7 @@ def links(classes: DataFrame, seeds: int, radius: int, total: int) -> DataFrame:
         fps = np.asarray((fps.chunk(0) if isinstance(fps, pa.ChunkedArray) else fps).flatten()).view(np.uint64).reshape(-1, seeds)
         s = table.column("s").to_numpy()
         rows = {"group": group, "fps": fps, "fp": fps[np.arange(len(s)), s], "d0": table.column("d0").to_numpy(), "side": table.column("side").to_numpy()}
-        member, root = _tile_links(rows, seeds, radius, total)
+        member, root = _tile_links(rows, seeds, radius, total, forest)
         return pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root])], ["src", "dst"])
 
     return spread.mapInArrow(linked, "src long, dst long")
@@ -230,3 +270,77 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seeds:
     found = connected_components(links(classes, seeds, radius, total))
     named = classes.join(found, "id", "left").select("fps", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fps", "left").select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Fingerprints of `near_duplicate_components` and the groups of bits each is dealt by.
+SEEDS, GROUPS = 12, 5
+#: Fingerprints that a dealt row carries; bits that the first and all of them may differ in.
+CARRIED, APART, ALL_APART = 3, 20, 56
+
+
+def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFrame:
+    """(doc_id, set_id, fps): SimHashes of each whole text's distinct shingles; equal sets share set_id, that of none is 0."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                h, offsets = shingle_sets(part.column("text"), width)
+                flat = np.stack([majority(_seeded(h, s), offsets) for s in range(1, seeds + 1)], axis=1).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * seeds, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_ids(h, offsets)), lists], ["doc_id", "set_id", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, set_id long, fps array<long>")
+
+
+def candidate_pairs(classes: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """(src, dst) between rows of classes (id, fps) that agree in a group of bits and nearly so in CARRIED fingerprints.
+
+    Sets of Jaccard similarity 0.8 differ in 15 % of SimHash bits (19 % where they have only four
+    and five members), so each of the seeds * GROUPS groups agrees in an eighth of such pairs and
+    all differ in one of 2000; APART and ALL_APART lie four deviations above what they then differ in.
+    """
+    cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
+    columns = []
+    for s in range(seeds):
+        carried = F.array(*(F.col("fps")[(s + j) % seeds] for j in range(CARRIED)))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key"), F.lit(0).alias("s")))
+    dealt = classes.select("id", F.explode(F.array(*columns)).alias("k")).select("id", "k.*")
+    pairs = _met(dealt, CARRIED, APART, ALL_APART, forest=False)
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Classes of documents linked by Jaccard similarity >= least of their sets of word shingles: doc_id, component_id.
+
+    docs: doc_id, text; other columns are ignored. Texts of equal sets are one class; SimHash finds
+    candidate pairs of classes (`candidate_pairs`, made for similarity 0.8 and more) and the sets
+    themselves, as 64-bit hashes, decide. A text of fewer words is one shingle. component_id is the
+    smallest doc_id that links reach. Null and blank texts are one class; rows with a null doc_id
+    return with null component_id and link nothing; repeated rows return as often as they came.
+
+    Every candidate pair is verified, so a cluster of n versions costs up to n^2 / 2 pairs.
+    """
+    prints, _ = materialize(set_fingerprints(docs, width), "fps")
+    classes, _ = materialize(prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")), "classes")
+    pairs, _ = materialize(candidate_pairs(classes.where("id <> 0").select("id", "fps")), "pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                h, offsets = shingle_sets(part.column("text"), width)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), lists], ["id", "shingles"])
+
+    used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().join(classes.select("id", "doc_id"), "id").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(used, "doc_id", "left_semi").select("text")
+    found, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    both = pairs.join(found.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    near = both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select("src", "dst")
+    joined = connected_components(near)
+    named = classes.join(joined, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = named.join(first, "component").select(F.col("id").alias("set_id"), "component_id")
+    return prints.join(of, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
