@@ -64,15 +64,18 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What lies between magic strings: file, block (start of the byte range), serial (order in it), value.
 
     Spark cuts files in byte ranges and each task reads from the first magic in its range to the
-    first past its end. Ranges and the order in them only depend on the files and settings.
+    first past its end. Ranges and the numbers in them depend on the cores there are when the scan
+    is planned, so what is to be joined by them must come from one scan.
     """
     value = spark.read.option("lineSep", MAGIC).text(path)
     return value.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("serial"))
 
 
-def record_chains(spark: SparkSession, path: str) -> DataFrame:
+def record_chains(spark: SparkSession, path: str, pieces: DataFrame | None = None) -> DataFrame:
     """Every candidate record under path: file, block, serial, start, size, successor, reached.
 
+    pieces: the scan of path (see `_pieces`) where the caller has it materialized.
+
     A candidate starts wherever the magic string stands. Tasks emit its offset and that of its
     successor, from its own Content-Length; whether it is a record shows only in whether the chain
     from the file's start reaches it. Pointer jumping finds that: in each round the reached set
@@ -81,7 +84,7 @@ def record_chains(spark: SparkSession, path: str) -> DataFrame:
     """
     head = F.substring_index("value", _END, 1)
     length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d{1,18})[ \t]*\r?$", 1)
-    slim = _pieces(spark, path).select(
+    slim = (_pieces(spark, path) if pieces is None else pieces).select(
         "file", "block", "serial", F.octet_length("value").cast("long").alias("bytes"), F.octet_length(head).cast("long").alias("head"), F.when(length != "", length).try_cast("long").alias("length")
     )
     slim, slim_at = materialize(slim, "pieces")
@@ -128,15 +131,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     chain reaches; its piece is joined back to the record that holds it. A damaged record ends the
     chain of its file: what follows it is not returned.
 
-    Archives are scanned once for offsets and once for records. Each piece of the second scan finds
-    its record by range and order; only records of several pieces are gathered by key.
+    Archives are scanned once, into a table of pieces that offsets and records both come from: a
+    scan planned anew could cut other ranges (see `_pieces`). Each piece finds its record by range
+    and order; only records of several pieces are gathered by key.
     """
-    chains = record_chains(spark, path).where("start >= 0")
+    scanned, _ = materialize(_pieces(spark, path), "scan")
+    chains = record_chains(spark, path, scanned).where("start >= 0")
     owner = F.max(F.when(F.col("reached"), F.col("start"))).over(Window.partitionBy("file").orderBy("start"))
     owned = chains.withColumn("owner", owner).where("owner is not null")
     owned = owned.withColumn("parts", F.count("*").over(Window.partitionBy("file", "owner")))
     owned, _ = materialize(owned.select("file", "block", "serial", "bytes", "start", "owner", "parts"), "owned")
-    pieces = _pieces(spark, path).join(_sized(owned), ["file", "block", "serial"]).where(F.octet_length("value") == F.col("bytes"))
+    pieces = scanned.join(_sized(owned), ["file", "block", "serial"])
+    if (n := pieces.count()) != (m := owned.count()):
+        raise RuntimeError(f"{n} pieces found for {m} of verified records under {path}")
     single = pieces.where("parts = 1").select("value")
     gathered = pieces.where("parts > 1").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "value"))).alias("p"))
     several = gathered.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
