@@ -99,6 +99,18 @@ class Index:
         self.known = np.unique(rolling(coded.hash, starts, WIDTH))
         self.first = np.unique(coded.hash[off[short]])
         self.lengths = sorted(self.of)
+        # by shingle hash: the items that hold it and its weight there, for texts of fewer words than an item
+        owner = coded.words.text_of()[starts]
+        letters = _weights(coded.distinct)[coded.codes] if coded.words.count else np.zeros(0, np.int64)
+        sums = np.append(0, np.cumsum(letters))
+        weight = sums[starts + WIDTH] - sums[starts] + WIDTH - 1
+        h = rolling(coded.hash, starts, WIDTH)
+        order = np.lexsort((owner, h))
+        h, owner, weight = h[order], owner[order], weight[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)])
+        self.holds = h[new], owner[new], np.add.reduceat(weight, new) if len(new) else weight
+        self.words = lengths
+        self.weight = np.array([sum(x.values()) for x in self.shingles], np.int64)
         self.shortest = len(short) > 0
 
     def within(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +129,25 @@ class Index:
         pair = np.unique(row[near] * len(self.ids) + item[near])
         return pair // len(self.ids), pair % len(self.ids)
 
+    def longer(self, coded: _Coded, a: int, b: int, least: float) -> list[tuple[int, float]]:
+        """(item, similarity) of all items of more words than the whole text a:b that are similar enough."""
+        by, item, weight = self.holds
+        if b - a < WIDTH or not len(by):
+            return []
+        h = np.unique(rolling(coded.hash, np.arange(a, b - WIDTH + 1), WIDTH))
+        lo, hi = np.searchsorted(by, h), np.searchsorted(by, h, side="right")
+        at = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+        at = at[self.words[item[at]] > b - a]
+        if not len(at):
+            return []
+        # what text and item share weighs at most what the item's shingles in the text weigh in the item
+        few, place = np.unique(item[at], return_inverse=True)
+        few = few[np.bincount(place, weights=weight[at]) >= least * self.weight[few] * (1 - 1e-9)]
+        if not len(few):
+            return []
+        own = _shingles(coded.list(a, b))
+        return [(i, sim) for i in few.tolist() if (sim := similarity(own, self.shingles[i])) >= least]
+
     def matches(self, texts: pa.Array, least: float) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity) for whole texts; of matches of one item that overlap, the best."""
         coded = _Coded(texts)
@@ -132,6 +163,10 @@ class Index:
         out = []
         if not len(where):
             return out
+        for t in np.unique(owner[where]).tolist():
+            if off[t + 1] - off[t] < self.lengths[-1]:
+                a, b = int(off[t]), int(off[t + 1])
+                out += [(t, i, 0, b - a, sim) for i, sim in self.longer(coded, a, b, least)]
         # a window that is similar enough shares a shingle with its item, so only windows over a hit can be
         reach = self.lengths[-1]
         split = np.flatnonzero((np.diff(where) > 2 * reach) | (np.diff(owner[where]) != 0)) + 1
@@ -192,6 +227,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     shingles (fewer words: the whole sequence), which must reach `least`. Only windows over a
     shingle that some item has are fingerprinted; all others have similarity zero.
 
+    A text of fewer words than an item is compared as one window, whatever their fingerprints: the
+    items that share shingles of enough weight with it are looked up by shingle and verified alike.
+
     Null texts and items without words match nothing; equal items each match; a null doc_id stays
     null; repeated rows each match. Texts do not move: each task looks them up in the index.
     """
