@@ -14,6 +14,8 @@ from skein.storage import materialize
 
 BITS = 16
 SAMPLE_ROWS = 8_000
+#: A domain with under this part of its target's tokens is minor (see `mix`).
+MINOR = 0.25
 
 
 def softmax_loss(rest: np.ndarray, y: np.ndarray, scores: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -58,6 +60,12 @@ def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return rate
 
 
+def _reachable(labelled: np.ndarray, share: np.ndarray, mass: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Which targets count, by domain: has labelled documents, target share, sums of n * p and of n * p^2 over documents."""
+    minor = mass < MINOR * share * mass.sum()
+    return labelled & (mass > 0) & ~(minor & (squares < share * mass))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """docs plus n_tokens, posterior and rate: nonnegative rates whose expected domain totals match the targets.
 
@@ -67,8 +75,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     domain scaled by its own mass, by projected gradient from rate 1 in the token-weighted inner
     product: a step is rate <- max(0, rate - posterior . e), where e is the residual times the
     step length. Each round is a job that gives the residual, one number a domain; the driver
-    holds nothing else. Targets that no rates reach (a domain without tokens) are met as nearly as
-    can be. Null and blank texts weigh nothing; an empty table gives an empty one.
+    holds nothing else.
+
+    Targets without labelled documents are left out, and so are minor ones, with under MINOR of
+    the tokens asked for, whose share stays under the target even among tokens weighted by their
+    posterior for it: to meet those, nearly all documents would have to get rate 0. The others
+    share what the left-out domains do not hold in proportion; with none left every rate is 1.
+    Other targets that no rates reach are met as nearly as can be. Null and blank texts weigh
+    nothing; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     domains = sorted(targets)
@@ -95,13 +109,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     steps = np.zeros((0, k))
     now = total("sums", steps)
     share = np.array([targets[d] for d in domains], float)
-    goal = share / share.sum() * now.sum()
+    share = share / share.sum()
     moments = total("moments", steps).reshape(k, k)
-    scale = np.where(moments.diagonal() > 0, 1 / np.maximum(moments.diagonal(), 1e-300), 0)
+    seen = {r["domain"] for r in labelled.where(F.col("domain").isin(domains)).join(docs.select("doc_id"), "doc_id", "left_semi").select("domain").distinct().collect()}
+    used = _reachable(np.array([d in seen for d in domains]), share, now, moments.diagonal())
+    goal = np.where(used, share / max(share[used].sum(), 1e-300) * now[used].sum(), now)
+    scale = np.where(used & (moments.diagonal() > 0), 1 / np.maximum(moments.diagonal(), 1e-300), 0)
     root = np.sqrt(scale)
     length = 1 / max(float(np.linalg.eigvalsh(root[:, None] * moments * root).max(initial=0)), 1e-12)
     for _ in range(rounds):
-        residual = now - goal
+        residual = np.where(used, now - goal, 0)
         if not now.sum() or np.abs(residual).max() <= tolerance * goal.sum():
             break
         steps = np.vstack([steps, length * scale * residual])
