@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.words import Words, mixed, rolling, slices
 from skein.operators.components import connected_components
 from skein.storage import materialize
 
-#: Reference fingerprints besides the origin and the 64 single bits (see `links`).
-PIVOTS = [0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF]
+#: Reference fingerprints of the pivot table, drawn from a fixed seed.
+REFERENCES = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
+#: Coordinates compared at a time: most pairs fail in the first few.
+COORDINATES = 8
 #: Rows of one key that meet in one tile.
 TILE = 512
 #: Pairs held at once while a tile's rows are linked.
@@ -96,12 +99,11 @@ def _set_ids(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seeds: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fps array<long>): SimHash of the space-joined word shingles of every whole text.
 
-    A-Z is lower-cased, repeats count. With one seed a shingle's hash is XXH64 of its UTF-8 bytes,
-    seed 42; with more, fingerprints come from as many bijections of a hash of its words. Null and
-    blank texts have fingerprint zero.
+    A-Z is lower-cased, repeats count; a shingle's hash is XXH64 of its UTF-8 bytes, seed 42. Null and
+    blank texts have fingerprint zero. fps holds the one fingerprint.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,121 +111,87 @@ def fingerprints(docs: DataFrame, width: int = 4, seeds: int = 1) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 words, first, last, offsets = shingle_runs(part.column("text"), width)
-                if seeds == 1:
-                    joined = words.joined.tobytes()
-                    spans = zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)
-                    fps = [majority(np.fromiter((xx(joined[s:e], 42) for s, e in spans), np.uint64, len(first)), offsets)]
-                else:
-                    h = _shingle_hashes(words, first, last, width)
-                    fps = [majority(_seeded(h, s), offsets) for s in range(1, seeds + 1)]
-                flat = np.stack(fps, axis=1).reshape(-1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * seeds, pa.int32()), pa.array(flat))
+                joined = words.joined.tobytes()
+                spans = zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)
+                fps = majority(np.fromiter((xx(joined[s:e], 42) for s, e in spans), np.uint64, len(first)), offsets)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1), pa.int32()), pa.array(fps.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "fps"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, fps array<long>")
 
 
-def _tile_links(rows: dict[str, np.ndarray], seeds: int, radius: int, total: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) links that connect what is linked within each run of equal group; rows sorted by group, d0.
+def pivot_table(classes: DataFrame) -> DataFrame:
+    """(id, fp, pivots) of classes (id, fps): the Hamming distances of the fingerprint to all REFERENCES, computed once."""
+    fp = F.col("fps")[0]
+    signed = REFERENCES.view(np.int64).tolist()
+    return classes.select("id", fp.alias("fp"), F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("tinyint") for r in signed]).alias("pivots"))
+
+
+def kept_by_pivots(pivots: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (a, b) those whose largest coordinate difference is within the radius; the rest differ by more bits."""
+    for at in range(0, pivots.shape[1], COORDINATES):
+        some = slice(at, at + COORDINATES)
+        near = np.abs(pivots[a, some] - pivots[b, some]).max(axis=1, initial=0) <= radius
+        a, b = a[near], b[near]
+    return a, b
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a and b in root, in place; every row points to the least row of its tree."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _meetings(group: np.ndarray, side: np.ndarray, within: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal group, nearest places first; rows are sorted by group and by what `within` compares, so none beyond it follows.
 
-    Without `forest` every linked pair.
+    Rows of the two tiles that meet (side 1 and 2) pair with each other only: each tile is paired within itself elsewhere (side 0).
     """
-    n = len(rows["group"])
-    fps, one, group, d0 = rows["fps"], rows["fp"], rows["group"], rows["d0"]
-    tables = [np.bitwise_count(one ^ np.uint64(p)).astype(np.int8) for p in PIVOTS]
-    side = rows["side"]
-    root = np.arange(n)
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = root[a], root[b]
-            differ = ra != rb
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            if not len(a):
-                return
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root[:] = up
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, at, shift = 0, np.arange(n), 1
+    at, shift = np.arange(len(group)), 1
     while True:
-        at = at[at + shift < n]
-        # sorted by distance from the origin: once that coordinate differs too much, it does for all later rows
-        at = at[(group[at] == group[at + shift]) & (d0[at + shift] - d0[at] <= radius)]
+        at = at[at + shift < len(group)]
+        at = at[(group[at] == group[at + shift]) & within(at, at + shift)]
         if not len(at):
-            break
-        a, b = at, at + shift
-        met = (side[a] != side[b]) | (side[a] == 0)  # two tiles that meet: each is linked within itself elsewhere
-        a, b = a[met], b[met]
-        for t in tables:
-            near = np.abs(t[a] - t[b]) <= radius
-            a, b = a[near], b[near]
-        near = np.bitwise_count(one[a] ^ one[b]) <= radius
-        a, b = a[near], b[near]
-        if seeds > 1:
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= total
-            a, b = a[near], b[near]
-        held.append((a, b))
-        size += len(a)
-        if forest and size > HELD:
-            join(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            held, size = [], 0
+            return
+        met = at[(side[at] != side[at + shift]) | (side[at] == 0)]
+        yield met, met + shift
         shift += 1
-    if not forest:
-        return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in held)]) for i in (0, 1))
-    if held:
-        join(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-    member = np.flatnonzero(root != np.arange(n))
-    return member, root[member]
 
 
-def links(classes: DataFrame, seeds: int, radius: int, total: int) -> DataFrame:
-    """(src, dst) between rows of classes (id, fps) that connect exactly what lies within the radius.
+def _dealt(dealt: DataFrame, order: str, columns: list[str], solve: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows of dealt (id, cut, key, columns) that share cut and key meet in tasks: solve(rows, group, side) sees whole groups.
 
-    The pivot table of a fingerprint x holds its distances to the references: the origin, the 64
-    single bits and PIVOTS. A reference's coordinate changes by at most d(x, y), so a pair is
-    discarded when the largest coordinate difference exceeds the radius. Comparing every pair that
-    way would be quadratic, so the table is first cut in radius + 1 groups of references: d(x, 0)
-    - d(x, 2^j) is bit j turned to +1 or -1, at most `radius` of these coordinates differ, hence in
-    one group all agree. Rows are dealt by the coordinates of each group, sorted by the distance
-    to the origin, compared while that coordinate is near, then by the other coordinates; survivors
-    are verified by their Hamming distance.
-
-    Keys with over TILE rows are cut into tiles, each pair of which meets in a task of its own: no
-    task holds a whole hot key. A tile emits a spanning forest of its links, never all pairs.
+    Keys with over TILE rows are cut into tiles, each pair of which meets as a group of its own: no
+    task holds a whole hot key. Rows of a group come sorted by `order`.
     """
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    columns = []
-    for s in range(seeds):
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            columns.append(F.struct(F.lit(s * 64 + lo).alias("cut"), key.alias("key"), F.lit(s).alias("s")))
-    dealt = classes.select("id", "fps", F.explode(F.array(*columns)).alias("k")).select("id", "fps", "k.*")
-    return _met(dealt, seeds, radius, total)
-
-
-def _met(dealt: DataFrame, seeds: int, radius: int, total: int, forest: bool = True) -> DataFrame:
-    """(src, dst) between rows of dealt (id, fps, cut, key, s) of equal cut and key; see `links`."""
     hot = dealt.groupBy("cut", "key").count().where(F.col("count") > TILE).select("cut", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     hot, _ = materialize(hot, "hotkeys")
     if hot.count() <= 50_000:  # a bound checked here; beyond it the join is shuffled
         hot = F.broadcast(hot)
-    tile = F.pmod(F.xxhash64("id", "fps"), F.coalesce("tiles", F.lit(1)))
+    tile = F.pmod(F.xxhash64("id"), F.coalesce("tiles", F.lit(1)))
     spread = (
         dealt.join(hot, ["cut", "key"], "left").withColumn("tile", tile.cast("int"))
         .withColumn("met", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-        .select("id", "fps", "s", "cut", "key", F.least("tile", "met").alias("t1"), F.greatest("tile", "met").alias("t2"),
-                F.when(F.col("tile") == F.col("met"), 0).when(F.col("tile") < F.col("met"), 1).otherwise(2).cast("int").alias("side"),
-                F.bit_count(F.col("fps")[F.col("s")]).cast("int").alias("d0"))
+        .select("id", *columns, "cut", "key", F.least("tile", "met").alias("t1"), F.greatest("tile", "met").alias("t2"),
+                F.when(F.col("tile") == F.col("met"), 0).when(F.col("tile") < F.col("met"), 1).otherwise(2).cast("int").alias("side"))
     )
     keys = ["cut", "key", "t1", "t2"]
-    spread = spread.repartition(*keys).sortWithinPartitions(*keys, "d0")
+    spread = spread.repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def solved(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        return solve(table, group, table.column("side").to_numpy())
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -235,28 +203,64 @@ def _met(dealt: DataFrame, seeds: int, radius: int, total: int, forest: bool = T
             cut = int(new[-1]) if len(new) else 0
             kept = table.slice(cut).combine_chunks()
             if cut:
-                yield _solved(table.slice(0, cut), np.searchsorted(new, np.arange(cut), side="right"))
+                yield solved(table.slice(0, cut), np.searchsorted(new, np.arange(cut), side="right"))
         if kept is not None and kept.num_rows:
-            yield _solved(kept, np.zeros(kept.num_rows, np.int64))
+            yield solved(kept, np.zeros(kept.num_rows, np.int64))
 
-    def _solved(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        ids = table.column("id").to_numpy()
-        fps = table.column("fps").combine_chunks()
-        fps = np.asarray((fps.chunk(0) if isinstance(fps, pa.ChunkedArray) else fps).flatten()).view(np.uint64).reshape(-1, seeds)
-        s = table.column("s").to_numpy()
-        rows = {"group": group, "fps": fps, "fp": fps[np.arange(len(s)), s], "d0": table.column("d0").to_numpy(), "side": table.column("side").to_numpy()}
-        member, root = _tile_links(rows, seeds, radius, total, forest)
-        return pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root])], ["src", "dst"])
+    return spread.mapInArrow(run, schema)
 
-    return spread.mapInArrow(linked, "src long, dst long")
 
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    """The elements of an array column, a row each."""
+    lists = table.column(column).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return np.asarray(lists.flatten()).reshape(table.num_rows, -1)
+
+
+def links(classes: DataFrame, radius: int) -> DataFrame:
+    """(src, dst) between rows of classes (id, fps) that connect exactly what lies within the radius.
+
+    The pivot table holds each fingerprint's Hamming distances to many references. A distance to a
+    reference changes by at most d(x, y), so a pair is discarded when the largest coordinate
+    difference exceeds the radius; survivors are verified by their Hamming distance.
 
-def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seeds: int = 1, total: int | None = None) -> DataFrame:
+    Comparing the table's rows all with all would be quadratic, so rows are dealt first: bits are
+    cut in radius + 2 blocks, at most `radius` of which differ, so that two blocks of a linked pair
+    agree. Each pair of blocks is a key (21 bits for radius 4); rows of a key are sorted by their
+    first coordinate and compared while that is near. A group emits a spanning forest of its links,
+    never all pairs.
+    """
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    block = lambda i: F.shiftrightunsigned(F.col("fp"), cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
+    keys = [F.struct(F.lit(n).alias("cut"), F.shiftleft(block(i), 32).bitwiseOR(block(j)).alias("key")) for n, (i, j) in enumerate(combinations(range(radius + 2), 2))]
+    table, _ = materialize(pivot_table(classes), "pivots")
+    dealt = table.withColumn("first", F.col("pivots")[0]).withColumn("k", F.explode(F.array(*keys))).select("id", "fp", "pivots", "first", "k.*")
+
+    def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        ids, fp, pivots = rows.column("id").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), _flat(rows, "pivots")
+        first, root = pivots[:, 0].astype(np.int16), np.arange(rows.num_rows)
+        held, size = [], 0
+        for a, b in _meetings(group, side, lambda a, b: first[b] - first[a] <= radius):
+            a, b = kept_by_pivots(pivots, a, b, radius)
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            held.append((a[near], b[near]))
+            size += int(near.sum())
+            if size > HELD:
+                _unite(root, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                held, size = [], 0
+        if held:
+            _unite(root, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root[member]])], ["src", "dst"])
+
+    return _dealt(dealt, "first", ["fp", "pivots", "first"], solve, "src long, dst long")
+
+
+def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """Near-duplicate classes of documents by SimHash.
 
-    docs: doc_id, text; other columns are ignored. Two texts link when a fingerprint of theirs
-    differs in at most `radius` bits and, with several seeds, all of them together in at most
-    `total`. Returns doc_id, fps (array<long>), component_id (smallest doc_id reachable over links,
+    docs: doc_id, text; other columns are ignored. Two texts link when their fingerprints differ in
+    at most `radius` bits. Returns doc_id, fps (array<long>), component_id (smallest doc_id reachable over links,
     itself included), one row per input row.
 
     Equal fingerprints first become one class, whose id is their smallest doc_id, so copies are
@@ -264,10 +268,9 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seeds:
     rows with a null doc_id return with null component_id and link nothing; repeated rows and ids
     return as often as they came.
     """
-    total = radius * seeds if total is None else total
-    prints, _ = materialize(fingerprints(docs, width, seeds), "fps")
+    prints, _ = materialize(fingerprints(docs, width), "fps")
     classes, _ = materialize(prints.where("doc_id is not null").groupBy("fps").agg(F.min("doc_id").alias("id")), "classes")
-    found = connected_components(links(classes, seeds, radius, total))
+    found = connected_components(links(classes, radius))
     named = classes.join(found, "id", "left").select("fps", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fps", "left").select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -276,10 +279,12 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, seeds:
 SEEDS, GROUPS = 12, 5
 #: Fingerprints that a dealt row carries; bits that the first and all of them may differ in.
 CARRIED, APART, ALL_APART = 3, 20, 56
+#: Candidate pairs a row up to which a group gives them all at once; beyond it a spanning forest first.
+PAIRS_A_ROW = 4
 
 
 def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, set_id, fps): SimHashes of each whole text's distinct shingles; equal sets share set_id, that of none is 0."""
+    """(doc_id, set_id, size, fps): SimHashes of each whole text's distinct shingles; equal sets share set_id, that of none is 0."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,17 +292,40 @@ def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFra
                 h, offsets = shingle_sets(part.column("text"), width)
                 flat = np.stack([majority(_seeded(h, s), offsets) for s in range(1, seeds + 1)], axis=1).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * seeds, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_ids(h, offsets)), lists], ["doc_id", "set_id", "fps"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_ids(h, offsets)), pa.array(np.diff(offsets), pa.int32()), lists], ["doc_id", "set_id", "size", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, set_id long, size int, fps array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, set_id long, fps array<long>")
+
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs (a, b) of n rows that make a spanning forest of least `apart`: in each round every tree takes its least pair."""
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    root, kept, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        ra, rb = root[a[live]], root[b[live]]
+        live, ra, rb = live[ra != rb], ra[ra != rb], rb[ra != rb]
+        if not len(live):
+            return order[kept]
+        best = np.full(n, len(a))
+        np.minimum.at(best, ra, live)
+        np.minimum.at(best, rb, live)
+        chosen = np.unique(best[best < len(a)])
+        kept[chosen] = True
+        _unite(root, a[chosen], b[chosen])
 
 
-def candidate_pairs(classes: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """(src, dst) between rows of classes (id, fps) that agree in a group of bits and nearly so in CARRIED fingerprints.
+def candidate_pairs(classes: DataFrame, least: float, seeds: int = SEEDS, keys: DataFrame | None = None) -> DataFrame:
+    """(src, dst, apart, cut, key) between rows of classes (id, size, fps) that agree in a group of bits and nearly so in CARRIED fingerprints.
 
     Sets of Jaccard similarity 0.8 differ in 15 % of SimHash bits (19 % where they have only four
     and five members), so each of the seeds * GROUPS groups agrees in an eighth of such pairs and
     all differ in one of 2000; APART and ALL_APART lie four deviations above what they then differ in.
+    Rows of a group are sorted by size and compared while sizes allow the similarity.
+
+    A group with over PAIRS_A_ROW pairs a row gives a spanning forest of its nearest pairs and one
+    row (0, 0, null, cut, key) that says so. With `keys` (cut, key), classes have a `component`:
+    only those groups give pairs, all that lie in different components.
     """
     cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
     columns = []
@@ -305,10 +333,44 @@ def candidate_pairs(classes: DataFrame, seeds: int = SEEDS) -> DataFrame:
         carried = F.array(*(F.col("fps")[(s + j) % seeds] for j in range(CARRIED)))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key"), F.lit(0).alias("s")))
-    dealt = classes.select("id", F.explode(F.array(*columns)).alias("k")).select("id", "k.*")
-    pairs = _met(dealt, CARRIED, APART, ALL_APART, forest=False)
-    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
+    component = F.lit(0).cast("long") if keys is None else F.col("component")
+    dealt = classes.select("id", "size", component.alias("component"), F.explode(F.array(*columns)).alias("k")).select("id", "size", "component", "k.*")
+    if keys is not None:
+        dealt = dealt.join(keys, ["cut", "key"], "left_semi")
+
+    def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        ids, size, fps, label = rows.column("id").to_numpy(), rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a]):
+            if keys is not None:
+                a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+            near = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART
+            a, b = a[near], b[near]
+            apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1).astype(np.int64)
+            near = apart <= ALL_APART
+            held.append((a[near], b[near], apart[near]))
+        a, b, apart = (np.concatenate([x[i] for x in held]) for i in range(3))
+        full = np.zeros(0, np.int64)
+        if keys is None:
+            count = np.bincount(group)
+            many = np.bincount(group[a], minlength=len(count)) > PAIRS_A_ROW * count
+            dense = np.flatnonzero(many[group[a]])
+            take = np.concatenate([np.flatnonzero(~many[group[a]]), dense[_forest(a[dense], b[dense], apart[dense], len(group))]])
+            a, b, apart = a[take], b[take], apart[take]
+            full = np.searchsorted(group, np.flatnonzero(many))
+        cut, key = rows.column("cut").to_numpy()[full], rows.column("key").to_numpy()[full]
+        none, n = np.zeros(len(full), np.int64), len(a)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.minimum(ids[a], ids[b]), none])), pa.array(np.concatenate([np.maximum(ids[a], ids[b]), none])),
+                pa.array(np.concatenate([apart, none]).astype(np.int32), mask=np.arange(n + len(full)) >= n),
+                pa.array(np.concatenate([np.zeros(n, np.int32), cut.astype(np.int32)])), pa.array(np.concatenate([np.zeros(n, np.int64), key.astype(np.int64)])),
+            ],
+            ["src", "dst", "apart", "cut", "key"],
+        )
+
+    return _dealt(dealt, "size", ["size", "component", "fps"], solve, "src long, dst long, apart int, cut int, key long")
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -320,11 +382,19 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
     smallest doc_id that links reach. Null and blank texts are one class; rows with a null doc_id
     return with null component_id and link nothing; repeated rows return as often as they came.
 
-    Every candidate pair is verified, so a cluster of n versions costs up to n^2 / 2 pairs.
+    A cluster of n versions has n^2 / 2 candidate pairs, of which a few per version decide: dense
+    groups give a spanning forest first; of its pairs each component tests those nearest to it
+    (1, 2, 4, ... a round) and pairs within a component drop out. When components have settled,
+    dense groups are compared once more and give the pairs left between different components, so
+    that no link is lost.
     """
     prints, _ = materialize(set_fingerprints(docs, width), "fps")
-    classes, _ = materialize(prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps")), "classes")
-    pairs, _ = materialize(candidate_pairs(classes.where("id <> 0").select("id", "fps")), "pairs")
+    made = prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
+    classes, _ = materialize(made, "classes")
+    some = classes.where("id <> 0").select("id", "size", "fps")
+    found, _ = materialize(candidate_pairs(some, least), "candidates")
+    pairs, _ = materialize(found.where("apart is not null").groupBy("src", "dst").agg(F.min("apart").alias("apart")), "pairs")
+    dense = found.where("apart is null").select("cut", "key").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,14 +403,47 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), lists], ["id", "shingles"])
 
-    used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().join(classes.select("id", "doc_id"), "id").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(used, "doc_id", "left_semi").select("text")
-    found, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-    both = pairs.join(found.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(found.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    near = both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select("src", "dst")
-    joined = connected_components(near)
-    named = classes.join(joined, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    held, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(held.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select("src", "dst")
+
+    def labelled(pairs: DataFrame, near: DataFrame | None) -> DataFrame:
+        """pairs with the components of their ends (ca, cb), which differ."""
+        if near is None:
+            return pairs.withColumns({"ca": F.col("src"), "cb": F.col("dst")})
+        of = lambda end, c: near.select(F.col("id").alias(end), F.col("component").alias(c))
+        return pairs.join(of("src", "ca"), "src", "left").join(of("dst", "cb"), "dst", "left").withColumns({"ca": F.coalesce("ca", "src"), "cb": F.coalesce("cb", "dst")}).where("ca <> cb")
+
+    vertices, left, near, linked, take = used.count(), pairs, None, None, 1
+    n = left.count()
+    while n:
+        ends = labelled(left, near)
+        if n > 2 * vertices:
+            of = ends.select("ca", "src", "dst", "apart").union(ends.select("cb", "src", "dst", "apart"))
+            rank = F.row_number().over(Window.partitionBy("ca").orderBy("apart", "src", "dst"))
+            tested, _ = materialize(of.withColumn("r", rank).where(F.col("r") <= take).select("src", "dst").distinct(), "tested")
+        else:
+            tested = ends.select("src", "dst")
+        links_now, _ = materialize(verified(tested), "links")
+        linked = links_now if linked is None else linked.union(links_now)
+        near, _ = materialize(connected_components(linked), "near")
+        if n <= 2 * vertices:
+            break
+        left, _ = materialize(labelled(left, near).join(tested, ["src", "dst"], "left_anti").select("src", "dst", "apart"), "left")
+        n, take = left.count(), 2 * take
+    if near is not None and dense.limit(1).count():
+        named = some.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = candidate_pairs(named, least, keys=dense).select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_anti")
+        more, _ = materialize(verified(rest), "links")
+        near, _ = materialize(connected_components(linked.union(more)), "near")
+    if near is None:
+        near = classes.select("id", F.col("id").alias("component")).limit(0)
+    named = classes.join(near, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.join(first, "component").select(F.col("id").alias("set_id"), "component_id")
     return prints.join(of, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -136,7 +136,7 @@ def test_simhash_hot_key_is_cut_in_tiles(spark):
             x ^= 1 << int(b)
         fps[i] = x ^ (int(rng.integers(0, 1 << 20)) << 40 if i % 3 == 0 else 0)
     table = spark.createDataFrame([(i, [x - (1 << 64) if x >> 63 else x]) for i, x in fps.items()], "id long, fps array<long>")
-    found = links(table, 1, 4, 4)
+    found = links(table, 4)
     got = {r.id: r.component for r in connected_components(found).collect()}
     want = components(fps, 4)
     assert {i: got.get(i, i) for i in fps} == want
