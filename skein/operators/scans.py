@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.storage import materialize
+
 #: Ids up to which a list becomes an IN; longer lists join.
 LITERAL_IDS = 200
 
@@ -151,6 +153,19 @@ def drift_queue(nodes: DataFrame, edges: DataFrame, cap: int = 200) -> DataFrame
     return found.withColumn("r", F.row_number().over(Window.partitionBy("drift").orderBy("id"))).where(F.col("r") <= cap).drop("r")
 
 
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df in a total order with each row's place in it (from 1), without one task that sees all rows.
+
+    Rows are range-partitioned by the order and written; a partition's rows are numbered in it, and the
+    sizes of the partitions before it, one number each, are added.
+    """
+    sorted_, _ = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "sorted")
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return sorted_.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def offset_page(df: DataFrame, page: int, size: int, *order: str | Column) -> DataFrame:
     """Page `page` (from 1) of a table in a total order."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)

@@ -25,7 +25,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of conditional counts for a graph; each table is read once."""
     n = nodes.agg(
         F.count("*").alias("total_nodes"), F.count_if(_in("status", CONFIRMED)).alias("confirmed_nodes"), F.count_if(_in("status", PENDING)).alias("pending_nodes"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"), F.count_if(_evidence()).alias("with_evidence"), F.count_if(~F.coalesce(_evidence(), F.lit(False))).alias("no_evidence_nodes"),
+        F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.count_if(_evidence()).alias("with_evidence"), F.count_if(~F.coalesce(_evidence(), F.lit(False))).alias("no_evidence_nodes"),
         F.count_if(_in("source_type", AI_NODES)).alias("ai_only_nodes"), F.count_if(F.coalesce("verified_score", F.lit(0.0)) > 0).alias("runtime_verified"),
     )
     e = edges.agg(
@@ -36,7 +36,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def type_stats(nodes: DataFrame, by: str = "node_type") -> DataFrame:
-    return nodes.groupBy(by).agg(F.count("*").alias("total"), F.count_if(_in("status", CONFIRMED)).alias("confirmed"), F.round(F.avg("confidence"), 6).alias("avg_confidence")).orderBy(F.desc("total"), by)
+    return nodes.groupBy(by).agg(F.count("*").alias("total"), F.count_if(_in("status", CONFIRMED)).alias("confirmed"), F.avg("confidence").alias("avg_confidence")).orderBy(F.desc("total"), by)
 
 
 def distribution(df: DataFrame, *by: str) -> DataFrame:
@@ -44,7 +44,7 @@ def distribution(df: DataFrame, *by: str) -> DataFrame:
 
 
 def daily_trend(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count("*").alias("new_nodes"), F.count_if(_in("status", CONFIRMED)).alias("confirmed"))
+    return nodes.groupBy(F.to_date("created_at").alias("day")).agg(F.avg("confidence").alias("avg_confidence"), F.count("*").alias("new_nodes"), F.count_if(_in("status", CONFIRMED)).alias("confirmed"))
 
 
 def confidence_bins(nodes: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def sample(df: DataFrame, n: int) -> DataFrame:
 
 
 def support_rate(sampled: DataFrame) -> DataFrame:
-    return sampled.agg(F.count("*").alias("sampled"), F.round(F.coalesce(F.avg(_evidence().cast("double")), F.lit(0.0)), 4).alias("support_rate"))
+    return sampled.agg(F.count("*").alias("sampled"), F.coalesce(F.avg(_evidence().cast("double")), F.lit(0.0)).alias("support_rate"))
 
 
 def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    rate = lambda name: F.round(F.coalesce(F.avg(_evidence().cast("double")), F.lit(0.0)), 4).alias(name)
+    rate = lambda name: F.coalesce(F.avg(_evidence().cast("double")), F.lit(0.0)).alias(name)
     return nodes.agg(rate("node_coverage")).join(edges.agg(rate("edge_coverage")), F.lit(True))
 
 
@@ -135,7 +135,7 @@ def subtask_rollup(tasks: DataFrame, key: str) -> DataFrame:
     return tasks.groupBy(key).agg(F.min("started").alias("started"), F.max("finished").alias("finished"), F.sum("items").alias("items"), status.alias("status"))
 
 
-#: Name endings that tell what a reused component is, first match first.
+#: Fixed values. Name endings that tell what a reused component is, first match first.
 REUSE = (("BASE_ENTITY", "Base|Abstract"), ("UTIL", "Util|Utils|Helper"), ("RESULT_WRAPPER", "Result|Response|Page"), ("CONFIG", "Config|Properties"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.storage import drop, materialize
 
-#: Edge types that a change travels against.
+#: Edge types that a change travels against.
 REVERSE_TYPES = ("CALLS", "READS", "WRITES", "BELONGS_TO", "DEPENDS_ON", "IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY", "EXPOSED_BY")
 
 

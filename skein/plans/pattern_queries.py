@@ -70,17 +70,17 @@ def _(d):
     return J.layer_skips(d.nodes, d.edges)
 
 
-_CALLS = "select distinct concat('c', cast(l_orderkey as string)) caller, concat('I', cast(l_partkey % 20 as string), '#m', cast(l_linenumber as string)) callee from {lineitem} where l_orderkey % 50 = 0"
+_CALLS = "select distinct concat('c', cast(l_orderkey as string)) caller, concat('I', cast(l_partkey + l_linenumber % 2 as string), '#m', cast(l_linenumber as string)) callee from {lineitem}"
 
 
 @query(
     "J10_interface_call_expansion",
-    f"""with c as ({_CALLS.replace('{lineitem}', 'lineitem')}), i as (select concat('Impl', cast(p_partkey as string)) impl, concat('I', cast(p_partkey % 25 as string)) iface from part where p_partkey < 40), n as (select *, count(*) over (partition by iface) n from i)
+    f"""with c as ({_CALLS.replace('{lineitem}', 'lineitem')}), i as (select concat('Impl', cast(p_partkey as string)) impl, concat('I', cast(p_partkey - p_partkey % (1 + p_size % 2) as string)) iface from part), n as (select *, count(*) over (partition by iface) n from i)
     select distinct caller, concat(impl, '#', split_part(callee, '#', 2)) callee, case when n = 1 then 1.0 else 0.6 end confidence, case when n = 1 then 'CONFIRMED' else 'PENDING' end status from c join n on iface = split_part(callee, '#', 1)""".replace("case when n = 1 then 1.0 else 0.6 end", "cast(case when n = 1 then 1.0 else 0.6 end as double)"),
 )
 def _(d):
     calls = d.spark.sql(_CALLS, lineitem=d.lineitem)
-    impl = d.part.where("p_partkey < 40").select(F.concat(F.lit("Impl"), F.col("p_partkey").cast("string")).alias("impl"), F.concat(F.lit("I"), (F.col("p_partkey") % 25).cast("string")).alias("iface"))
+    impl = d.part.select(F.concat(F.lit("Impl"), F.col("p_partkey").cast("string")).alias("impl"), F.concat(F.lit("I"), (F.col("p_partkey") - F.col("p_partkey") % (1 + F.col("p_size") % 2)).cast("string")).alias("iface"))
     return J.expand_interface_calls(calls, impl)
 
 
@@ -111,20 +111,20 @@ def _(d):
 
 @query(
     "J17_token_similarity_top3",
-    """with t as (select p_partkey id, unnest(list_distinct(string_split(lower(p_name), ' '))) token from part where p_partkey % 4 < 2), a as (select * from t where id % 4 = 0), b as (select * from t where id % 4 = 1), na as (select id, count(*) n from a group by id), nb as (select id, count(*) n from b group by id),
+    """with t as (select p_partkey id, unnest(list_distinct(string_split(lower(p_name), ' '))) token from part), a as (select t.* from t join part on p_partkey = id where p_size <= 5), b as (select t.* from t join part on p_partkey = id where p_size > 5), na as (select id, count(*) n from a group by id), nb as (select id, count(*) n from b group by id),
     s as (select a.id a, b.id b, cast(count(*) as double) / least(min(na.n), min(nb.n)) score from a join b on a.token = b.token join na on na.id = a.id join nb on nb.id = b.id group by a.id, b.id), r as (select *, row_number() over (partition by a order by score desc, b) r from s where score >= 0.5) select a, b, round(score, 6) score from r where r <= 3""",
 )
 def _(d):
-    t = d.part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"))
-    s = J.token_pairs(t.where("id % 4 = 0"), t.where("id % 4 = 1"), 0.5)
+    t = d.part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"), "p_size")
+    s = J.token_pairs(t.where("p_size <= 5"), t.where("p_size > 5"), 0.5)
     return J.top_per(s, "a", 3, F.desc("score"), "b").select("a", "b", F.round("score", 6).alias("score"))
 
 
-_ACC = "select concat('p', cast(o_custkey % 3 as string)) project, concat('tbl:', cast(l_partkey as string)) tbl, case when l_returnflag = 'R' then 'WRITE' else 'READ' end as \"access\", concat('map:', cast(o_custkey as string)) node from orders join lineitem on o_orderkey = l_orderkey where l_linenumber = 1 and o_orderkey % 20 = 0"
+_ACC = "select concat('p', cast(o_custkey % 3 as string)) project, concat('tbl:', cast(l_partkey as string)) tbl, case when l_returnflag = 'R' then 'WRITE' else 'READ' end as \"access\", concat('map:', cast(o_custkey as string)) node from orders join lineitem on o_orderkey = l_orderkey where l_linenumber = 1"
 
 
 def _access(d):
-    j = d.orders.join(d.lineitem.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_orderkey % 20 = 0")
+    j = d.orders.join(d.lineitem.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
     return j.select(F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string")).alias("project"), F.concat(F.lit("tbl:"), F.col("l_partkey").cast("string")).alias("tbl"), F.when(F.col("l_returnflag") == "R", "WRITE").otherwise("READ").alias("access"), F.concat(F.lit("map:"), F.col("o_custkey").cast("string")).alias("node"))
 
 
@@ -244,12 +244,15 @@ def _(d):
     return P.affected_reasons(_radius(d), d.nodes)
 
 
-@query("P12_affected_subgraph", f"with {_RAD}, i as (select source id from r union select target from r) select e.id from edges e where src in (select id from i) and dst in (select id from i)", "nodes edges")
+@query("P12_affected_subgraph", f"""with e as materialized (select id, src, dst, edge_type from edges), {_RAD.replace("from edges", "from e")}, a as (select source id from r union select target from r), b as (select src s, dst o from e union select dst, src from e),
+    n as (select distinct o id from a join b on b.s = a.id order by o limit 100), i as materialized (select id from a union select id from n) select e.id from e semi join i x on x.id = e.src semi join i y on y.id = e.dst""", "nodes edges")
 def _(d):
     from skein.operators.scans import induced_edges
 
     r = _radius(d)
-    return induced_edges(d.edges, r.select(F.col("source").alias("id")).union(r.select("target"))).select("id")
+    hit = r.select(F.col("source").alias("id")).union(r.select("target")).distinct()
+    near = P.oriented(d.edges, "both").join(hit.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    return induced_edges(d.edges, hit.union(near.orderBy("id").limit(100)).distinct()).select("id")
 
 
 @query("P13_transitive_closure", "with o as (select distinct src, dst from edges where edge_type = 'DEPENDS_ON'), t as (select a.src, b.dst from o a join o b on a.dst = b.src union select a.src, c.dst from o a join o b on a.dst = b.src join o c on b.dst = c.src) select src, dst from t where src <> dst and not exists (select 1 from o where o.src = t.src and o.dst = t.dst)", "edges")
@@ -267,6 +270,6 @@ def _(d):
     return P.chain_coverage(_of(d, "ApiEndpoint"), d.edges, [["HANDLED_BY"], ["CALLS"], ["CALLS"], ["EXECUTES"]])
 
 
-@query("P19_reached_tables", "with recursive w as (select id, 0 as lvl from nodes where node_type = 'Controller' union select dst, lvl + 1 from w join edges on src = w.id where lvl < 3) select distinct w.id from w join nodes n on n.id = w.id where node_type = 'SqlStatement'", "nodes edges")
+@query("P19_reached_tables", "with recursive e as materialized (select src, dst from edges), w as (select id, 0 as lvl from nodes where node_type = 'Controller' union select dst, lvl + 1 from w join e on src = w.id where lvl < 6) select distinct w.id from w where w.id like 'tbl:%'", "nodes edges")
 def _(d):
-    return P.reach(_of(d, "Controller"), d.edges, 3).join(_of(d, "SqlStatement").select("id"), "id", "left_semi").select("id")
+    return P.reach(_of(d, "Controller"), d.edges, 6).join(_of(d, "Table").select("id"), "id", "left_semi").select("id")

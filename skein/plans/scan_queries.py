@@ -65,7 +65,7 @@ def _(d):
     return S.low_confidence(d.nodes, 0.5, 100).select("id", "confidence")
 
 
-@query("G11_disconnected_nodes", "select id, node_type from nodes n where not exists (select 1 from edges e where e.src = n.id or e.dst = n.id)".replace("e.src = n.id or e.dst = n.id", "e.src = n.id") + " and not exists (select 1 from edges e where e.dst = n.id)", "nodes edges")
+@query("G11_disconnected_nodes", "select id, node_type from nodes anti join (select src id from edges union select dst from edges) x using (id)", "nodes edges")
 def _(d):
     return S.disconnected(d.nodes, d.edges).select("id", "node_type")
 

@@ -4,11 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import stats as A
-from skein.operators.scans import limited, low_confidence
+from skein.operators.scans import limited, low_confidence, numbered
 from skein.plans.registry import query
 
 _STATS = """select * from (select count(*) total_nodes, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed_nodes, count(*) filter (where status in ('PENDING', 'PENDING_CONFIRM')) pending_nodes,
-    round(coalesce(avg(confidence), 0), 6) avg_confidence, count(*) filter (where evidence_ids <> '') with_evidence, count(*) filter (where coalesce(evidence_ids, '') = '') no_evidence_nodes,
+    coalesce(avg(confidence), 0) avg_confidence, count(*) filter (where evidence_ids <> '') with_evidence, count(*) filter (where coalesce(evidence_ids, '') = '') no_evidence_nodes,
     count(*) filter (where source_type in ('AI_INFERENCE', 'DOC_AI')) ai_only_nodes, count(*) filter (where verified_score > 0) runtime_verified from nodes {w}) n,
     (select count(*) total_edges, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed_edges, count(*) filter (where status in ('PENDING', 'PENDING_CONFIRM')) pending_edges,
     count(*) filter (where coalesce(evidence_ids, '') = '') no_evidence_edges, count(*) filter (where source_type in ('AI_INFERENCE', 'AI_FEATURE_MAPPING', 'DOC_AI')) ai_only_edges, count(*) filter (where source_type = 'RUNTIME_TRACE') runtime_only_edges from edges {w}) e"""
@@ -29,7 +29,7 @@ def _(d):
     return A.graph_stats(d.v1_nodes, d.v1_edges)
 
 
-@query("A4_node_type_stats", "select node_type, count(*) total, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed, round(avg(confidence), 6) avg_confidence from nodes group by node_type", "nodes")
+@query("A4_node_type_stats", "select node_type, count(*) total, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed, avg(confidence) avg_confidence from nodes group by node_type", "nodes")
 def _(d):
     return A.type_stats(d.nodes)
 
@@ -39,7 +39,7 @@ def _(d):
     return A.distribution(d.edges, "edge_type")
 
 
-@query("A6_daily_trend", "select created_at as \"day\", round(avg(confidence), 6) avg_confidence, count(*) new_nodes, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed from nodes group by created_at", "nodes")
+@query("A6_daily_trend", "select created_at as \"day\", avg(confidence) avg_confidence, count(*) new_nodes, count(*) filter (where status in ('CONFIRMED', 'APPROVED')) confirmed from nodes group by created_at", "nodes")
 def _(d):
     return A.daily_trend(d.nodes)
 
@@ -79,12 +79,12 @@ def _(d):
     return A.sample(d.edges, 50).select("id", "edge_type")
 
 
-@query("A14_support_rate", "select count(*) sampled, round(avg(case when evidence_ids <> '' then 1.0 else 0.0 end), 4) support_rate from (select * from edges order by md5(id), id limit 500) s", "edges")
+@query("A14_support_rate", "select count(*) sampled, avg(case when evidence_ids <> '' then 1.0e0 else 0.0e0 end) support_rate from (select * from edges order by md5(id), id limit 500) s", "edges")
 def _(d):
     return A.support_rate(A.sample(d.edges, 500))
 
 
-@query("A15_evidence_coverage", "select (select round(avg(case when evidence_ids <> '' then 1.0 else 0.0 end), 4) from nodes) node_coverage, (select round(avg(case when evidence_ids <> '' then 1.0 else 0.0 end), 4) from edges) edge_coverage", "nodes edges")
+@query("A15_evidence_coverage", "select (select avg(case when evidence_ids <> '' then 1.0e0 else 0.0e0 end) from nodes) node_coverage, (select avg(case when evidence_ids <> '' then 1.0e0 else 0.0e0 end) from edges) edge_coverage", "nodes edges")
 def _(d):
     return A.coverage(d.nodes, d.edges)
 
@@ -223,11 +223,11 @@ def _(d):
     return d.nodes.withColumn("r", F.row_number().over(Window.partitionBy("source_path").orderBy("k", "id"))).where("r = 1").select("source_path", "id")
 
 
-@query("N7_trend_direction", "with t as (select created_at, avg(confidence) c from nodes group by created_at), x as (select arg_min(c, created_at) a, arg_max(c, created_at) b from t) select round(a, 6) first_value, round(b, 6) last_value, case when b - a > 0.05 then 'UP' when b - a < -0.05 then 'DOWN' else 'FLAT' end direction from x", "nodes")
+@query("N7_trend_direction", "with t as (select created_at, avg(confidence) c from nodes group by created_at), x as (select arg_min(c, created_at) a, arg_max(c, created_at) b from t) select a first_value, b last_value, case when b - a > 0.05 then 'UP' when b - a < -0.05 then 'DOWN' else 'FLAT' end direction from x", "nodes")
 def _(d):
     t = d.nodes.groupBy("created_at").agg(F.avg("confidence").alias("c")).agg(F.min_by("c", "created_at").alias("a"), F.max_by("c", "created_at").alias("b"))
     step = F.col("b") - F.col("a")
-    return t.select(F.round("a", 6).alias("first_value"), F.round("b", 6).alias("last_value"), F.when(step > 0.05, "UP").when(step < -0.05, "DOWN").otherwise("FLAT").alias("direction"))
+    return t.select(F.col("a").alias("first_value"), F.col("b").alias("last_value"), F.when(step > 0.05, "UP").when(step < -0.05, "DOWN").otherwise("FLAT").alias("direction"))
 
 
 @query("N8_conflict_with_first", "select seq, subject_key, predicate, object_key from (select *, first_value(object_key) over (partition by subject_key, predicate order by seq, object_key) f from claims) x where object_key <> f", "claims")
@@ -236,9 +236,9 @@ def _(d):
     return d.claims.withColumn("f", F.first("object_key").over(w)).where("object_key <> f").select("seq", "subject_key", "predicate", "object_key")
 
 
-@query("N9_stable_multi_key_sort", "select o_orderkey, cast(row_number() over (order by o_totalprice desc, o_orderkey) as integer) pos from orders where o_orderstatus = 'P'")
+@query("N9_stable_multi_key_sort", "select o_orderkey, cast(row_number() over (order by o_totalprice desc, o_orderkey) as integer) pos from orders")
 def _(d):
-    return d.orders.where("o_orderstatus = 'P'").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("pos"))
+    return numbered(d.orders.select("o_orderkey", "o_totalprice"), "pos", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", F.col("pos").cast("int").alias("pos"))
 
 
 @query("N10_global_top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
@@ -249,12 +249,12 @@ def _(d):
 @query(
     "R5_quality_report",
     """with s as (select coalesce(avg(confidence), 0) a from nodes), i as (select (select count(*) from (select 1 from nodes where coalesce(confidence, 0) < 0.3 limit 200) x) + (select count(*) from (select 1 from nodes anti join (select src id from edges union select dst from edges) x using (id) limit 200) y) n)
-    select n issues, round(100 * a - 2 * n, 4) score, case when 100 * a - 2 * n >= 80 then 'A' when 100 * a - 2 * n >= 60 then 'B' when 100 * a - 2 * n >= 40 then 'C' else 'D' end rating from s, i""",
+    select n issues, 100 * a - 2 * n score, case when 100 * a - 2 * n >= 80 then 'A' when 100 * a - 2 * n >= 60 then 'B' when 100 * a - 2 * n >= 40 then 'C' else 'D' end rating from s, i""",
     "nodes edges",
 )
 def quality_report(d):
     low = low_confidence(d.nodes, 0.3, 200).select("id")
     n = low.union(A.disconnected(d.nodes, d.edges, 200).select("id")).agg(F.count("*").alias("issues"))
-    score = F.round(100 * F.col("a") - 2 * F.col("issues"), 4)
+    score = 100 * F.col("a") - 2 * F.col("issues")
     rating = F.when(score >= 80, "A").when(score >= 60, "B").when(score >= 40, "C").otherwise("D")
     return n.join(d.nodes.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("a")), F.lit(True)).select("issues", score.alias("score"), rating.alias("rating"))

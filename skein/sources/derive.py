@@ -68,6 +68,11 @@ SQL = {
         cast((l_orderkey * 37 + l_linenumber) % 101 as double) / 100 confidence, concat('e', cast(l_orderkey % 50 as string)) evidence_id,
         cast(l_orderkey * 8 + l_linenumber as bigint) seq
         from {orders} join {lineitem} on o_orderkey = l_orderkey where l_linenumber <= 7""",
+    "classes": """select concat('cls:', cast(p_partkey as string)) id, cast(p_partkey as bigint) k, concat(upper(substring(split_part(p_name, ' ', 1), 1, 1)), substring(split_part(p_name, ' ', 1), 2), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2),
+        case p_size % 5 when 0 then 'Service' when 1 then 'ServiceImpl' when 2 then 'Controller' when 3 then 'Mapper' else 'Entity' end) class_name, concat('com.', lower(replace(p_brand, '#', ''))) package,
+        case p_size % 5 when 2 then 'Controller' when 3 then 'Mapper' when 4 then 'Entity' else 'Service' end node_type, cast(p_size as bigint) params from {part}""",
+    "entities": """select concat('ent:', class_name) id, class_name node_name, node_type, min(k) k, case min(k) % 4 when 0 then 'AI_INFERENCE' when 1 then 'DOC_AI' else 'CODE_AST' end source_type, min(k) % 3 = 0 runtime_verified from {classes} group by class_name, node_type""",
+    "entity_evidence": "select distinct concat('ent:', class_name) id, concat('e', cast(k % 7 as string)) evidence from {classes}",
     "files_old": "select 'p1' project_id, concat(source, '/', cast(doc_id as string), '.txt') file_path, {digest} file_hash, cast(n_chars as bigint) file_size, cast(doc_id % 2 as bigint) extractor_version from {documents} where doc_id % 10 <> 0",
     "files_new": "select 'p1' project_id, concat(source, '/', cast(doc_id as string), case when doc_id % 7 = 0 then '_moved.txt' else '.txt' end) file_path, {new_digest} file_hash, cast(n_chars + case when doc_id % 5 = 0 then 1 else 0 end as bigint) file_size, cast(1 as bigint) extractor_version from {documents} where doc_id % 11 <> 0",
     "vectors": "select vec_id, embedding, case label % 4 when 0 then 'DOC' when 1 then 'CODE' when 2 then 'DB' else 'UI' end chunk_type, case vec_id % 3 when 0 then null when 1 then 'alice' else 'bob,carol' end acl, concat('uri', cast(vec_id % 40 as string)) source_uri from {embeddings}",
@@ -81,7 +86,7 @@ _ANSI = {"digest": "sha256(text)", "new_digest": f"sha256({_NEW_TEXT})"}
 
 def sql(*names: str) -> str:
     """`with` clause of the named tables for an engine that has the base tables by name."""
-    words = {b: b for b in BASE} | _ANSI
+    words = {b: b for b in [*BASE, *SQL]} | _ANSI
     parts = [f"{n} as ({_filled(SQL[n], words)})" for n in dict.fromkeys(names)]
     return "with " + ",\n".join(parts) + "\n" if parts else ""
 
@@ -112,8 +117,8 @@ class Derived:
             if name in BASE:
                 self._held[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                used = {b for b in re.findall(r"\{(\w+)\}", SQL[name]) if b in BASE}
-                text = _filled(SQL[name], {b: "{" + b + "}" for b in BASE} | _SPARK)
+                used = {b for b in re.findall(r"\{(\w+)\}", SQL[name]) if b not in _SPARK}
+                text = _filled(SQL[name], {b: "{" + b + "}" for b in used} | _SPARK)
                 self._held[name] = self._loaded(name, self.spark.sql(text, **{b: getattr(self, b) for b in used}))
         return self._held[name]
 
