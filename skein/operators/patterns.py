@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.storage import drop, materialize
+
 
 def hop(edges: DataFrame, types: Sequence[str] | str, src: str, dst: str) -> DataFrame:
     """(src, dst) pairs of some edge types under other names: a step of a pattern."""
@@ -147,9 +149,10 @@ def call_match_score(call_method: Column, api_method: Column, call_path: Column,
 
 
 def token_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Similarity join of (id, tokens) tables: shared tokens / smaller set >= least, by tokens, never all pairs.
+    """Similarity join of (id, tokens) tables: shared tokens / smaller set >= least, by an equi-join on tokens.
 
-    tokens that a third of all rows hold still join on the token alone; AQE splits such keys.
+    A pair shares at least one token, so the join's output is bounded by what shares tokens, not by all pairs;
+    AQE splits frequent tokens over tasks, but each still pairs all its rows.
     """
     x = a.select(F.col("id").alias("a"), F.array_distinct("tokens").alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("token"))
     y = b.select(F.col("id").alias("b"), F.array_distinct("tokens").alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("token"))
@@ -159,3 +162,41 @@ def token_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
 
 def top_per(df: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= n).drop("r")
+
+
+def greedy_matches(scored: DataFrame, least: float) -> DataFrame:
+    """One-to-one matches of scored pairs (a, b, score): the best pair first, what it uses removed, while scores reach `least`.
+
+    A pair that is the best of both its ends is taken in every greedy order, so each round takes all such pairs
+    at once: rounds are few, none runs through one task. Ties go to the smaller a, then b.
+    """
+    left, at = materialize(scored.where(F.col("score") >= least).select("a", "b", "score"), "pairs")
+    taken = None
+    while left.limit(1).count():
+        rank = F.struct(F.col("score"), F.col("a"), F.col("b"))
+        order = lambda key: Window.partitionBy(key).orderBy(F.desc("score"), "a", "b")
+        best, best_at = materialize(left.withColumn("x", F.row_number().over(order("a"))).where("x = 1").join(left.withColumn("y", F.row_number().over(order("b"))).where("y = 1").select("a", "b"), ["a", "b"], "left_semi").select(rank.alias("m")).select("m.*"), "best")
+        taken = best if taken is None else taken.union(best)
+        rest, rest_at = materialize(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").select("a", "b", "score"), "pairs")
+        drop(left.sparkSession, at)
+        left, at = rest, rest_at
+    return left if taken is None else taken.select("a", "b", "score")
+
+
+def layered_entities(classes: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """(entity, classes): entities that have a class in every layer. classes: entity, node_type."""
+    found = classes.where(F.col("node_type").isin(list(layers))).groupBy("entity").agg(F.count_distinct("node_type").alias("layers"), F.count("*").alias("classes"))
+    return found.where(F.col("layers") == len(layers)).select("entity", "classes")
+
+
+def checked(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """claims (kind file, symbol or evidence; value) with exists: whether the graph has it."""
+    known = nodes.select(F.explode(F.concat(F.array(F.struct(F.lit("file").alias("kind"), F.col("source_path").alias("value")), F.struct(F.lit("symbol").alias("kind"), F.col("node_key").alias("value"))), F.transform(F.filter(F.split("evidence_ids", ","), lambda e: e != ""), lambda e: F.struct(F.lit("evidence").alias("kind"), e.alias("value"))))).alias("k")).select("k.*").distinct()
+    return claims.join(known.withColumn("exists", F.lit(True)), ["kind", "value"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def linked_requirements(exact: DataFrame, terms: DataFrame, semantic: DataFrame, least: float = 0.8) -> DataFrame:
+    """(item, node, matcher, score): what items refer to, by exact reference (1.0), shared term (0.9) or similarity; the first matcher counts for a pair."""
+    rows = exact.select("item", "node", F.lit("exact").alias("matcher"), F.lit(0).alias("priority"), F.lit(1.0).alias("score"))
+    rows = rows.union(terms.select("item", "node", F.lit("term"), F.lit(1), F.lit(0.9))).union(semantic.where(F.col("score") >= least).select("item", "node", F.lit("semantic"), F.lit(2), "score"))
+    return first_matcher(rows, "item", "node").select("item", "node", "matcher", "score")

@@ -94,3 +94,101 @@ def consistency(rankings: DataFrame) -> DataFrame:
     """One row: the share of keys that more than one ranking has."""
     n = rankings.groupBy("key").agg(F.count_distinct("source").alias("n"))
     return n.agg(F.round(F.avg((F.col("n") > 1).cast("double")), 6).alias("consistency"))
+
+
+#: Intents of questions by the words that tell them, the first that matches, and the weights of five channels.
+INTENTS = (
+    ("CHANGE_IMPACT", ("影响", "变更", "impact", "change")), ("SOLUTION_DESIGN", ("方案", "设计", "solution", "design")), ("CODE_EXPLANATION", ("代码", "实现", "code", "function", "method")),
+    ("ARCHITECTURE_OVERVIEW", ("架构", "结构", "architecture", "overview")), ("DATA_LINEAGE", ("数据", "表", "字段", "data", "table", "lineage")),
+)
+CHANNELS = ("keyword", "vector", "graph", "claim", "convention")
+INTENT_WEIGHTS = {
+    "REQUIREMENT_UNDERSTANDING": (0.20, 0.35, 0.15, 0.25, 0.05), "CHANGE_IMPACT": (0.30, 0.20, 0.25, 0.10, 0.15), "SOLUTION_DESIGN": (0.15, 0.20, 0.20, 0.15, 0.30),
+    "CODE_EXPLANATION": (0.25, 0.30, 0.25, 0.10, 0.10), "ARCHITECTURE_OVERVIEW": (0.05, 0.20, 0.30, 0.15, 0.30), "DATA_LINEAGE": (0.30, 0.15, 0.40, 0.10, 0.05),
+}
+#: Fixed values of the second router: intents, their words, and the weights of code, documents and database.
+SOURCES = {"CODE_LOOKUP": (0.7, 0.2, 0.1), "DATA_LINEAGE": (0.3, 0.1, 0.6), "API_CHAIN": (0.6, 0.1, 0.3), "BUSINESS_FLOW": (0.3, 0.5, 0.2), "IMPACT_ANALYSIS": (0.5, 0.2, 0.3), "GENERAL": (0.33, 0.34, 0.33)}
+SOURCE_WORDS = (
+    ("API_CHAIN", ("调用链", "api chain", "call chain")), ("IMPACT_ANALYSIS", ("影响", "impact")), ("DATA_LINEAGE", ("血缘", "lineage", "数据流", "data flow")),
+    ("BUSINESS_FLOW", ("业务流程", "business", "功能", "feature", "流程")), ("CODE_LOOKUP", ("类", "class", "方法", "method", "字段", "field", "接口", "interface")),
+)
+
+
+def _intent(query: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+    low, found = F.lower(query), F.lit(None).cast("string")
+    for name, words in rules:
+        found = F.coalesce(found, F.when(low.rlike("|".join(words)), name))
+    return F.coalesce(found, F.lit(default))
+
+
+def intent(query: Column) -> Column:
+    return _intent(query, INTENTS, "REQUIREMENT_UNDERSTANDING")
+
+
+def source_intent(query: Column) -> Column:
+    return _intent(query, SOURCE_WORDS, "GENERAL")
+
+
+def weights_of(name: Column, table: dict[str, Sequence[float]], fields: Sequence[str]) -> Column:
+    """Struct of an intent's weights."""
+    entries = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.struct(*[F.lit(w).alias(f) for f, w in zip(fields, v, strict=True)]))])
+    return F.try_element_at(entries, name)
+
+
+def cites(answer: Column, ids: Column) -> Column:
+    """Whether an answer names any of the ids."""
+    return F.exists(ids, lambda i: F.contains(answer, i))
+
+
+def hybrid(rankings: Sequence[tuple[str, float, DataFrame]], k: int, fuse: bool = True) -> DataFrame:
+    """The k best keys of several short rankings (name, weight, (key, rank)), by rank fusion or, without it, by first occurrence."""
+    rows = None
+    for i, (name, weight, r) in enumerate(rankings):
+        one = r.select(F.lit(name).alias("source"), F.lit(i).alias("channel"), F.lit(float(weight)).alias("weight"), "key", "rank")
+        rows = one if rows is None else rows.union(one)
+    if fuse:
+        return fused(rows, k)
+    first = rows.groupBy("key").agg(F.min(F.struct("channel", "rank")).alias("first"))
+    return first.orderBy("first", "key").limit(k).select("key", (1 / (1.0 + F.col("first.channel") * 1000 + F.col("first.rank"))).alias("score"))
+
+
+def claim_relevance(claims: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """claims with relevance: 3 for each term in the subject, 2 in the object, 1 in the predicate, times one half plus the confidence."""
+    points = F.lit(0.0)
+    for t in terms:
+        for column, value in (("subject_key", 3.0), ("object_key", 2.0), ("predicate", 1.0)):
+            points = points + F.when(F.contains(F.lower(column), F.lit(t.lower())), value).otherwise(0.0)
+    return claims.withColumn("relevance", points * (0.5 + F.coalesce("confidence", F.lit(0.0))))
+
+
+def cached_answer(cache: DataFrame, query: Sequence[float], now: Column, release: str | None, hours: int = 24, least: float = 0.95) -> DataFrame:
+    """The nearest, then newest, unexpired entry of cache (key, embedding, release, created_at) of the same release (null equals null)."""
+    live = cache.where(F.col("release").eqNullSafe(F.lit(release)) & (F.col("created_at") > now - F.make_dt_interval(F.lit(0), F.lit(hours))))
+    near = live.withColumn("similarity", cosine(F.col("embedding"), vector(query))).where(F.col("similarity") >= least)
+    return near.orderBy(F.desc("similarity"), F.desc("created_at"), "key").limit(1)
+
+
+def hashed_bucket(token: Column, buckets: int = 256) -> Column:
+    """Bucket of a token: its character codes as digits to base 31, modulo `buckets` (a divisor of 2^32)."""
+    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % buckets)
+
+
+def hashed_vectors(docs: DataFrame, buckets: int = 256) -> DataFrame:
+    """(id, bucket, weight) of docs (id, tokens): token counts by bucket, of length one; texts without tokens have no rows."""
+    n = docs.select("id", F.explode("tokens").alias("t")).groupBy("id", hashed_bucket(F.col("t"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
+    return n.select("id", "bucket", (F.col("n") / norm).alias("weight"))
+
+
+def similar_texts(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
+    """(query, id, similarity): the k most similar docs for each query by hashed vectors, over 0; an equi-join on buckets."""
+    q = hashed_vectors(queries).select(F.col("id").alias("query"), "bucket", F.col("weight").alias("w"))
+    s = hashed_vectors(docs).join(q, "bucket").where("id <> query").groupBy("query", "id").agg(F.least(F.lit(1.0), F.sum(F.col("weight") * F.col("w"))).alias("similarity")).where("similarity > 0")
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("r") <= k).drop("r")
+
+
+def keyword_nodes(nodes: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
+    """The k nodes whose text holds most of the terms, by score then key: id, node_key, score, confidence."""
+    low = F.lower(F.concat_ws(" ", "node_name", "node_key", "node_type"))
+    score = sum((F.contains(low, F.lit(t.lower())).cast("int") for t in sorted(set(terms))), F.lit(0))
+    return nodes.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "node_key").limit(k).select("id", "node_key", "score", "confidence")

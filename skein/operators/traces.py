@@ -1,10 +1,12 @@
-"""Span topology, runtime verification and process mining, in batch and as a stream."""
+"""Span topology, runtime verification and process mining."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import operation, plain_path
+
 
 def service_stats(spans: DataFrame) -> DataFrame:
     return spans.groupBy("service_name").agg(
@@ -57,3 +59,27 @@ def coverage(log: DataFrame, model: DataFrame) -> DataFrame:
     per = both.groupBy("activity").agg(F.max("seen").alias("seen"), F.max("modelled").alias("modelled"))
     share = F.try_divide(F.count_if(F.col("seen") + F.col("modelled") == 2), F.sum("modelled"))
     return per.agg(F.round(F.coalesce(share, F.lit(1.0)), 6).alias("fitness"), F.count_if((F.col("seen") == 1) & (F.col("modelled") == 0)).alias("deviations"))
+
+
+def ingested(raw: DataFrame) -> DataFrame:
+    """Spans as they are stored: status OK unless one is given, epoch milliseconds as a timestamp, one row per span_id (the latest)."""
+    spans = raw.withColumn("status", F.coalesce("status", F.lit("OK"))).withColumn("started_at", F.timestamp_millis("started_ms"))
+    last = F.row_number().over(Window.partitionBy("span_id").orderBy(F.desc("started_ms"), "status"))
+    return spans.withColumn("_r", last).where("_r = 1").drop("_r", "started_ms")
+
+
+def aligned(spans: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(name, id, n): spans (operation 'METHOD path') counted by name, with the endpoint (id, name) of that name or null. Spans are counted before they join."""
+    seen = spans.groupBy(F.concat_ws(" ", F.upper(operation(F.col("operation"))["method"]), plain_path(operation(F.col("operation"))["path"])).alias("name")).agg(F.count("*").alias("n"))
+    return seen.join(endpoints, "name", "left").select("name", "id", "n")
+
+
+#: Scenarios to test by type of node.
+SCENARIOS = {"ApiEndpoint": ("success", "bad_request", "forbidden"), "Table": ("insert", "constraint")}
+
+
+def test_cases(nodes: DataFrame) -> DataFrame:
+    """(case_id, node_type): one row per scenario of every node that has some."""
+    table = F.create_map(*[x for t, names in SCENARIOS.items() for x in (F.lit(t), F.array(*map(F.lit, names)))])
+    made = nodes.select("id", "node_type", F.explode(F.try_element_at(table, F.col("node_type"))).alias("scenario"))
+    return made.select(F.concat_ws(":", "id", "scenario").alias("case_id"), "node_type")

@@ -13,6 +13,10 @@ from skein.storage import drop, materialize
 REVERSE_TYPES = ("CALLS", "READS", "WRITES", "BELONGS_TO", "DEPENDS_ON", "IMPLEMENTS", "EXTENDS", "IMPLEMENTED_BY", "EXPOSED_BY")
 
 
+#: Presets of edge types by what changes.
+PRESETS = {"TABLE_REVERSE": ("READS", "WRITES", "JOINS", "EXECUTES", "CONTAINS", "CALLS", "HANDLED_BY"), "API_REVERSE": ("CALLS", "EXPOSED_BY", "HANDLED_BY"), "SERVICE_REVERSE": ("CALLS", "CONTAINS", "HANDLED_BY", "IMPLEMENTS")}
+
+
 def oriented(edges: DataFrame, direction: str = "out", edge_types: Sequence[str] | None = None) -> DataFrame:
     """(src, dst, id) as travelled: out, in or both ways."""
     e = edges if edge_types is None else edges.where(F.col("edge_type").isin(list(edge_types)))
@@ -49,7 +53,7 @@ def paths(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "
     With ends (id), a backward pass first finds what can still reach an end in the steps left, and trails
     that cannot are never built.
     """
-    steps = oriented(edges, direction, edge_types)
+    steps, _ = materialize(oriented(edges, direction, edge_types), "steps")
     allowed = None
     if ends is not None:
         back = {"out": "in", "in": "out", "both": "both"}[direction]
@@ -60,6 +64,7 @@ def paths(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "
         step = steps.join(allowed.where(F.col("left") <= max_depth - depth), "dst", "left_semi") if allowed is not None else steps
         grown = now.join(step.withColumnRenamed("src", "end"), "end").where(~F.array_contains("path_edges", F.col("id")))
         now = grown.select("start", F.col("dst").alias("end"), F.lit(depth).alias("depth"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("path_edges", F.col("id")).alias("path_edges"))
+        now, _ = materialize(now, "trails")
         out = now if out is None else out.union(now)
     return out if ends is None else out.join(ends.select(F.col("id").alias("end")), "end", "left_semi")
 
@@ -79,12 +84,13 @@ def neighbours(edges: DataFrame, ids: DataFrame, cap: int = 20) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, cap: int = 20) -> DataFrame:
     """(id, level) within depth, expanding at most cap neighbours of each node."""
-    known = seeds.select("id", F.lit(0).alias("level"))
-    frontier = seeds.select("id")
+    known, at = materialize(seeds.select("id", F.lit(0).alias("level")).distinct(), "near")
     for level in range(1, depth + 1):
+        frontier = known.where(F.col("level") == level - 1)
         new = neighbours(edges, frontier, cap).select(F.col("neighbour").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
-        known = known.union(new.withColumn("level", F.lit(level)))
-        frontier = new
+        grown, grown_at = materialize(known.union(new.withColumn("level", F.lit(level))), "near")
+        drop(known.sparkSession, at)
+        known, at = grown, grown_at
     return known
 
 
@@ -124,3 +130,35 @@ def chain_coverage(start: DataFrame, edges: DataFrame, chain: Sequence[Sequence[
 
 def covered_status(share):
     return F.when(share >= 0.8, "COVERED").when(share >= 0.3, "PARTIAL").otherwise("MISSING")
+
+
+def coverage_risk(share):
+    return F.when(share < 0.5, "HIGH").when(share < 0.8, "MEDIUM").otherwise("LOW")
+
+
+def lineage(targets: DataFrame, nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str], depth: int = 4) -> DataFrame:
+    """(requirement_id, id, risk, columns): tables that a requirement's targets (requirement_id, id) are, at risk 1, or lead back to, at 0.7.
+
+    Reach is found once for the distinct targets with each one's own levels, not once a requirement. columns
+    counts the table's columns.
+    """
+    steps = oriented(edges, "in", edge_types)
+    now = targets.select("requirement_id", "id").distinct()
+    found, at = materialize(now.withColumn("level", F.lit(0)), "lineage")
+    for level in range(1, depth + 1):
+        new = found.where(F.col("level") == level - 1).join(steps.select(F.col("src").alias("id"), F.col("dst").alias("to")), "id").select("requirement_id", F.col("to").alias("id")).distinct()
+        new = new.join(found.select("requirement_id", "id"), ["requirement_id", "id"], "left_anti").withColumn("level", F.lit(level))
+        grown, grown_at = materialize(found.union(new), "lineage")
+        drop(found.sparkSession, at)
+        found, at = grown, grown_at
+    tables = nodes.where("node_type = 'Table'").select("id")
+    columns = edges.where("edge_type = 'HAS_COLUMN'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("columns"))
+    risk = F.when(F.col("level") == 0, 1.0).otherwise(0.7)
+    return found.join(tables, "id", "left_semi").join(columns, "id", "left").select("requirement_id", "id", risk.alias("risk"), F.coalesce("columns", F.lit(0)).alias("columns"))
+
+
+def incident(edges: DataFrame, ids: DataFrame, limit: int = 200) -> DataFrame:
+    """At most `limit` edges at the nodes, by id."""
+    i = ids.select("id").distinct()
+    at = lambda end: edges.join(i.withColumnRenamed("id", end), end, "left_semi").select("id", "src", "dst", "edge_type")
+    return at("src").union(at("dst")).distinct().orderBy("id").limit(limit)

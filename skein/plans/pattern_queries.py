@@ -88,7 +88,8 @@ def _(d):
 def _(d):
     m = d.customer.select(F.concat(F.lit("mth:"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("ns."), (F.col("c_custkey") % 40).cast("string"), F.lit("(int)")).alias("key"), "c_custkey")
     s = d.orders.select(F.concat(F.lit("sql:"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("ns."), (F.col("o_custkey") % 60).cast("string")).alias("key"))
-    done = J.statement_links(m.where("c_custkey % 7 = 0"), s, d.spark.createDataFrame([], "method string, sql string"))
+    first = d.orders.groupBy((F.col("o_custkey") % 60).alias("g")).agg(F.min(F.concat(F.lit("sql:"), F.col("o_orderkey").cast("string"))).alias("sql"))
+    done = d.customer.where("c_custkey % 7 = 0").withColumn("g", F.col("c_custkey") % 40).join(first, "g").select(F.concat(F.lit("mth:"), F.col("c_custkey").cast("string")).alias("method"), "sql")
     return J.statement_links(m, s, done)
 
 
@@ -137,17 +138,42 @@ def _(d):
     return J.cross_links(a.where("access = 'WRITE'"), a.where("access = 'READ'"), "tbl", 0.95)
 
 
-@query("J25_cross_repo_impact", _X + " select from_node, to_node, tbl, 'HIGH' as \"level\" from l where from_project = 'p1' or to_project = 'p1'")
+_APIS = "select distinct concat('p', cast(a.c_custkey % 3 as string)) from_project, a.c_custkey from_node, concat('p', cast(b.c_custkey % 3 as string)) to_project, b.c_custkey to_node from customer a join customer b on a.c_nationkey = b.c_nationkey where a.c_acctbal > 9000 and b.c_acctbal < 0 and a.c_custkey % 3 <> b.c_custkey % 3"
+
+
+def _apis(d, confidence=0.9):
+    side = lambda w: d.customer.where(w).select(F.concat(F.lit("p"), (F.col("c_custkey") % 3).cast("string")).alias("project"), F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("k"))
+    return J.cross_links(side("c_acctbal > 9000"), side("c_acctbal < 0"), "k", confidence)
+
+
+_TOPICS = "select distinct concat('p', cast(a.user_id % 3 as string)) from_project, a.user_id from_node, concat('p', cast(b.user_id % 3 as string)) to_project, b.user_id to_node from (select user_id, event_type t from events where value > 90) a join (select user_id, event_type t from events where value < 5) b on a.t = b.t where a.user_id % 3 <> b.user_id % 3"
+
+
+def _topics(d):
+    side = lambda w: d.events.where(w).select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project"), F.col("user_id").alias("node"), F.col("event_type").alias("topic")).distinct()
+    return J.cross_links(side("value > 90"), side("value < 5"), "topic", 0.75)
+
+
+@query("J23_cross_repo_apis", _APIS)
 def _(d):
-    a = _access(d)
-    links = J.cross_links(a.where("access = 'WRITE'"), a.where("access = 'READ'"), "tbl", 0.95).where("from_project = 'p1' or to_project = 'p1'")
-    return links.select("from_node", "to_node", "tbl", J.impact_level(F.col("confidence")).alias("level"))
+    return _apis(d).select("from_project", "from_node", "to_project", "to_node").distinct()
 
 
-@query("J23_cross_repo_apis", "select distinct a.c_custkey % 3 p, b.c_custkey % 3 q, a.c_nationkey k from customer a join customer b on a.c_nationkey = b.c_nationkey where a.c_acctbal > 9000 and b.c_acctbal < 0 and a.c_custkey % 3 <> b.c_custkey % 3")
+@query("J24_cross_repo_topics", _TOPICS.replace("select distinct", "select distinct a.t topic,"))
 def _(d):
-    side = lambda w: d.customer.where(w).select((F.col("c_custkey") % 3).alias("project"), F.lit(0).alias("node"), F.col("c_nationkey").alias("k"))
-    return J.cross_links(side("c_acctbal > 9000"), side("c_acctbal < 0"), "k", 0.9).select(F.col("from_project").alias("p"), F.col("to_project").alias("q"), "k")
+    return _topics(d).select("topic", "from_project", "from_node", "to_project", "to_node")
+
+
+@query(
+    "J25_cross_repo_impact",
+    _X + f""", g as (select from_project, to_project, 0.95 c from l union all select from_project, to_project, 0.9 from ({_APIS}) y union all select from_project, to_project, 0.75 from ({_TOPICS}) z) select from_project, to_project, case when c >= 0.9 then 'HIGH' when c >= 0.7 then 'MEDIUM' else 'LOW' end as "level", count(*) n from g where from_project = 'p1' or to_project = 'p1' group by 1, 2, 3""",
+)
+def _(d):
+    a = _access(d)
+    ends = lambda links: links.select("from_project", "from_node", "to_project", "to_node", "confidence")
+    tables = ends(J.cross_links(a.where("access = 'WRITE'"), a.where("access = 'READ'"), "tbl", 0.95))
+    links = tables.union(ends(_apis(d).distinct())).union(ends(_topics(d)).distinct()).where("from_project = 'p1' or to_project = 'p1'")
+    return links.groupBy("from_project", "to_project", J.impact_level(F.col("confidence")).alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("J26_evidence_join_coverage", "select node_type, count(distinct id) n from (select node_type, id, unnest(string_split(evidence_ids, ',')) e from nodes where evidence_ids <> '') x where e in (select concat('e', cast(n_nationkey as string)) from nation) group by node_type", "nodes")
@@ -221,9 +247,17 @@ def _(d):
     return P.neighbours(d.edges, _of(d, "Controller"))
 
 
-@query("P8_neighbourhood", "select id, cast(0 as integer) as \"level\" from nodes where id = 'dom:1' union all select distinct dst, 1 from edges where src = 'dom:1'", "nodes edges")
+_NEAR = "select distinct o id from (select b.s, b.o, row_number() over (partition by b.s order by b.o) r from b where b.s in (select id from {f})) x where r <= 20"
+
+
+@query(
+    "P8_neighbourhood",
+    f"""with b as materialized (select src s, dst o from edges union select dst, src from edges), l0 as (select id from nodes where node_type = 'BusinessDomain' or id = 'svc:3'), l1 as materialized (select id from ({_NEAR.format(f='l0')}) y where id not in (select id from l0)), l2 as (select id from ({_NEAR.format(f='l1')}) y where id not in (select id from l0 union all select id from l1))
+    select id, 0 "level" from l0 union all select id, 1 from l1 union all select id, 2 from l2""",
+    "nodes edges",
+)
 def _(d):
-    return P.neighbourhood(d.edges, d.nodes.where("id = 'dom:1'"), 1)
+    return P.neighbourhood(d.edges, d.nodes.where("node_type = 'BusinessDomain' or id = 'svc:3'"), 2)
 
 
 _RAD = "r as (select distinct src source, dst target, edge_type from edges where edge_type in ('CALLS', 'READS', 'WRITES', 'BELONGS_TO', 'DEPENDS_ON', 'IMPLEMENTS', 'EXTENDS', 'IMPLEMENTED_BY', 'EXPOSED_BY') and dst in (select id from nodes where source_path in ('src/m2/Table.java', 'src/m3/Service.java')))"
@@ -255,6 +289,20 @@ def _(d):
     return induced_edges(d.edges, hit.union(near.orderBy("id").limit(100)).distinct()).select("id")
 
 
+@query(
+    "P5_forward_impact",
+    _REACH.format(seed="tbl:10", to="dst", on="src", depth=3, types=" and edge_type in ('REFERENCES', 'JOINS', 'READS', 'WRITES')"),
+    "nodes edges",
+)
+def _(d):
+    return P.reach(d.nodes.where("id = 'tbl:10'"), d.edges, 3, "out", ["REFERENCES", "JOINS", "READS", "WRITES"]).select("id", "level")
+
+
+@query("P3_preset_reach", _REACH.format(seed="tbl:5", to="src", on="dst", depth=3, types=" and edge_type in ('READS', 'WRITES', 'JOINS', 'EXECUTES', 'CONTAINS', 'CALLS', 'HANDLED_BY')"), "nodes edges")
+def _(d):
+    return P.reach(d.nodes.where("id = 'tbl:5'"), d.edges, 3, "in", P.PRESETS["TABLE_REVERSE"]).select("id", "level")
+
+
 @query("P13_transitive_closure", "with o as (select distinct src, dst from edges where edge_type = 'DEPENDS_ON'), t as (select a.src, b.dst from o a join o b on a.dst = b.src union select a.src, c.dst from o a join o b on a.dst = b.src join o c on b.dst = c.src) select src, dst from t where src <> dst and not exists (select 1 from o where o.src = t.src and o.dst = t.dst)", "edges")
 def _(d):
     return P.transitive_closure(d.edges, "DEPENDS_ON")

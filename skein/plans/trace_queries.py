@@ -21,6 +21,33 @@ def _(d):
     return T.call_edges(d.spans)
 
 
+@query("T1_ingested_spans", "select event_id span_id, case event_type when 'error' then 'ERROR' else 'OK' end status, cast(ts as date) \"day\" from events")
+def _(d):
+    raw = d.events.select(F.col("event_id").alias("span_id"), "user_id", F.when(F.col("event_type") == "error", "ERROR").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("started_ms"))
+    return T.ingested(raw).select("span_id", "status", F.to_date("started_at").alias("day"))
+
+
+@query(
+    "T3_trace_alignment",
+    "with t as (select concat('GET /c/', cast(user_id * 7 as varchar)) name, count(*) n from events group by 1), a as (select id, node_name from nodes where node_type = 'ApiEndpoint') select name, id, n from t left join a on a.node_name = t.name",
+    "nodes",
+)
+def _(d):
+    spans = d.events.select(F.concat(F.lit("get  /c/"), (F.col("user_id") * 7).cast("string"), F.lit("?x=1")).alias("operation"))
+    return T.aligned(spans, d.nodes.where("node_type = 'ApiEndpoint'").select("id", F.col("node_name").alias("name")))
+
+
+@query("T3_static_only_edges", "select id from edges e where edge_type = 'HANDLED_BY' and src not in (select concat('api:', cast(user_id as varchar)) from events) order by id limit 100", "edges")
+def _(d):
+    seen = d.events.select(F.concat(F.lit("api:"), F.col("user_id").cast("string")).alias("src")).distinct()
+    return d.edges.where("edge_type = 'HANDLED_BY'").join(seen, "src", "left_anti").orderBy("id").limit(100).select("id")
+
+
+@query("T14_test_cases", "select concat(n.id, ':', s) case_id, node_type from nodes n join (values ('ApiEndpoint', 'success'), ('ApiEndpoint', 'bad_request'), ('ApiEndpoint', 'forbidden'), ('Table', 'insert'), ('Table', 'constraint')) v(t, s) on t = node_type", "nodes")
+def _(d):
+    return T.test_cases(d.nodes)
+
+
 @query("T5_recent_traces", "select trace_id, max(ts) last_seen from spans group by trace_id order by last_seen desc, trace_id limit 20", "spans")
 def _(d):
     return d.spans.groupBy("trace_id").agg(F.max("ts").alias("last_seen")).orderBy(F.desc("last_seen"), "trace_id").limit(20)
@@ -60,6 +87,6 @@ def _(d):
     return d.process_log.select(F.col("case_id").cast("string").alias("case"), "activity", "started_at").orderBy(F.asc_nulls_last("started_at"), "case", "activity")
 
 
-@query("T13_activity_coverage", "select round(2 / 3.0, 6) fitness, (select count(distinct activity) from process_log where activity not in ('view', 'click')) deviations", "process_log")
+@query("T13_activity_coverage", "with m as (select * from (values ('view'), ('click'), ('refund')) v(a)), s as (select distinct activity a from process_log) select round((select count(*) from m semi join s using (a)) / (select cast(count(*) as double) from m), 6) fitness, (select count(*) from s anti join m using (a)) deviations", "process_log")
 def _(d):
     return T.coverage(d.process_log, d.spark.createDataFrame([("view",), ("click",), ("refund",)], "activity string"))
