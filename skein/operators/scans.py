@@ -89,8 +89,13 @@ def window_page(nodes: DataFrame, cursor: str | None, limit: int, **filters) ->
     return limited(found if cursor is None else found.where(F.col("node_key") > cursor), limit, "node_key", "id")
 
 
+#: Nodes that one page of a unified graph holds at most.
+PAGE = 2000
+
+
 def page_envelope(nodes: DataFrame, edges: DataFrame, cursor: str | None, limit: int, **filters) -> DataFrame:
-    """One row for a page: has_more, next_cursor, n_nodes, n_edges (inside the page), total."""
+    """One row for a page of `limit` nodes, at most PAGE: has_more, next_cursor, n_nodes, n_edges (inside the page), total."""
+    limit = min(limit, PAGE)
     probe = window_page(nodes, cursor, limit + 1, **filters)
     page = limited(probe, limit, "node_key", "id")
     ends = page.agg(F.count("*").alias("n_nodes"), F.max("node_key").alias("last"))
@@ -174,3 +179,17 @@ def offset_page(df: DataFrame, page: int, size: int, *order: str | Column) -> Da
 def run_sql(spark, text: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
     """Free-form SQL over named tables, with parameters."""
     return spark.sql(text, args=args, **tables)
+
+
+def run_write(spark, text: str, path: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Free-form SQL whose result replaces the table at path; gives the table as it then is."""
+    made = spark.sql(text, args=args, **tables)
+    made.write.mode("overwrite").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def version_statistics(versions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(version_id, cached, live, stale) of versions (version_id, cached) against the nodes (version_id) that are there now."""
+    live = nodes.groupBy("version_id").agg(F.count("*").alias("live"))
+    out = versions.join(live, "version_id", "left").withColumn("live", F.coalesce("live", F.lit(0)))
+    return out.select("version_id", "cached", "live", (~F.col("cached").eqNullSafe(F.col("live"))).alias("stale"))

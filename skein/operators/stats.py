@@ -146,3 +146,8 @@ def reused(edges: DataFrame, nodes: DataFrame, edge_type: str, threshold: int =
     for name, pattern in REUSE:
         kind = F.coalesce(kind, F.when(F.col("node_name").rlike(pattern), name))
     return use.join(nodes.select(F.col("id").alias("dst"), "node_name"), "dst").select(F.col("dst").alias("id"), "usage_count", F.array_join("users", ",").alias("users"), F.coalesce(kind, F.lit("COMPONENT")).alias("reuse_type"))
+
+
+def grouped(df: DataFrame, by: Sequence[str], sums: Sequence[str] = (), distinct: Sequence[str] = ()) -> DataFrame:
+    """Rows of each group: n, the sums of columns (sum_x) and the counts of their distinct values (distinct_x)."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums], *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct])

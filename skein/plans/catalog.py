@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans import registry
 
-for _name in ("scan_queries", "stats_queries", "pattern_queries", "diff_queries", "retrieval_queries", "trace_queries", "function_queries", "claim_queries", "resolution_queries", "write_queries", "document_queries", "evaluation_queries", "search_queries", "impact_queries", "stream_queries"):
+for _name in ("scan_queries", "stats_queries", "pattern_queries", "diff_queries", "retrieval_queries", "trace_queries", "function_queries", "claim_queries", "resolution_queries", "write_queries", "document_queries", "evaluation_queries", "search_queries", "impact_queries", "stream_queries", "report_queries"):
     import_module(f"skein.plans.{_name}")
 
 

@@ -89,3 +89,18 @@ def test_merge_rewires_edges(spark):
     assert sorted(r.id for r in kept.collect()) == ["a", "c", "d"]
     assert sorted(tuple(r) for r in moved.collect()) == [("a", "c", "CALLS", "e1"), ("d", "d", "CALLS", "e4")]
     assert [tuple(r) for r in lineage.collect()] == [("b", "a")]
+
+
+def test_greedy_matches(spark):
+    from skein.operators.patterns import greedy_matches
+
+    rng = random.Random(8)
+    pairs = [(a, b, rng.randrange(20) / 20) for a in range(25) for b in range(25) if rng.random() < 0.5]
+    got = {(r.a, r.b) for r in greedy_matches(spark.createDataFrame(pairs, "a int, b int, score double"), 0.3).collect()}
+    want, used_a, used_b = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
+        if s >= 0.3 and a not in used_a and b not in used_b:
+            want.add((a, b))
+            used_a.add(a)
+            used_b.add(b)
+    assert got == want
