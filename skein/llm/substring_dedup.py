@@ -75,29 +75,39 @@ class _Windows:
         self.bounds = np.searchsorted(self.values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
+#: Entries from which a bucket's first bytes are sent as 256 counts, a table of 1 KiB, rather than each by itself.
+COUNTED = 4096
+
+
 def _encode(values: np.ndarray, least: np.ndarray, bits: int) -> tuple[bytes, bytes, bytes, bytes]:
-    """56 bits of each hash below the bucket's (sorted: counts by the first byte, then six bytes each) and the documents by table."""
+    """56 bits of each hash below the bucket's, sorted (seven bytes each; in large buckets six, behind counts by the first byte), and the documents by table."""
     v = (values << np.uint64(bits)) >> np.uint64(8)
-    counts = np.bincount((v >> np.uint64(48)).astype(np.int64), minlength=256).astype(np.uint32)
+    many = len(v) >= COUNTED
+    counts = np.bincount((v >> np.uint64(48)).astype(np.int64), minlength=256).astype(np.uint32).tobytes() if many else b""
     table, index = np.unique(least, return_inverse=True)
-    return counts.tobytes(), v.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), table.tobytes(), index.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32).tobytes()
+    kind = np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32
+    return counts, v.view(np.uint8).reshape(-1, 8)[:, : 6 if many else 7].tobytes(), table.tobytes(), index.astype(kind).tobytes()
 
 
 def _decode(counts: bytes, low: bytes, table: bytes, index: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(low) // 6
+    width = 6 if counts else 7
+    n = len(low) // width
     v = np.zeros((n, 8), np.uint8)
-    v[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-    v[:, 6] = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(counts, np.uint32))
+    v[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+    if counts:
+        v[:, 6] = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(counts, np.uint32))
     ids = np.frombuffer(table, np.int64)
-    return v.view(np.uint64).reshape(-1), ids[np.frombuffer(index, np.uint16 if len(ids) <= 1 << 16 else np.uint32)]
+    kind = np.uint8 if len(ids) <= 1 << 8 else np.uint16 if len(ids) <= 1 << 16 else np.uint32
+    return v.view(np.uint64).reshape(-1), ids[np.frombuffer(index, kind)]
 
 
-def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, keep_layout: bool = False) -> DataFrame:
     """Removes the words of every window of `width` words that a document with a smaller id has too.
 
     docs: doc_id, text and any other columns, which stay (those named as the new ones are
     replaced). Words are [^\\x20\\x09-\\x0D]+, unchanged; all windows of whole texts are judged on the
-    input. Adds n_words, n_removed, kept_text (kept words joined by one space), removed
+    input. Adds n_words, n_removed, kept_text (kept words joined by one space; with keep_layout the
+    text itself without the removed words and what separates each from the next), removed
     (array<struct<first, last>>: the maximal removal intervals by word number), one row per input row. Null, blank and short texts have no windows
     and lose nothing; rows of one doc_id do not count as smaller than each other; a null doc_id
     counts as the largest.
@@ -121,11 +131,10 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 w = _Windows(blob.as_py(), width, bits)
                 rows: dict[str, list] = {k: [] for k in ("bucket", "chunk", "counts", "low", "ids", "index")}
-                for b in range(1 << bits):
+                for b in np.flatnonzero(np.diff(w.bounds)).tolist():
                     lo, hi = w.bounds[b], w.bounds[b + 1]
-                    if lo < hi:
-                        for k, x in zip(rows, (b, chunk, *_encode(w.values[lo:hi], w.least[lo:hi], bits)), strict=True):
-                            rows[k].append(x)
+                    for k, x in zip(rows, (b, chunk, *_encode(w.values[lo:hi], w.least[lo:hi], bits)), strict=True):
+                        rows[k].append(x)
                 yield pa.RecordBatch.from_pydict({k: pa.array(x, pa.int32() if k == "bucket" else pa.int64() if k == "chunk" else pa.binary()) for k, x in rows.items()})
 
     def answered(group: pa.Table) -> pa.Table:
@@ -155,7 +164,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
                     lo, hi = w.bounds[a["bucket"]], w.bounds[a["bucket"] + 1]
                     elsewhere[lo:hi] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=hi - lo)
                 repeated = elsewhere[w.which] | (w.least[w.which] < w.owner)
-                yield from _removed(w, w.starts[repeated], width)
+                yield from _removed(w, w.starts[repeated], width, keep_layout)
 
     packed = chunks.select("chunk", "blob").mapInArrow(sent, "bucket int, chunk long, counts binary, low binary, ids binary, index binary")
     answers = packed.groupBy("bucket").applyInArrow(answered, "chunk long, bucket int, bits binary")
@@ -164,7 +173,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     return chunks.join(answers, "chunk", "left").select("blob", "answers").mapInArrow(cut, schema)
 
 
-def _removed(w: _Windows, starts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def _removed(w: _Windows, starts: np.ndarray, width: int, keep_layout: bool) -> Iterator[pa.RecordBatch]:
     words = w.words
     edge = np.zeros(words.count + 1, np.int32)
     np.add.at(edge, starts, 1)
@@ -187,6 +196,16 @@ def _removed(w: _Windows, starts: np.ndarray, width: int) -> Iterator[pa.RecordB
     np.cumsum(np.where(gone, 0, words.ends - words.starts + 1), out=ends[1:])
     at = ends[words.offsets]
     kept = [text[s : max(s, e - 1)].decode() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    if keep_layout:
+        kept = w.rows.column("text").to_pylist()
+        for i in np.flatnonzero(np.diff(runs)).tolist():
+            data, edge = kept[i].encode(), np.append(words.begin[words.offsets[i] : words.offsets[i + 1]] - words.where[i], words.where[i + 1] - words.where[i])
+            parts, at = [], 0
+            for r in range(runs[i], runs[i + 1]):
+                parts.append(data[at : edge[first[r] - base[r]]])
+                at = edge[last[r] - base[r] + 1]
+            kept[i] = b"".join([*parts, data[at:]]).decode()
+        kept = [t or "" for t in kept]
     batch = pa.RecordBatch.from_arrays(
         [*w.rows.columns, pa.array(np.diff(words.offsets).astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string()), removed],
         [*w.rows.schema.names, "n_words", "n_removed", "kept_text", "removed"],

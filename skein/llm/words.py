@@ -53,6 +53,8 @@ class Words:
         after[where[1:]] = False
         lengths = np.flatnonzero(inside & ~after[1:]) + 1 - begin
         self.offsets = np.searchsorted(begin, where)
+        #: First byte of every word in the column's bytes, and where each text begins and ends there.
+        self.begin, self.where = begin, where
         self.count = len(begin)
         self._letters = raw[inside]
         order = np.arange(self.count)
