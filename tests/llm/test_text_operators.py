@@ -69,7 +69,7 @@ def test_token_counts(docs):
     path = public.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     odd = docs.sparkSession.createDataFrame([(20, "a<|endoftext|>b it's 12 Σ x"), (21, "é <|startoftext|>")], "doc_id long, text string")
-    got = count_tokens(docs.select("doc_id", "text").union(odd), path, max_tokens=50, frequent=8, sample_rows=5).collect()
+    got = count_tokens(docs.select("doc_id", "text").union(odd), path, max_tokens=50, frequent=8).collect()
     expected = [(d, t) for d, t in TEXTS] + [(20, "a<|endoftext|>b it's 12 Σ x"), (21, "é <|startoftext|>")]
     want = [(d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in expected]
     none_last = lambda r: (r[0] is None, r)
