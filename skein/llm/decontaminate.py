@@ -17,8 +17,10 @@ from skein.llm.words import Words, rolling, slices
 WIDTH = 5
 #: Fingerprint bits that may differ, and the blocks they are cut in: with 7 blocks one of them differs in at most one bit.
 RADIUS, BLOCKS = 13, 7
-#: Items that one index holds; larger benchmarks take several, one after the other.
+#: Items that one index holds; larger benchmarks take several, which one pass over the texts looks up.
 ITEMS = 20_000
+#: Window starts that are fingerprinted at a time: bounds memory in the length of a text.
+STARTS = 16_384
 _MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -60,10 +62,11 @@ class _Coded:
 
     def votes(self, a: int, b: int) -> np.ndarray:
         """Sums of weighted bit votes of words a..i, for i from a to b, with a row of zeros first."""
-        w = _weights([self.distinct[c] for c in self.codes[a:b]])
-        bits = (self.hash[a:b, None] >> _BITS & np.uint64(1)).astype(np.int64) * 2 - 1
-        out = np.zeros((b - a + 1, 64), np.int64)
-        np.cumsum(bits * w[:, None], axis=0, out=out[1:])
+        w = np.array([len(self.distinct[c].decode()) for c in self.codes[a:b]], np.int32)
+        out = np.zeros((b - a + 1, 64), np.int32)
+        for bit in range(64):
+            set_ = (self.hash[a:b] >> np.uint64(bit) & np.uint64(1)).astype(np.int32)
+            np.cumsum(np.where(set_ == 1, w, -w), out=out[1:, bit])
         return out
 
 
@@ -170,38 +173,45 @@ class Index:
         # a window that is similar enough shares a shingle with its item, so only windows over a hit can be
         reach = self.lengths[-1]
         split = np.flatnonzero((np.diff(where) > 2 * reach) | (np.diff(owner[where]) != 0)) + 1
+        found: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for run in np.split(where, split):
             t = int(owner[run[0]])
-            a, b = max(int(off[t]), int(run[0]) - reach), min(int(off[t + 1]), int(run[-1]) + reach + 1)
-            votes = coded.votes(a, b)
-            for n in self.lengths:
-                last = b - a - n
-                if last < 0:
-                    break
-                edge = np.zeros(last + 2, np.int64)
-                np.add.at(edge, np.clip(run - a - n + min(n, WIDTH), 0, last + 1), 1)
-                np.add.at(edge, np.clip(run - a + 1, 0, last + 1), -1)
-                begin = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                row, item = self.within(n, _fingerprints(votes[begin + n] - votes[begin]))
-                best: dict[int, list[tuple[int, float]]] = {}
-                made: dict[int, dict[bytes, int]] = {}
-                for r, i in zip(row.tolist(), item.tolist(), strict=True):
-                    s = int(begin[r])
-                    if s not in made:
-                        made[s] = _shingles(coded.list(a + s, a + s + n))
-                    sim = similarity(made[s], self.shingles[i])
-                    if sim >= least:
-                        best.setdefault(i, []).append((s, sim))
-                for i, found in best.items():
-                    group: list[tuple[int, float]] = []
-                    for s, sim in [*sorted(found), (1 << 60, 0.0)]:
-                        if group and s >= group[0][0] + n:
-                            s0, sim0 = max(group, key=lambda x: (x[1], -x[0]))
-                            out.append((t, i, a + s0 - int(off[t]), n, sim0))
-                            group = []
-                        group.append((s, sim))
+            low, high = max(int(off[t]), int(run[0]) - reach), int(run[-1]) + 1
+            for a in range(low, high, STARTS):
+                self._windows(coded, run, a, min(a + STARTS, high), int(off[t + 1]), t, least, found)
+        for (t, i), hits in found.items():
+            n = int(self.words[i])
+            group: list[tuple[int, float]] = []
+            for s, sim in [*sorted(hits), (1 << 60, 0.0)]:
+                if group and s >= group[0][0] + n:
+                    s0, sim0 = max(group, key=lambda x: (x[1], -x[0]))
+                    out.append((t, i, s0 - int(off[t]), n, sim0))
+                    group = []
+                group.append((s, sim))
         return out
 
+    def _windows(self, coded: _Coded, run: np.ndarray, a: int, b: int, end: int, t: int, least: float, found: dict[tuple[int, int], list[tuple[int, float]]]) -> None:
+        """Adds to found, by (text, item), the windows (start, similarity) that start at words a..b of text t, end by `end` and lie over a hit of run."""
+        last_word = min(b + self.lengths[-1], end)
+        votes = coded.votes(a, last_word)
+        for n in self.lengths:
+            last = min(b - 1, last_word - n) - a
+            if last < 0:
+                continue
+            edge = np.zeros(last + 2, np.int64)
+            np.add.at(edge, np.clip(run - a - n + min(n, WIDTH), 0, last + 1), 1)
+            np.add.at(edge, np.clip(run - a + 1, 0, last + 1), -1)
+            begin = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+            row, item = self.within(n, _fingerprints(votes[begin + n] - votes[begin]))
+            made: dict[int, dict[bytes, int]] = {}
+            for r, i in zip(row.tolist(), item.tolist(), strict=True):
+                s = a + int(begin[r])
+                if s not in made:
+                    made[s] = _shingles(coded.list(s, s + n))
+                sim = similarity(made[s], self.shingles[i])
+                if sim >= least:
+                    found.setdefault((t, i), []).append((s, sim))
+
 
 def _indexes(spark: SparkSession, benchmark: DataFrame):
     """Broadcast indexes of at most ITEMS items each; the driver holds one block of items at a time."""
@@ -231,15 +241,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     items that share shingles of enough weight with it are looked up by shingle and verified alike.
 
     Null texts and items without words match nothing; equal items each match; a null doc_id stays
-    null; repeated rows each match. Texts do not move: each task looks them up in the index.
+    null; repeated rows each match. Texts do not move: each task looks them up in the indexes. Long
+    texts are fingerprinted STARTS windows at a time, whatever their length.
     """
-    out = None
-    for shared in _indexes(docs.sparkSession, benchmark):
+    indexes = list(_indexes(docs.sparkSession, benchmark))
 
-        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                for shared in indexes:
+                    index = shared.value
                     got = index.matches(part.column("text"), least)
                     at = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -247,21 +258,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
                         ["doc_id", "item_id", "first_word", "n_words", "similarity"],
                     )
 
-        one = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, item_id long, first_word long, n_words long, similarity double")
-        out = one if out is None else out.union(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, item_id long, first_word long, n_words long, similarity double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item (see `contaminated`)."""
-    for shared in _indexes(docs.sparkSession, benchmark):
+    indexes = list(_indexes(docs.sparkSession, benchmark))
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text", 2 << 20):
-                    keep = np.ones(part.num_rows, bool)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                keep = np.ones(part.num_rows, bool)
+                for shared in indexes:
                     keep[[g[0] for g in shared.value.matches(part.column("text"), least)]] = False
-                    yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
