@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,6 +116,7 @@ def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs:
     n = rows.count()
     theta = np.concatenate([np.zeros(size), extra])
     if not n:
+        drop(spark, at)
         return theta
     ridge = prior / n
 
@@ -163,6 +165,8 @@ def fit(labelled: DataFrame, loss: Loss, extra: np.ndarray, bits: int, outputs:
             pairs = [*pairs[-7:], (s, y)]
         if done:
             break
+    else:
+        warnings.warn(f"fit stopped after {rounds} rounds at loss {now:.6g}, gradient {float(np.linalg.norm(grad)):.2g}", stacklevel=2)
     drop(spark, at)
     return theta
 

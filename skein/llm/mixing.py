@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     the tokens asked for, whose share stays under the target even among tokens weighted by their
     posterior for it: to meet those, nearly all documents would have to get rate 0. The others
     share what the left-out domains do not hold in proportion; with none left every rate is 1.
-    Other targets that no rates reach are met as nearly as can be. Null and blank texts weigh
+    Other targets that no rates reach are met as nearly as can be; a fit that has not converged after
+    `rounds` warns with its residual. Null and blank texts weigh
     nothing; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -117,10 +119,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     scale = np.where(used & (moments.diagonal() > 0), 1 / np.maximum(moments.diagonal(), 1e-300), 0)
     root = np.sqrt(scale)
     length = 1 / max(float(np.linalg.eigvalsh(root[:, None] * moments * root).max(initial=0)), 1e-12)
-    for _ in range(rounds):
+    for done in range(rounds + 1):
         residual = np.where(used, now - goal, 0)
         if not now.sum() or np.abs(residual).max() <= tolerance * goal.sum():
             break
+        if done == rounds:
+            warnings.warn(f"rates not converged after {rounds} rounds: largest residual {np.abs(residual).max() / goal.sum():.2g} of all tokens", stacklevel=2)
+            break
         steps = np.vstack([steps, length * scale * residual])
         before, now = now, total("sums", steps)
         if np.abs(now - before).max() <= 1e-3 * tolerance * goal.sum():
