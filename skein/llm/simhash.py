@@ -334,16 +334,17 @@ def candidate_pairs(classes: DataFrame, least: float, seeds: int = SEEDS, keys:
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
             columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
-    component = F.lit(0).cast("long") if keys is None else F.col("component")
+    again = keys is not None
+    component = F.col("component") if again else F.lit(0).cast("long")
     dealt = classes.select("id", "size", component.alias("component"), F.explode(F.array(*columns)).alias("k")).select("id", "size", "component", "k.*")
-    if keys is not None:
+    if again:
         dealt = dealt.join(keys, ["cut", "key"], "left_semi")
 
     def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         ids, size, fps, label = rows.column("id").to_numpy(), rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a]):
-            if keys is not None:
+            if again:
                 a, b = a[label[a] != label[b]], b[label[a] != label[b]]
             near = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART
             a, b = a[near], b[near]
@@ -352,7 +353,7 @@ def candidate_pairs(classes: DataFrame, least: float, seeds: int = SEEDS, keys:
             held.append((a[near], b[near], apart[near]))
         a, b, apart = (np.concatenate([x[i] for x in held]) for i in range(3))
         full = np.zeros(0, np.int64)
-        if keys is None:
+        if not again:
             count = np.bincount(group)
             many = np.bincount(group[a], minlength=len(count)) > PAIRS_A_ROW * count
             dense = np.flatnonzero(many[group[a]])
