@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.words import Words, mixed, rolling, slices
@@ -152,10 +152,11 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def _meetings(group: np.ndarray, side: np.ndarray, within: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(group: np.ndarray, side: np.ndarray, within: Callable[[np.ndarray, np.ndarray], np.ndarray], inner: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of equal group, nearest places first; rows are sorted by group and by what `within` compares, so none beyond it follows.
 
-    Rows of the two tiles that meet (side 1 and 2) pair with each other only: each tile is paired within itself elsewhere (side 0).
+    Rows of the two tiles that meet (side 1 and 2) pair with each other only: each tile is paired within
+    itself elsewhere (side 0). `inner` gives the pairs within each of the two as well.
     """
     at, shift = np.arange(len(group)), 1
     while True:
@@ -163,7 +164,7 @@ def _meetings(group: np.ndarray, side: np.ndarray, within: Callable[[np.ndarray,
         at = at[(group[at] == group[at + shift]) & within(at, at + shift)]
         if not len(at):
             return
-        met = at[(side[at] != side[at + shift]) | (side[at] == 0)]
+        met = at if inner else at[(side[at] != side[at + shift]) | (side[at] == 0)]
         yield met, met + shift
         shift += 1
 
@@ -275,16 +276,14 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return prints.join(named, "fps", "left").select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Fingerprints of `near_duplicate_components` and the groups of bits each is dealt by.
-SEEDS, GROUPS = 12, 5
-#: Fingerprints that a dealt row carries; bits that the first and all of them may differ in.
-CARRIED, APART, ALL_APART = 3, 20, 56
-#: Candidate pairs a row up to which a group gives them all at once; beyond it a spanning forest first.
-PAIRS_A_ROW = 4
+#: Fingerprints of `near_duplicate_components`, those of its first pass, and the groups of bits each is dealt by.
+SEEDS, FIRST_SEEDS, GROUPS = 12, 3, 5
+#: Fingerprints that a dealt row carries; bits that the first of them may differ in, and all of them, for sets under SMALL shingles and others.
+CARRIED, APART, SMALL, ALL_APART = 6, 20, 16, (101, 88)
 
 
-def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFrame:
-    """(doc_id, set_id, size, fps): SimHashes of each whole text's distinct shingles; equal sets share set_id, that of none is 0."""
+def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS, also: str | None = None) -> DataFrame:
+    """(doc_id, set_id, size, fps, and the long column `also`): SimHashes of each whole text's distinct shingles; equal sets share set_id, that of none is 0."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,22 +291,23 @@ def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS) -> DataFra
                 h, offsets = shingle_sets(part.column("text"), width)
                 flat = np.stack([majority(_seeded(h, s), offsets) for s in range(1, seeds + 1)], axis=1).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * seeds, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_ids(h, offsets)), pa.array(np.diff(offsets), pa.int32()), lists], ["doc_id", "set_id", "size", "fps"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_set_ids(h, offsets)), pa.array(np.diff(offsets), pa.int32()), lists, *[part.column(c) for c in more]], ["doc_id", "set_id", "size", "fps", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, set_id long, size int, fps array<long>")
+    more = [also] if also else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(made, ", ".join(["doc_id long, set_id long, size int, fps array<long>", *(f"`{c}` long" for c in more)]))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
-    """Places of the pairs (a, b) of n rows that make a spanning forest of least `apart`: in each round every tree takes its least pair."""
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) that, with what root joins already, make a spanning forest of least `apart`: in each round every tree takes its least pair."""
     order = np.argsort(apart, kind="stable")
     a, b = a[order], b[order]
-    root, kept, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    kept, live = np.zeros(len(a), bool), np.arange(len(a))
     while True:
         ra, rb = root[a[live]], root[b[live]]
         live, ra, rb = live[ra != rb], ra[ra != rb], rb[ra != rb]
         if not len(live):
             return order[kept]
-        best = np.full(n, len(a))
+        best = np.full(len(root), len(a))
         np.minimum.at(best, ra, live)
         np.minimum.at(best, rb, live)
         chosen = np.unique(best[best < len(a)])
@@ -315,87 +315,91 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarr
         _unite(root, a[chosen], b[chosen])
 
 
-def candidate_pairs(classes: DataFrame, least: float, seeds: int = SEEDS, keys: DataFrame | None = None) -> DataFrame:
-    """(src, dst, apart, cut, key) between rows of classes (id, size, fps) that agree in a group of bits and nearly so in CARRIED fingerprints.
+def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFrame | None = None) -> DataFrame:
+    """(src, dst, ca, cb, cut, key): rows of classes (id, component, size, fps) that may be similar but are in different components ca, cb.
 
-    Sets of Jaccard similarity 0.8 differ in 15 % of SimHash bits (19 % where they have only four
-    and five members), so each of the seeds * GROUPS groups agrees in an eighth of such pairs and
-    all differ in one of 2000; APART and ALL_APART lie four deviations above what they then differ in.
-    Rows of a group are sorted by size and compared while sizes allow the similarity.
+    They agree in a group of bits and nearly so in CARRIED fingerprints. Sets of Jaccard similarity 0.8
+    differ in 16 % of SimHash bits (19 % where they are small), so each of the seeds * GROUPS groups
+    agrees in a tenth of such pairs and more, and with 12 seeds all differ in one of some hundreds at
+    most; APART and ALL_APART lie four deviations above what they then differ in. Rows of a group are
+    sorted by size and compared while sizes allow the similarity.
 
-    A group with over PAIRS_A_ROW pairs a row gives a spanning forest of its nearest pairs and one
-    row (0, 0, null, cut, key) that says so. With `keys` (cut, key), classes have a `component`:
-    only those groups give pairs, all that lie in different components.
+    A group with more pairs than rows is dense: it gives a spanning forest of its nearest pairs, over
+    components and over what each of two meeting tiles joins by itself, so a group of n rows gives some n
+    pairs, and one row (0, 0, null, null, cut, key) that says so. With `keys` (cut, key) only those groups
+    are compared and give all their pairs.
     """
     cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
     columns = []
     for s in range(seeds):
-        carried = F.array(*(F.col("fps")[(s + j) % seeds] for j in range(CARRIED)))
+        carried = F.array(*(F.col("fps")[(s + j) % SEEDS] for j in range(CARRIED)))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
             columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
-    again = keys is not None
-    component = F.col("component") if again else F.lit(0).cast("long")
-    dealt = classes.select("id", "size", component.alias("component"), F.explode(F.array(*columns)).alias("k")).select("id", "size", "component", "k.*")
-    if again:
+    dealt = classes.select("id", "size", "component", F.explode(F.array(*columns)).alias("k")).select("id", "size", "component", "k.*")
+    whole = keys is not None
+    if whole:
         dealt = dealt.join(keys, ["cut", "key"], "left_semi")
 
     def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         ids, size, fps, label = rows.column("id").to_numpy(), rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
+        limit = np.where(size < SMALL, *ALL_APART)
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a]):
-            if again:
-                a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+        for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a], not whole):
+            a, b = a[label[a] != label[b]], b[label[a] != label[b]]
             near = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART
             a, b = a[near], b[near]
             apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1).astype(np.int64)
-            near = apart <= ALL_APART
+            near = apart <= limit[a]
             held.append((a[near], b[near], apart[near]))
         a, b, apart = (np.concatenate([x[i] for x in held]) for i in range(3))
         full = np.zeros(0, np.int64)
-        if not again:
+        if not whole:
+            met = (side[a] != side[b]) | (side[a] == 0)
             count = np.bincount(group)
-            many = np.bincount(group[a], minlength=len(count)) > PAIRS_A_ROW * count
+            many = np.bincount(group[a[met]], minlength=len(count)) > count
             dense = np.flatnonzero(many[group[a]])
-            take = np.concatenate([np.flatnonzero(~many[group[a]]), dense[_forest(a[dense], b[dense], apart[dense], len(group))]])
-            a, b, apart = a[take], b[take], apart[take]
+            # rows of one component, and what one tile joins by itself, are joined before pairs are chosen
+            _, root = np.unique(np.stack([group, label]), axis=1, return_inverse=True)
+            first = np.full(root.max() + 1, len(group))
+            np.minimum.at(first, root, np.arange(len(group)))
+            root = first[root]
+            own = dense[~met[dense]]
+            _unite(root, a[own], b[own])
+            other = dense[met[dense]]
+            take = np.concatenate([np.flatnonzero(~many[group[a]] & met), other[_forest(a[other], b[other], apart[other], root)]])
+            a, b = a[take], b[take]
             full = np.searchsorted(group, np.flatnonzero(many))
-        cut, key = rows.column("cut").to_numpy()[full], rows.column("key").to_numpy()[full]
-        none, n = np.zeros(len(full), np.int64), len(a)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([np.minimum(ids[a], ids[b]), none])), pa.array(np.concatenate([np.maximum(ids[a], ids[b]), none])),
-                pa.array(np.concatenate([apart, none]).astype(np.int32), mask=np.arange(n + len(full)) >= n),
-                pa.array(np.concatenate([np.zeros(n, np.int32), cut.astype(np.int32)])), pa.array(np.concatenate([np.zeros(n, np.int64), key.astype(np.int64)])),
-            ],
-            ["src", "dst", "apart", "cut", "key"],
-        )
+        n, none = len(a), np.zeros(len(full), np.int64)
+        swap = ids[a] > ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        ends = [pa.array(np.concatenate([x, none])) for x in (ids[a], ids[b])]
+        labels = [pa.array(np.concatenate([x, none]), mask=np.arange(n + len(full)) >= n) for x in (label[a], label[b])]
+        cut = np.concatenate([np.zeros(n, np.int32), rows.column("cut").to_numpy()[full].astype(np.int32)])
+        key = np.concatenate([np.zeros(n, np.int64), rows.column("key").to_numpy()[full].astype(np.int64)])
+        return pa.RecordBatch.from_arrays([*ends, *labels, pa.array(cut), pa.array(key)], ["src", "dst", "ca", "cb", "cut", "key"])
 
-    return _dealt(dealt, "size", ["size", "component", "fps"], solve, "src long, dst long, apart int, cut int, key long")
+    return _dealt(dealt, "size", ["size", "component", "fps"], solve, "src long, dst long, ca long, cb long, cut int, key long")
 
 
-def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8, also: str | None = None) -> DataFrame:
     """Classes of documents linked by Jaccard similarity >= least of their sets of word shingles: doc_id, component_id.
 
-    docs: doc_id, text; other columns are ignored. Texts of equal sets are one class; SimHash finds
-    candidate pairs of classes (`candidate_pairs`, made for similarity 0.8 and more) and the sets
-    themselves, as 64-bit hashes, decide. A text of fewer words is one shingle. component_id is the
-    smallest doc_id that links reach. Null and blank texts are one class; rows with a null doc_id
-    return with null component_id and link nothing; repeated rows return as often as they came.
-
-    A cluster of n versions has n^2 / 2 candidate pairs, of which a few per version decide: dense
-    groups give a spanning forest first; of its pairs each component tests those nearest to it
-    (1, 2, 4, ... a round) and pairs within a component drop out. When components have settled,
-    dense groups are compared once more and give the pairs left between different components, so
-    that no link is lost.
+    docs: doc_id, text; `also` names a long column that returns with its row; others are ignored. Texts of
+    equal sets are one class; SimHash finds candidate pairs of classes (`candidate_pairs`, made for
+    similarity 0.8 and more) and the sets themselves, as 64-bit hashes, decide. A text of fewer words is
+    one shingle. component_id is the smallest doc_id that links reach. Null and blank texts are one class;
+    rows with a null doc_id return with null component_id and link nothing; repeated rows return as often
+    as they came.
+
+    A cluster of n versions has n^2 / 2 candidate pairs, of which a few a version decide. A first pass over
+    few fingerprints joins clusters by forests of their nearest pairs; a second over all of them looks for
+    pairs between different components, again by forests where groups are dense; a third gives all pairs
+    between components that dense groups still hold, so that no candidate is lost.
     """
-    prints, _ = materialize(set_fingerprints(docs, width), "fps")
+    prints, _ = materialize(set_fingerprints(docs, width, also=also), "fps")
     made = prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
-    classes, _ = materialize(made, "classes")
-    some = classes.where("id <> 0").select("id", "size", "fps")
-    found, _ = materialize(candidate_pairs(some, least), "candidates")
-    pairs, _ = materialize(found.where("apart is not null").groupBy("src", "dst").agg(F.min("apart").alias("apart")), "pairs")
-    dense = found.where("apart is null").select("cut", "key").distinct()
+    classes, _ = materialize(made.withColumn("component", F.col("id")), "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,47 +408,31 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), lists], ["id", "shingles"])
 
-    used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    held, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def joined(pairs: DataFrame) -> None:
+        """Verifies pairs (src, dst, ca, cb) by their sets and joins the components of those that are similar."""
+        nonlocal classes
+        used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+        held, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").join(used, "id", "left_semi").dropDuplicates(["id"]), "sets")
         both = pairs.join(held.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(held.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
         shared = F.size(F.array_intersect("a", "b"))
-        return both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select("src", "dst")
-
-    def labelled(pairs: DataFrame, near: DataFrame | None) -> DataFrame:
-        """pairs with the components of their ends (ca, cb), which differ."""
-        if near is None:
-            return pairs.withColumns({"ca": F.col("src"), "cb": F.col("dst")})
-        of = lambda end, c: near.select(F.col("id").alias(end), F.col("component").alias(c))
-        return pairs.join(of("src", "ca"), "src", "left").join(of("dst", "cb"), "dst", "left").withColumns({"ca": F.coalesce("ca", "src"), "cb": F.coalesce("cb", "dst")}).where("ca <> cb")
-
-    vertices, left, near, linked, take = used.count(), pairs, None, None, 1
-    n = left.count()
-    while n:
-        ends = labelled(left, near)
-        if n > 2 * vertices:
-            of = ends.select("ca", "src", "dst", "apart").union(ends.select("cb", "src", "dst", "apart"))
-            rank = F.row_number().over(Window.partitionBy("ca").orderBy("apart", "src", "dst"))
-            tested, _ = materialize(of.withColumn("r", rank).where(F.col("r") <= take).select("src", "dst").distinct(), "tested")
-        else:
-            tested = ends.select("src", "dst")
-        links_now, _ = materialize(verified(tested), "links")
-        linked = links_now if linked is None else linked.union(links_now)
-        near, _ = materialize(connected_components(linked), "near")
-        if n <= 2 * vertices:
-            break
-        left, _ = materialize(labelled(left, near).join(tested, ["src", "dst"], "left_anti").select("src", "dst", "apart"), "left")
-        n, take = left.count(), 2 * take
-    if near is not None and dense.limit(1).count():
-        named = some.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = candidate_pairs(named, least, keys=dense).select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_anti")
-        more, _ = materialize(verified(rest), "links")
-        near, _ = materialize(connected_components(linked.union(more)), "near")
-    if near is None:
-        near = classes.select("id", F.col("id").alias("component")).limit(0)
-    named = classes.join(near, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
-    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(first, "component").select(F.col("id").alias("set_id"), "component_id")
-    return prints.join(of, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        near = both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        to = connected_components(near).select(F.col("id").alias("component"), F.col("component").alias("into")).where("component <> into")
+        classes, _ = materialize(classes.join(to, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "classes")
+
+    done = None
+    for seeds in (FIRST_SEEDS, SEEDS):
+        found, _ = materialize(candidate_pairs(classes.where("id <> 0"), least, seeds), "candidates")
+        pairs = found.where("ca is not null").select("src", "dst", "ca", "cb").distinct()
+        pairs, _ = materialize(pairs if done is None else pairs.join(done, ["src", "dst"], "left_anti"), "pairs")
+        joined(pairs)
+        done = pairs.select("src", "dst") if done is None else done.union(pairs.select("src", "dst"))
+    dense = found.where("ca is null").select("cut", "key").distinct()
+    if dense.limit(1).count():
+        rest = candidate_pairs(classes.where("id <> 0"), least, SEEDS, dense).select("src", "dst", "ca", "cb").distinct().join(done, ["src", "dst"], "left_anti")
+        rest, _ = materialize(rest, "pairs")
+        joined(rest)
+    first = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = classes.select(F.col("id").alias("set_id"), "component").join(first, "component").select("set_id", "component_id")
+    more = [also] if also else []
+    return prints.join(of, "set_id", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *more)

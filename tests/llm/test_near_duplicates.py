@@ -47,3 +47,36 @@ def test_near_copies(spark):
         of = [k for k in range(kind, len(pairs), 3) if want[k]]
         assert len(of) > 80 and sum(have[k] for k in of) >= 0.99 * len(of)
     assert [got[i] for i in (5000, 5001, 6000, 6001, 7000, 7001, 7002)] == [5000, 5000, 6000, 6000, 7000, 7000, 7002]
+
+
+def test_clusters_of_many_versions(spark):
+    """Dense groups of candidates: a chain of drifting versions, versions of one text, and two clusters that are only half alike."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts, now = [], list(rng.choice(vocab, 200))
+    for _ in range(60):  # each differs from the last by a few words, the ends from each other by most
+        texts.append(" ".join(now))
+        now[int(rng.integers(0, 200))] = str(rng.choice(vocab))
+    base = list(rng.choice(vocab, 200))
+    other = base[:110] + list(rng.choice(vocab, 90))
+    for of in (base, other):
+        for _ in range(120):
+            words = list(of)
+            words[int(rng.integers(0, 200))] = str(rng.choice(vocab))
+            texts.append(" ".join(words))
+
+    def shingles(text):
+        words = text.split()
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()}
+    assert got == dict(enumerate(root))
+    assert len(set(root)) == 3
