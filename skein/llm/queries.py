@@ -122,5 +122,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_OP1 = """with v as materialized (select cast(vec_id as bigint) id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.id query_id, b.id vec_id, cast(list_dot_product(a.v, b.v) as bigint) score from v a join v b on a.id % 20 = 0 and a.id <> b.id and len(a.v) = len(b.v))
+    select query_id, cast(r as integer) as "rank", vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from s) x where r <= 20"""
+
+_OP2 = """with p as (select cast(page_id as bigint) page_id, coalesce(html, '') h from pages), d as (select page_id, octet_length(encode(h)) n, sha256(h) digest from p), f as (select *, case when n >= 100 then min(page_id) over (partition by digest) else page_id end first_id from d)
+    select page_id, cast(n as bigint) payload_bytes, digest payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type, case when page_id <> first_id then first_id end refers_to from f"""
+
+_OP4 = """with c as (select cast(conv_id as bigint) conv_id, turn, role, coalesce(text, '') t from conversations union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    g as (select conv_id, count(*) n_turns, string_agg(concat(role, chr(10), t, chr(10)), '' order by turn, role, t) said, coalesce(string_agg(t, '' order by turn, role, t) filter (where role = 'assistant'), '') loss, sum(12 + length(role) + 1 + length(replace(replace(t, '\\', '\\\\'), '<|', '<\\|')) + 11) f from c group by conv_id)
+    select conv_id, n_turns, sha256(said) turns_sha256, cast(length(loss) as bigint) loss_chars, sha256(loss) loss_sha256, cast(f as bigint) formatted_chars from g"""
+
+_OP5 = """with d as (select cast(doc_id as bigint) doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') w from documents),
+    s as materialized (select doc_id, i, array_to_string(w[i : i + 12], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13) x), m as (select s, min(doc_id) first_id from s group by s having min(doc_id) < max(doc_id)),
+    g as (select distinct doc_id, unnest(range(i, i + 13)) i from s join m using (s) where doc_id > first_id), r as (select doc_id, count(*) n, list(i) gone from g group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(case when n is null then array_to_string(w, ' ') else coalesce(k.kept, '') end) kept_sha256 from d left join r on r.doc_id = d.doc_id
+    left join (select x.doc_id, string_agg(x.t, ' ' order by x.i) kept from (select doc_id, unnest(w) t, unnest(range(1, len(w) + 1)) i from d where doc_id in (select doc_id from r)) x anti join g on g.doc_id = x.doc_id and g.i = x.i group by 1) k on k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose rows it can say over whole tables; the others are held against brute force in tests/llm."""
+    return {"op1_topk_search": _OP1, "op2_warc": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5}
