@@ -315,8 +315,20 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, root: np.ndarray) -
         _unite(root, a[chosen], b[chosen])
 
 
+def _by_bits(classes: DataFrame, seeds: int) -> DataFrame:
+    """classes (id, component, size, own, fps) dealt by groups of bits: CARRIED fingerprints, cut, key in place of fps."""
+    cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
+    columns = []
+    for s in range(seeds):
+        carried = F.array(*(F.col("fps")[(s + j) % SEEDS] for j in range(CARRIED)))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
+    return classes.select("id", "size", "own", "component", F.explode(F.array(*columns)).alias("k")).select("id", "size", "own", "component", "k.*")
+
+
 def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFrame | None = None) -> DataFrame:
-    """(src, dst, ca, cb, cut, key): rows of classes (id, component, size, fps) that may be similar but are in different components ca, cb.
+    """(src, dst, ca, cb, cut, key): rows of classes (id, component, size, own, fps) that may be similar but are in different components ca, cb.
 
     They agree in a group of bits and nearly so in CARRIED fingerprints. Sets of Jaccard similarity 0.8
     differ in 16 % of SimHash bits (19 % where they are small), so each of the seeds * GROUPS groups
@@ -327,27 +339,22 @@ def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFram
     A group with more pairs than rows is dense: it gives a spanning forest of its nearest pairs, over
     components and over what each of two meeting tiles joins by itself, so a group of n rows gives some n
     pairs, and one row (0, 0, null, null, cut, key) that says so. With `keys` (cut, key) only those groups
-    are compared and give all their pairs.
+    are compared and give all their pairs but those that cannot be similar: `own` shingles of a set are in
+    no other one, so what two sets share is bounded by what is left of each.
     """
-    cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
-    columns = []
-    for s in range(seeds):
-        carried = F.array(*(F.col("fps")[(s + j) % SEEDS] for j in range(CARRIED)))
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
-    dealt = classes.select("id", "size", "component", F.explode(F.array(*columns)).alias("k")).select("id", "size", "component", "k.*")
+    dealt = _by_bits(classes, seeds)
     whole = keys is not None
     if whole:
         dealt = dealt.join(keys, ["cut", "key"], "left_semi")
 
     def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         ids, size, fps, label = rows.column("id").to_numpy(), rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
-        limit = np.where(size < SMALL, *ALL_APART)
+        limit, rest = np.where(size < SMALL, *ALL_APART), size - rows.column("own").to_numpy()
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a], not whole):
             a, b = a[label[a] != label[b]], b[label[a] != label[b]]
-            near = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART
+            most = np.minimum(rest[a], rest[b])
+            near = (most >= least * (size[a] + size[b] - most)) & (np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART)
             a, b = a[near], b[near]
             apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1).astype(np.int64)
             near = apart <= limit[a]
@@ -379,7 +386,7 @@ def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFram
         key = np.concatenate([np.zeros(n, np.int64), rows.column("key").to_numpy()[full].astype(np.int64)])
         return pa.RecordBatch.from_arrays([*ends, *labels, pa.array(cut), pa.array(key)], ["src", "dst", "ca", "cb", "cut", "key"])
 
-    return _dealt(dealt, "size", ["size", "component", "fps"], solve, "src long, dst long, ca long, cb long, cut int, key long")
+    return _dealt(dealt, "size", ["size", "own", "component", "fps"], solve, "src long, dst long, ca long, cb long, cut int, key long")
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8, also: str | None = None) -> DataFrame:
@@ -395,11 +402,12 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
     A cluster of n versions has n^2 / 2 candidate pairs, of which a few a version decide. A first pass over
     few fingerprints joins clusters by forests of their nearest pairs; a second over all of them looks for
     pairs between different components, again by forests where groups are dense; a third gives all pairs
-    between components that dense groups still hold, so that no candidate is lost.
+    between components that dense groups still hold, so that no candidate is lost, but for those that have
+    too many shingles of their own to be similar to each other.
     """
     prints, _ = materialize(set_fingerprints(docs, width, also=also), "fps")
     made = prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
-    classes, _ = materialize(made.withColumn("component", F.col("id")), "classes")
+    classes, _ = materialize(made.withColumns({"component": F.col("id"), "own": F.lit(0)}), "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,12 +416,15 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), lists], ["id", "shingles"])
 
+    def sets_of(used: DataFrame) -> DataFrame:
+        """(id, shingles) of the classes used (id)."""
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+        return materialize(texts.mapInArrow(sets, "id long, shingles array<long>").join(used, "id", "left_semi").dropDuplicates(["id"]), "sets")[0]
+
     def joined(pairs: DataFrame) -> None:
         """Verifies pairs (src, dst, ca, cb) by their sets and joins the components of those that are similar."""
         nonlocal classes
-        used = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-        held, _ = materialize(texts.mapInArrow(sets, "id long, shingles array<long>").join(used, "id", "left_semi").dropDuplicates(["id"]), "sets")
+        held = sets_of(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct())
         both = pairs.join(held.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(held.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
         shared = F.size(F.array_intersect("a", "b"))
         near = both.where(shared / (F.size("a") + F.size("b") - shared) >= least).select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
@@ -429,7 +440,11 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
         done = pairs.select("src", "dst") if done is None else done.union(pairs.select("src", "dst"))
     dense = found.where("ca is null").select("cut", "key").distinct()
     if dense.limit(1).count():
-        rest = candidate_pairs(classes.where("id <> 0"), least, SEEDS, dense).select("src", "dst", "ca", "cb").distinct().join(done, ["src", "dst"], "left_anti")
+        members, _ = materialize(_by_bits(classes.where("id <> 0"), SEEDS).join(dense, ["cut", "key"], "left_semi").select("id").distinct(), "members")
+        once = sets_of(members).select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1")
+        own = once.groupBy("id").agg(F.count("*").cast("int").alias("alone"))
+        some = classes.join(members, "id", "left_semi").join(own, "id", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
+        rest = candidate_pairs(some, least, SEEDS, dense).select("src", "dst", "ca", "cb").distinct().join(done, ["src", "dst"], "left_anti")
         rest, _ = materialize(rest, "pairs")
         joined(rest)
     first = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
