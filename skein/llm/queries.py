@@ -118,6 +118,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, labelled, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}).select("doc_id", "lang", "n_tokens", "posterior", "rate")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"), min_chars=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -140,6 +147,12 @@ _OP5 = """with d as (select cast(doc_id as bigint) doc_id, list_filter(regexp_sp
     left join (select x.doc_id, string_agg(x.t, ' ' order by x.i) kept from (select doc_id, unnest(w) t, unnest(range(1, len(w) + 1)) i from d where doc_id in (select doc_id from r)) x anti join g on g.doc_id = x.doc_id and g.i = x.i group by 1) k on k.doc_id = d.doc_id"""
 
 
+_OP13 = """with d as (select cast(doc_id as bigint) doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+    l as materialized (select doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from (select doc_id, unnest(ls) x, unnest(range(1, len(ls) + 1)) i from d) z),
+    m as (select k, min(doc_id) first_id from l where length(k) >= 10 group by k having min(doc_id) < max(doc_id))
+    select doc_id, count(*) n_lines, count(*) filter (where doc_id > m.first_id) n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (where m.first_id is null or doc_id = m.first_id), '')) kept_sha256 from l left join m using (k) group by doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose rows it can say over whole tables; the others are held against brute force in tests/llm."""
-    return {"op1_topk_search": _OP1, "op2_warc": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5}
+    return {"op1_topk_search": _OP1, "op2_warc": _OP2, "op4_chat_format": _OP4, "op5_substring_dedup": _OP5, "op13_line_dedup": _OP13}
