@@ -118,6 +118,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, labelled, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}).select("doc_id", "lang", "n_tokens", "posterior", "rate")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, a_file: str | None = None, b_file: str | None = None) -> DataFrame:
+    from skein.llm.token_alignment import align_tokenizers
+
+    if a_file is None or b_file is None:
+        import public_tokenizers
+
+        a_file, b_file = a_file or public_tokenizers.path("byte_bpe_50k.json"), b_file or public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(_table(spark, sf_dir, "documents"), a_file, b_file)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.whitening import whiten_embeddings
+
+    return whiten_embeddings(_table(spark, sf_dir, "embeddings"), k=16)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.line_dedup import dedup_lines
 
