@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 from skein.llm.words import slices
 from skein.storage import materialize
 
-#: Chunks a worker remembers, and the bytes of those it does; a full cache starts afresh.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+#: Chunks a worker remembers (200 bytes each or so), and how long those are at most; a full cache starts afresh.
+CACHE_CHUNKS, CACHE_BYTES = 700_000, 48
+
+#: Bytes of text in a slice, but for a longer text, which is a slice of its own.
+SLICE_BYTES = 8 << 20
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
-_TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+_SLICES = "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>, chunk_ends array<long>, chunk_n array<long>, docs array<struct<doc_id: long, n_a: long, n_b: long, codes: array<int>>>"
 
 #: Bytes before which texts are cut, and those after which they are not.
 _CUT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -104,22 +108,23 @@ class _Worker:
         self.a, self.b = ByteLevel(a), Pieces(b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b))
         self.cuts = self.a.cuts and self.b.cuts
-        self._known: dict[bytes, tuple[np.ndarray, np.ndarray] | None] = {}
+        self._known: dict[bytes, bytes] = {}
 
-    def encoded(self, chunks: list[bytes], whole: bool) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """(A's ids, B's ids) of each distinct chunk; None where the bytes of either differ from the chunk's."""
+    def encoded(self, chunks: list[bytes], whole: bool) -> list[bytes]:
+        """For each distinct chunk 32-bit numbers: how many ids A has, these, and B's. None at all where the bytes of either differ from the chunk's."""
         known = {} if whole else self._known
         missing = [c for c in chunks if c not in known]
         if len(known) + len(missing) > CACHE_CHUNKS:
             known.clear()
             missing = chunks
-        fresh: dict[bytes, tuple[np.ndarray, np.ndarray] | None] = {}
+        fresh: dict[bytes, bytes] = {}
+        a_bytes, b_bytes = self.a.bytes_of, self.b.bytes_of
         for i in range(0, len(missing), 4096):
             some = missing[i : i + 4096]
             texts = [c.decode() for c in some]
             for c, a, b in zip(some, self.a.encode(texts), (self.b.encode if whole else self.b.encode_chunks)(texts), strict=True):
-                same = b"".join([self.a.bytes_of[t] for t in a]) == c and b"".join([self.b.bytes_of[t] for t in b]) == c
-                fresh[c] = (np.array(a, np.int32), np.array(b, np.int32)) if same else None
+                same = b"".join([a_bytes[t] for t in a]) == c and b"".join([b_bytes[t] for t in b]) == c
+                fresh[c] = array("i", [len(a), *a, *b]).tobytes() if same else b""
         out = [known[c] if c in known else fresh[c] for c in chunks]
         if not whole:
             known.update((c, x) for c, x in fresh.items() if len(c) <= CACHE_BYTES)
@@ -138,26 +143,14 @@ def _of_worker(a: bytes, b: bytes) -> _Worker:
     return _kept[key]
 
 
-def _gathered(parts: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the parts that codes name, one after the other; their sizes)."""
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    starts = np.cumsum(sizes) - sizes
-    n = sizes[codes]
-    before = np.cumsum(n) - n
-    return flat[np.arange(int(n.sum())) + np.repeat(starts[codes] - before, n)], n
-
-
-def _tokens(texts: pa.Array, worker: _Worker) -> list[pa.Array]:
-    """Lists of ids and of byte offsets where tokens end, of A and then of B, for every text behind a space."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+def _slice(ids: pa.Array, texts: pa.Array, worker: _Worker) -> pa.RecordBatch:
+    """One row: the distinct chunks of the texts, each behind a space, as if they were one text, and each text's chunks by number."""
     n = len(texts)
-    where = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[where[0] : where[-1]] if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    size = np.diff(where)
-    begin = where[:-1] - where[0] + np.arange(n)  # of each text, with the space before it
-    data = np.full(len(raw) + n, 0x20, np.uint8)
-    data[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), size)] = raw
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    size = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    joined = pc.binary_join_element_wise(*(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[: int(size.sum()) + n]
+    begin = np.cumsum(size + 1) - size - 1  # of each text, with the space before it
     cut = cuttable(data)
     odd = np.ones(n, bool) if not worker.cuts else np.asarray(pc.match_substring_regex(texts, _ODD))
     for i in np.flatnonzero(odd):
@@ -165,50 +158,58 @@ def _tokens(texts: pa.Array, worker: _Worker) -> list[pa.Array]:
     cut[begin] = True
     starts = np.flatnonzero(cut)
     bounds = np.append(starts, len(data))
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
     codes, chunks = np.asarray(coded.indices), coded.dictionary.to_pylist()
-    text_of = np.searchsorted(begin, starts, side="right") - 1
-    whole = np.zeros(len(chunks), bool)  # a text that is not cut is encoded as a whole, unless it is a chunk that others share
-    whole[codes[odd[text_of]]] = True
-    some, rest = np.flatnonzero(~whole), np.flatnonzero(whole)
-    made: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(chunks)
-    for numbers, as_whole in ((some, False), (rest, True)):
-        for k, ids in zip(numbers.tolist(), worker.encoded([chunks[k] for k in numbers.tolist()], as_whole), strict=True):
-            made[k] = ids
-    bad = np.array([m is None for m in made], bool)
+    first = np.searchsorted(starts, begin)  # of each text's chunks
+    count = np.diff(np.append(first, len(starts)))
+    whole = np.zeros(len(chunks), bool)
+    whole[codes[np.repeat(odd, count)]] = True
+    made = [b""] * len(chunks)
+    for numbers, as_whole in ((np.flatnonzero(~whole).tolist(), False), (np.flatnonzero(whole).tolist(), True)):
+        for k, x in zip(numbers, worker.encoded([chunks[k] for k in numbers], as_whole), strict=True):
+            made[k] = x
+    lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
     lost = size == 0
-    lost[text_of[bad[codes]]] = True
-    keep = ~lost[text_of]
-    codes, text_of = codes[keep], text_of[keep]
-    none = np.zeros(0, np.int32)
-    out: list[pa.Array] = []
-    for side, sizes in ((0, worker.a_sizes), (1, worker.b_sizes)):
-        ids, of_chunk = _gathered([none if m is None else m[side] for m in made], codes)
-        count = np.bincount(text_of, weights=of_chunk, minlength=n).astype(np.int64) if len(codes) else np.zeros(n, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(count)])
-        total = np.concatenate([[0], np.cumsum(sizes[ids])])
-        ends = total[1:] - np.repeat(total[offsets[:-1]], count)
-        at = pa.array(offsets, pa.int32())
-        out += [pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))]
-    return out
+    lost[np.repeat(np.arange(n), count)[(lengths == 0)[codes]]] = True
+    codes, count = codes[np.repeat(~lost, count)], np.where(lost, 0, count)
+    used = np.bincount(codes, minlength=len(made))
+    kept = np.flatnonzero(used)
+    number = np.zeros(len(made), np.int32)
+    number[kept] = np.arange(len(kept))
+    codes, lengths = number[codes], lengths[kept]
+    flat = np.frombuffer(b"".join([made[k] for k in kept.tolist()]), np.int32)
+    heads = np.cumsum(lengths) - lengths
+    n_a = flat[heads].astype(np.int64)
+    at, of_a = np.arange(len(flat)) - np.repeat(heads, lengths), np.repeat(n_a, lengths)
+    a, b = flat[(at > 0) & (at <= of_a)], flat[at > of_a]
+    each = lambda values: np.add.reduceat(np.append(values[codes], 0), np.minimum(np.cumsum(count) - count, len(codes)))[: len(count)] * (count > 0) if n else values[:0]
+    docs = pa.StructArray.from_arrays(
+        [ids, pa.array(each(n_a)), pa.array(each(lengths - 1 - n_a)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(codes))], ["doc_id", "n_a", "n_b", "codes"]
+    )
+    columns = (a, np.cumsum(worker.a_sizes[a]), b, np.cumsum(worker.b_sizes[b]), np.cumsum(np.fromiter((len(chunks[k]) for k in kept.tolist()), np.int64, len(kept))), used[kept].astype(np.int64))
+    row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (*columns, docs)]
+    return pa.RecordBatch.from_arrays(row, ["a_ids", "a_ends", "b_ids", "b_ends", "chunk_ends", "chunk_n", "docs"])
 
 
 def tokenised(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends of every whole text behind a space; ends are byte offsets, rising.
+    """Slices of the documents, a row each: their distinct chunks' tokens, and every document as numbers of chunks.
 
-    Texts are cut before white space that follows something else: neither tokenizer joins across such places (checked
-    on the files; else, and for texts with unusual white space, texts are encoded whole), so each distinct chunk is
-    encoded once a batch and common ones once a worker.
+    Texts, each behind a space, are cut before white space that follows something else: neither tokenizer joins across such
+    places (checked on the files; else, and for texts with unusual white space, a text is one chunk), so each distinct chunk
+    of a slice is encoded and aligned once, however often it stands there. Common chunks stay in a worker's memory.
+
+    a_ids, a_ends, b_ids, b_ends: tokens of the distinct chunks one after the other, with the byte offsets where they end;
+    chunk_ends, chunk_n: where chunks end and how often each occurs; docs: doc_id, n_a, n_b and codes, chunk numbers from 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast((Path(a_file).read_bytes(), Path(b_file).read_bytes()))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _of_worker(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_tokens(part.column("text"), worker)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield _slice(part.column("doc_id"), part.column("text"), worker)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_TOKENS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SLICES)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -216,54 +217,71 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """Numbers, from 1, of the tokens that end at cuts: ends in order, each doubled and made odd if it is a cut."""
-    marks = F.sort_array(F.concat(F.transform(cuts, lambda e: e * 2 + 1), F.transform(F.array_except(ends, cuts), lambda e: e * 2)))
-    return F.filter(F.transform(marks, lambda m, i: F.when(m % 2 == 1, i + 1)), lambda i: i.isNotNull())
+def _marked(some: Column, rest: Column) -> Column:
+    """Both offset arrays in one, sorted, doubled, with one added to those of `some`."""
+    return F.sort_array(F.concat(F.transform(some, lambda e: e * 2 + 1), F.transform(rest, lambda e: e * 2)))
 
 
-def _side(ids: Column, at: Column, g: Column) -> Column:
-    start = F.when(g > 1, F.get(at, g - 2) + 1).otherwise(1)
-    return F.array_join(F.slice(ids, start, F.get(at, g - 1) - start + 1), ",")
+def _side(ids: Column, marks: Column) -> Column:
+    """Ids by group as text: a semicolon after the last of a group, a comma after others."""
+    said = F.zip_with(ids, marks, lambda i, m: F.concat(i.cast("string"), F.when(m % 2 == 1, ";").otherwise(",")))
+    return F.split(F.array_join(said, ""), ";")  # an empty text follows the last
 
 
-def _groups_and_links(x: Column) -> Column:
-    """x: numbers of the groups, both sides' ids, as numbers and as text, and the places of their last tokens."""
-    return F.struct(
-        F.transform(x.numbers, lambda g: F.concat(_side(x.a_said, x.a_at, g), F.lit("|"), _side(x.b_said, x.b_at, g))).alias("groups"),
-        F.transform(x.numbers, lambda g: F.get(x.a_ids, F.get(x.a_at, g - 1) - 1).cast("long") * (1 << 32) + F.get(x.b_ids, F.get(x.b_at, g - 1) - 1)).alias("links"),
-    )
+def _by_chunk(links: Column, groups: Column, at: Column) -> Column:
+    """For each chunk its links and its groups as text; at: the number of its last group, from 1."""
+    numbers = F.when(F.size(at) > 0, F.sequence(F.lit(1), F.size(at))).otherwise(F.array().cast("array<int>"))
+    of = lambda rows, k, start: F.slice(rows, start, F.get(at, k - 1) - start + 1)
+    start = lambda k: F.when(k > 1, F.get(at, k - 2) + 1).otherwise(1)
+    return F.transform(numbers, lambda k: F.struct(of(links, k, start(k)).alias("links"), F.array_join(of(groups, k, start(k)), ";").alias("groups")))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens (see `tokenised`): doc_id, n_a, n_b, groups (array of `a1,a2|b1`), links (array of A's id * 2^32 + B's id).
+def aligned(slices_: DataFrame) -> DataFrame:
+    """slices (see `tokenised`): slice, chunk_n, chunks (links: A's id * 2^32 + B's id; groups as text), docs, by built-in functions.
 
-    Groups end where tokens of both end; tokens are never empty, so the last of each side in a group are the only pair that
-    ends together, and each group holds one link. All arrays grow with one text only, and all steps but a sort with its length.
+    A group ends where tokens of both sides end. Tokens are never empty, so the last of each side in a group are the only
+    pair that ends together, and each group holds one link. Chunk ends are ends of both, so no group leaves its chunk.
+    All steps but sorts of nearly sorted arrays take time in proportion to a slice. docs gain n_groups and groups_sha256.
     """
-    a_ids, a_ends, b_ids, b_ends = (F.col(c) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
-    parts = lambda cuts: F.struct(
-        F.when(F.size(cuts) > 0, F.sequence(F.lit(1), F.size(cuts))).otherwise(F.array().cast("array<int>")).alias("numbers"),
-        a_ids.alias("a_ids"), a_ids.cast("array<string>").alias("a_said"), _places(a_ends, cuts).alias("a_at"),
-        b_ids.alias("b_ids"), b_ids.cast("array<string>").alias("b_said"), _places(b_ends, cuts).alias("b_at"),
+    cut = slices_.select(F.monotonically_increasing_id().alias("slice"), "*", F.array_intersect("a_ends", "b_ends").alias("cuts"))
+    marks = lambda ends: _marked(F.col("cuts"), F.array_except(ends, "cuts"))
+    ends = _marked(F.col("chunk_ends"), F.array_except("cuts", "chunk_ends"))
+    cut = cut.select("slice", "a_ids", "b_ids", "chunk_n", "docs", marks("a_ends").alias("a_marks"), marks("b_ends").alias("b_marks"), ends.alias("ends"))
+    last = lambda ids, of: F.filter(ids, lambda _, i: F.get(of, i) % 2 == 1)
+    groups = _let(
+        F.struct(F.col("a_ids").alias("a"), F.col("b_ids").alias("b"), F.col("a_marks").alias("am"), F.col("b_marks").alias("bm"), F.col("ends").alias("e")),
+        lambda x: F.struct(
+            F.zip_with(last(x.a, x.am), last(x.b, x.bm), lambda a, b: a.cast("long") * (1 << 32) + b).alias("links"),
+            F.zip_with(_side(x.a, x.am), _side(x.b, x.bm), lambda a, b: F.concat(a, F.lit("|"), b)).alias("groups"),
+            F.filter(F.transform(x.e, lambda m, i: F.when(m % 2 == 1, i + 1)), lambda i: i.isNotNull()).alias("at"),
+        ),
+    )
+    chunks = _let(groups, lambda x: _by_chunk(x.links, x.groups, x.at))
+    doc = lambda d, chunks: F.struct(
+        d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + F.size(F.get(chunks, c).links)).alias("n_groups"),
+        F.when(F.size(d.codes) > 0, F.sha2(F.array_join(F.transform(d.codes, lambda c: F.get(chunks, c).groups), ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"), d.codes.alias("codes"),
     )
-    made = tokens.select("doc_id", F.size(a_ids).cast("long").alias("n_a"), F.size(b_ids).cast("long").alias("n_b"), _let(_let(F.array_intersect(a_ends, b_ends), parts), _groups_and_links).alias("made"))
-    return made.select("doc_id", "n_a", "n_b", "made.groups", "made.links")
+    made = _let(chunks, lambda c: F.struct(F.transform(c, lambda x: x.links).alias("links"), F.transform(F.col("docs"), lambda d: doc(d, c)).alias("docs")))
+    return cut.select("slice", "chunk_n", made.alias("made")).select("slice", "chunk_n", F.col("made.links").alias("links"), F.col("made.docs").alias("docs"))
 
 
-def link_scores(rows: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """rows (row, links), written out: row, n_best, count_sum for rows that have links.
+def chunk_scores(rows: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """rows (slice, links by chunk, chunk_n), written out: slice, scores, an array by chunk of (n_best, count_sum).
 
-    A pair's count is how many links of all rows are that pair; n_best are the links whose count is the highest of their B
-    id, ties included; count_sum adds the counts up. Counts are added in tasks before they are shuffled; pairs grow with the
-    vocabularies, not with the rows. Up to broadcast_pairs of them are broadcast, more meet the links in a shuffled join.
+    A pair's count is how many links of all documents are that pair: chunks' links times chunk_n, added in tasks before they
+    are shuffled. n_best are the links whose count is the highest of their B id, ties included; count_sum adds the counts up.
+    Pairs grow with the vocabularies, not with the documents. Up to broadcast_pairs of them are broadcast, more meet the
+    links in a shuffled join. Chunks of a slice, at most its bytes, gather in one row.
     """
-    each = rows.select("row", F.explode("links").alias("link"))
-    counts, _ = materialize(each.groupBy("link").agg(F.count("*").alias("n")), "pairs")
+    chunks = rows.select("slice", F.posexplode(F.arrays_zip("links", "chunk_n")).alias("code", "x"))
+    each = chunks.select("slice", "code", F.col("x.chunk_n").alias("times"), F.explode("x.links").alias("link"))
+    counts, _ = materialize(each.groupBy("link").agg(F.sum("times").alias("n")), "pairs")
     b = F.col("link") % (1 << 32)
-    pairs = counts.withColumn("b", b).join(counts.groupBy(b.alias("b")).agg(F.max("n").alias("most")), "b").select("link", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    pairs = counts.withColumn("b", b).join(counts.groupBy(b.alias("b")).agg(F.max("n").alias("most")), "b").select("link", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     pairs = F.broadcast(pairs) if counts.count() <= broadcast_pairs else pairs.hint("merge")
-    return each.join(pairs, "link").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    scored = each.join(pairs, "link").groupBy("slice", "code").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    by_code = F.sort_array(F.collect_list(F.struct("code", "n_best", "count_sum")))  # every chunk has a link, so codes are places
+    return scored.groupBy("slice").agg(by_code.alias("scores"))
 
 
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
@@ -273,14 +291,14 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     space and the text; b_file: a `sentencepiece` model that adds the space itself. A null or empty text has no tokens, nor
     has one whose tokens' bytes differ from space and text (as where a model normalises). Repeated rows count each.
 
-    Returns a row for each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (see `link_scores`), groups_sha256
-    of groups joined by ';' ('' without tokens). A null doc_id stays null.
+    Returns a row for each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (see `chunk_scores`), groups_sha256
+    of groups `a1,a2|b1` joined by ';' ('' without tokens). A null doc_id stays null.
     """
-    found = aligned(tokenised(docs, a_file, b_file))
-    digest = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
-    found = found.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links"
-    )
-    rows, _ = materialize(found, "aligned")
-    out = rows.drop("links").join(link_scores(rows), "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups_sha256")
+    rows, _ = materialize(aligned(tokenised(docs, a_file, b_file)), "aligned")
+    both = rows.select("slice", "docs").join(chunk_scores(rows), "slice", "left")
+    total = lambda codes, scores, name: F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + F.get(scores, c)[name])
+    scored = _let(F.struct("docs", "scores"), lambda x: F.transform(x.docs, lambda d: F.struct(
+        d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), d.n_groups.alias("n_groups"), d.n_groups.alias("n_links"),
+        total(d.codes, x.scores, "n_best").alias("n_best"), total(d.codes, x.scores, "count_sum").alias("count_sum"), d.groups_sha256.alias("groups_sha256"),
+    )))
+    return both.select(F.explode(scored).alias("d")).select("d.*")

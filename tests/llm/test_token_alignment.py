@@ -79,12 +79,11 @@ def test_brute_force(spark, rows, tmp_path):
 
 
 def test_many_pairs_are_joined_by_a_shuffle(spark, rows):
-    from skein.llm.token_alignment import aligned, link_scores, tokenised
+    from skein.llm.token_alignment import aligned, chunk_scores, tokenised
     from skein.storage import materialize
 
-    links = aligned(tokenised(docs(spark, rows), *FILES)).selectExpr("monotonically_increasing_id() as row", "links")
-    table, _ = materialize(links, "rows")
-    assert sorted(link_scores(table).collect()) == sorted(link_scores(table, broadcast_pairs=0).collect())
+    table, _ = materialize(aligned(tokenised(docs(spark, rows), *FILES)), "rows")
+    assert sorted(chunk_scores(table).collect()) == sorted(chunk_scores(table, broadcast_pairs=0).collect())
 
 
 def test_empty_table(spark):
@@ -94,14 +93,9 @@ def test_empty_table(spark):
 
 
 def test_chunks_are_few(spark):
-    """Both supplied files allow cutting, and a common word is encoded once."""
-    from pathlib import Path
+    """Both supplied files allow cutting, and a slice holds a common chunk once."""
+    from skein.llm.token_alignment import tokenised
 
-    import pyarrow as pa
-
-    from skein.llm.token_alignment import _tokens, _Worker
-
-    worker = _Worker(*(Path(f).read_bytes() for f in FILES))
-    assert worker.cuts
-    _tokens(pa.array(["the same words " * 500] * 40), worker)
-    assert len(worker._known) <= 6
+    texts = spark.createDataFrame([(i, "the same words " * 500) for i in range(40)], "doc_id long, text string").coalesce(1)
+    (row,) = tokenised(texts, *FILES).collect()
+    assert len(row.chunk_n) == 4 and sum(row.chunk_n) == sum(len(d.codes) for d in row.docs) == 40 * 1501
