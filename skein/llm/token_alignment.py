@@ -19,10 +19,10 @@ from skein.llm.words import slices
 from skein.storage import materialize
 
 #: Chunks a worker remembers (200 bytes each or so), and how long those are at most; a full cache starts afresh.
-CACHE_CHUNKS, CACHE_BYTES = 700_000, 48
+CACHE_CHUNKS, CACHE_BYTES = 500_000, 48
 
 #: Bytes of text in a slice, but for a longer text, which is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
