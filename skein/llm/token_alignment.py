@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -18,16 +18,14 @@ from pyspark.sql import functions as F
 from skein.llm.words import slices
 from skein.storage import materialize
 
-#: Chunks a worker remembers (200 bytes each or so), and how long those are at most; a full cache starts afresh.
-CACHE_CHUNKS, CACHE_BYTES = 500_000, 48
-
-#: Bytes of text in a slice, but for a longer text, which is a slice of its own.
-SLICE_BYTES = 2 << 20
+#: Bytes of text in a slice, about; a longer text is a slice of its own.
+SLICE_BYTES = 16 << 20
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
-_SLICES = "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>, chunk_ends array<long>, chunk_n array<long>, docs array<struct<doc_id: long, n_a: long, n_b: long, codes: array<int>>>"
+_SLICES = "chunks array<binary>, whole array<boolean>, times array<int>, docs array<struct<doc_id: long, codes: array<int>>>"
+_TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 #: Bytes before which texts are cut, and those after which they are not.
 _CUT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -101,187 +99,159 @@ class Pieces:
         return [ids[n:] if ids[:n] == self._before else [] for ids in self._model.encode(["x" + c for c in chunks], num_threads=1)]
 
 
-class _Worker:
-    """Both tokenizers and what they made of the chunks that a worker process met."""
+def _lists(rows: list[list[int]], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids as lists, and lists of the byte offsets where they end."""
+    count = np.fromiter(map(len, rows), np.int64, len(rows))
+    ids = np.fromiter(chain.from_iterable(rows), np.int32, int(count.sum()))
+    offsets, total = np.append(0, np.cumsum(count)), np.append(0, np.cumsum(sizes[ids]))
+    at = pa.array(offsets, pa.int32())
+    ends = total[1:] - np.repeat(total[offsets[:-1]], count)
+    return pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))
+
+
+class Encoders:
+    """Both tokenizers over chunks."""
 
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b))
-        self.cuts = self.a.cuts and self.b.cuts
-        self._known: dict[bytes, bytes] = {}
-
-    def encoded(self, chunks: list[bytes], whole: bool) -> list[bytes]:
-        """For each distinct chunk 32-bit numbers: how many ids A has, these, and B's. None at all where the bytes of either differ from the chunk's."""
-        known = {} if whole else self._known
-        missing = [c for c in chunks if c not in known]
-        if len(known) + len(missing) > CACHE_CHUNKS:
-            known.clear()
-            missing = chunks
-        fresh: dict[bytes, bytes] = {}
-        a_bytes, b_bytes = self.a.bytes_of, self.b.bytes_of
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            texts = [c.decode() for c in some]
-            for c, a, b in zip(some, self.a.encode(texts), (self.b.encode if whole else self.b.encode_chunks)(texts), strict=True):
-                same = b"".join([a_bytes[t] for t in a]) == c and b"".join([b_bytes[t] for t in b]) == c
-                fresh[c] = array("i", [len(a), *a, *b]).tobytes() if same else b""
-        out = [known[c] if c in known else fresh[c] for c in chunks]
-        if not whole:
-            known.update((c, x) for c, x in fresh.items() if len(c) <= CACHE_BYTES)
-        return out
+        self._sizes = [np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b)]
+
+    def lists(self, chunks: list[bytes], whole: bool) -> list[pa.Array]:
+        """Lists of A's ids, their ends, B's ids and their ends; null where the bytes of either differ from the chunk's. whole: chunks are whole texts."""
+        texts = [c.decode() for c in chunks]
+        made = self.a.encode(texts), (self.b.encode if whole else self.b.encode_chunks)(texts)
+        joined = ([b"".join([t.bytes_of[i] for i in ids]) for ids in rows] for t, rows in zip((self.a, self.b), made, strict=True))
+        bad = pa.array([x != c or y != c for c, x, y in zip(chunks, *joined, strict=True)])
+        return [pc.if_else(bad, pa.scalar(None, x.type), x) for rows, sizes in zip(made, self._sizes, strict=True) for x in _lists(rows, sizes)]
 
 
 #: What a worker process keeps from task to task.
-_kept: dict[bytes, _Worker] = {}
+_kept: dict[bytes, Encoders] = {}
 
 
-def _of_worker(a: bytes, b: bytes) -> _Worker:
+def _of_worker(a: bytes, b: bytes) -> Encoders:
     key = hashlib.sha256(a + b).digest()
     if key not in _kept:
         _kept.clear()
-        _kept[key] = _Worker(a, b)
+        _kept[key] = Encoders(a, b)
     return _kept[key]
 
 
-def _slice(ids: pa.Array, texts: pa.Array, worker: _Worker) -> pa.RecordBatch:
-    """One row: the distinct chunks of the texts, each behind a space, as if they were one text, and each text's chunks by number."""
+def _slice(ids: pa.Array, texts: pa.Array, cuts: bool) -> pa.RecordBatch:
+    """One row: the distinct chunks of the texts, each text behind a space, and each text as chunk numbers."""
     n = len(texts)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.asarray(pc.binary_length(texts)).astype(np.int64)
+    some = size > 0
+    ids, texts = pa.concat_arrays([ids.filter(pa.array(some)), ids.filter(pa.array(~some))]), texts.filter(pa.array(some))
+    size, n = size[some], int(some.sum())
     joined = pc.binary_join_element_wise(*(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
-    data = np.frombuffer(joined.buffers()[2], np.uint8)[: int(size.sum()) + n]
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[: int(size.sum()) + n] if n else np.zeros(0, np.uint8)
     begin = np.cumsum(size + 1) - size - 1  # of each text, with the space before it
     cut = cuttable(data)
-    odd = np.ones(n, bool) if not worker.cuts else np.asarray(pc.match_substring_regex(texts, _ODD))
+    odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if cuts else np.ones(n, bool)
     for i in np.flatnonzero(odd):
         cut[begin[i] : begin[i] + 1 + size[i]] = False
     cut[begin] = True
     starts = np.flatnonzero(cut)
     bounds = np.append(starts, len(data))
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-    codes, chunks = np.asarray(coded.indices), coded.dictionary.to_pylist()
-    first = np.searchsorted(starts, begin)  # of each text's chunks
-    count = np.diff(np.append(first, len(starts)))
-    whole = np.zeros(len(chunks), bool)
+    codes = np.asarray(coded.indices)
+    count = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
+    whole = np.zeros(len(coded.dictionary), bool)
     whole[codes[np.repeat(odd, count)]] = True
-    made = [b""] * len(chunks)
-    for numbers, as_whole in ((np.flatnonzero(~whole).tolist(), False), (np.flatnonzero(whole).tolist(), True)):
-        for k, x in zip(numbers, worker.encoded([chunks[k] for k in numbers], as_whole), strict=True):
-            made[k] = x
-    lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
-    lost = size == 0
-    lost[np.repeat(np.arange(n), count)[(lengths == 0)[codes]]] = True
-    codes, count = codes[np.repeat(~lost, count)], np.where(lost, 0, count)
-    used = np.bincount(codes, minlength=len(made))
-    kept = np.flatnonzero(used)
-    number = np.zeros(len(made), np.int32)
-    number[kept] = np.arange(len(kept))
-    codes, lengths = number[codes], lengths[kept]
-    flat = np.frombuffer(b"".join([made[k] for k in kept.tolist()]), np.int32)
-    heads = np.cumsum(lengths) - lengths
-    n_a = flat[heads].astype(np.int64)
-    at, of_a = np.arange(len(flat)) - np.repeat(heads, lengths), np.repeat(n_a, lengths)
-    a, b = flat[(at > 0) & (at <= of_a)], flat[at > of_a]
-    each = lambda values: np.add.reduceat(np.append(values[codes], 0), np.minimum(np.cumsum(count) - count, len(codes)))[: len(count)] * (count > 0) if n else values[:0]
-    docs = pa.StructArray.from_arrays(
-        [ids, pa.array(each(n_a)), pa.array(each(lengths - 1 - n_a)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(codes))], ["doc_id", "n_a", "n_b", "codes"]
-    )
-    columns = (a, np.cumsum(worker.a_sizes[a]), b, np.cumsum(worker.b_sizes[b]), np.cumsum(np.fromiter((len(chunks[k]) for k in kept.tolist()), np.int64, len(kept))), used[kept].astype(np.int64))
-    row = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in (*columns, docs)]
-    return pa.RecordBatch.from_arrays(row, ["a_ids", "a_ends", "b_ids", "b_ends", "chunk_ends", "chunk_n", "docs"])
-
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.append(0, np.cumsum(count)), np.full(int((~some).sum()), len(codes))), pa.int32()), pa.array(codes, pa.int32()))
+    docs = pa.StructArray.from_arrays([ids, lists], ["doc_id", "codes"])
+    columns = (coded.dictionary.cast(pa.binary()), pa.array(whole), pa.array(np.bincount(codes, minlength=len(whole)), pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], ["chunks", "whole", "times", "docs"])
 
-def tokenised(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """Slices of the documents, a row each: their distinct chunks' tokens, and every document as numbers of chunks.
 
-    Texts, each behind a space, are cut before white space that follows something else: neither tokenizer joins across such
-    places (checked on the files; else, and for texts with unusual white space, a text is one chunk), so each distinct chunk
-    of a slice is encoded and aligned once, however often it stands there. Common chunks stay in a worker's memory.
+def sliced(docs: DataFrame, cuts: bool = True) -> DataFrame:
+    """Slices of the documents, a row each: their distinct chunks with how often they occur, and every document as chunk numbers.
 
-    a_ids, a_ends, b_ids, b_ends: tokens of the distinct chunks one after the other, with the byte offsets where they end;
-    chunk_ends, chunk_n: where chunks end and how often each occurs; docs: doc_id, n_a, n_b and codes, chunk numbers from 0.
+    Texts, each behind a space, are cut before white space that follows something else. Texts with unusual white space, and
+    all if not `cuts`, are one chunk each (whole). Null and empty texts have no chunk.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((Path(a_file).read_bytes(), Path(b_file).read_bytes()))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _of_worker(*shared.value)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                yield _slice(part.column("doc_id"), part.column("text"), worker)
+            held = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            for part in slices(batch, "text", held // -(-held // SLICE_BYTES) + 1 if held else SLICE_BYTES):
+                yield _slice(part.column("doc_id"), part.column("text"), cuts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SLICES)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once: a name in a projection could be put back into every step of a lambda."""
-    return F.get(F.transform(F.array(value), body), 0)
+def tokenised(chunks: DataFrame, a: bytes, b: bytes) -> DataFrame:
+    """chunks (chunk, whole, times) with a_ids, a_ends, b_ids, b_ends: all null where either tokenizer's bytes differ from the chunk's."""
+    shared = chunks.sparkSession.sparkContext.broadcast((a, b))  # two vocabulary files
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = _of_worker(*shared.value)
+        for batch in batches:
+            for part in slices(batch, "chunk", 1 << 20):
+                for whole in (False, True):
+                    some = part.filter(pc.equal(part.column("whole"), whole))
+                    if some.num_rows:
+                        lists = encoders.lists(some.column("chunk").to_pylist(), whole)
+                        yield pa.RecordBatch.from_arrays([*some.columns, *lists], [*some.schema.names, *(x.split()[0] for x in _TOKENS.split(", "))])
+
+    return chunks.select("chunk", "whole", "times").mapInArrow(run, f"chunk binary, whole boolean, times long, {_TOKENS}")
 
 
-def _marked(some: Column, rest: Column) -> Column:
-    """Both offset arrays in one, sorted, doubled, with one added to those of `some`."""
-    return F.sort_array(F.concat(F.transform(some, lambda e: e * 2 + 1), F.transform(rest, lambda e: e * 2)))
+def _marked(cuts: Column, ends: Column) -> Column:
+    """ends in order, doubled, with one added to those that are cuts."""
+    return F.sort_array(F.concat(F.transform(cuts, lambda e: e * 2 + 1), F.transform(F.array_except(ends, cuts), lambda e: e * 2)))
 
 
 def _side(ids: Column, marks: Column) -> Column:
-    """Ids by group as text: a semicolon after the last of a group, a comma after others."""
+    """Ids by group as text; an empty text follows the last."""
     said = F.zip_with(ids, marks, lambda i, m: F.concat(i.cast("string"), F.when(m % 2 == 1, ";").otherwise(",")))
-    return F.split(F.array_join(said, ""), ";")  # an empty text follows the last
-
-
-def _by_chunk(links: Column, groups: Column, at: Column) -> Column:
-    """For each chunk its links and its groups as text; at: the number of its last group, from 1."""
-    numbers = F.when(F.size(at) > 0, F.sequence(F.lit(1), F.size(at))).otherwise(F.array().cast("array<int>"))
-    of = lambda rows, k, start: F.slice(rows, start, F.get(at, k - 1) - start + 1)
-    start = lambda k: F.when(k > 1, F.get(at, k - 2) + 1).otherwise(1)
-    return F.transform(numbers, lambda k: F.struct(of(links, k, start(k)).alias("links"), F.array_join(of(groups, k, start(k)), ";").alias("groups")))
+    return F.split(F.array_join(said, ""), ";")
 
 
-def aligned(slices_: DataFrame) -> DataFrame:
-    """slices (see `tokenised`): slice, chunk_n, chunks (links: A's id * 2^32 + B's id; groups as text), docs, by built-in functions.
+def aligned(tokens: DataFrame) -> DataFrame:
+    """tokens (see `tokenised`): chunk, whole, times, n_a, n_b, groups (`a1,a2|b1;a3|b2,b3`), links (array of A's id * 2^32 + B's id).
 
     A group ends where tokens of both sides end. Tokens are never empty, so the last of each side in a group are the only
-    pair that ends together, and each group holds one link. Chunk ends are ends of both, so no group leaves its chunk.
-    All steps but sorts of nearly sorted arrays take time in proportion to a slice. docs gain n_groups and groups_sha256.
+    pair that ends together, and each group holds one link. Chunk ends are ends of both, so no group leaves its chunk. All
+    steps but sorts of nearly sorted arrays take time in proportion to the chunk. All null where the tokens are.
     """
-    cut = slices_.select(F.monotonically_increasing_id().alias("slice"), "*", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    marks = lambda ends: _marked(F.col("cuts"), F.array_except(ends, "cuts"))
-    ends = _marked(F.col("chunk_ends"), F.array_except("cuts", "chunk_ends"))
-    cut = cut.select("slice", "a_ids", "b_ids", "chunk_n", "docs", marks("a_ends").alias("a_marks"), marks("b_ends").alias("b_marks"), ends.alias("ends"))
-    last = lambda ids, of: F.filter(ids, lambda _, i: F.get(of, i) % 2 == 1)
-    groups = _let(
-        F.struct(F.col("a_ids").alias("a"), F.col("b_ids").alias("b"), F.col("a_marks").alias("am"), F.col("b_marks").alias("bm"), F.col("ends").alias("e")),
-        lambda x: F.struct(
-            F.zip_with(last(x.a, x.am), last(x.b, x.bm), lambda a, b: a.cast("long") * (1 << 32) + b).alias("links"),
-            F.zip_with(_side(x.a, x.am), _side(x.b, x.bm), lambda a, b: F.concat(a, F.lit("|"), b)).alias("groups"),
-            F.filter(F.transform(x.e, lambda m, i: F.when(m % 2 == 1, i + 1)), lambda i: i.isNotNull()).alias("at"),
-        ),
-    )
-    chunks = _let(groups, lambda x: _by_chunk(x.links, x.groups, x.at))
-    doc = lambda d, chunks: F.struct(
-        d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + F.size(F.get(chunks, c).links)).alias("n_groups"),
-        F.when(F.size(d.codes) > 0, F.sha2(F.array_join(F.transform(d.codes, lambda c: F.get(chunks, c).groups), ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"), d.codes.alias("codes"),
+    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    cut = cut.withColumn("am", _marked(F.col("cuts"), F.col("a_ends"))).withColumn("bm", _marked(F.col("cuts"), F.col("b_ends")))
+    last = lambda ids, marks: F.filter(ids, lambda _, i: F.get(marks, i) % 2 == 1)
+    links = F.zip_with(last("a_ids", F.col("am")), last("b_ids", F.col("bm")), lambda a, b: a.cast("long") * (1 << 32) + b)
+    groups = F.zip_with(_side(F.col("a_ids"), F.col("am")), _side(F.col("b_ids"), F.col("bm")), lambda a, b: F.concat(a, F.lit("|"), b))
+    some = F.col("a_ids").isNotNull()
+    return cut.select(
+        "chunk", "whole", "times", F.when(some, F.size("a_ids")).alias("n_a"), F.when(some, F.size("b_ids")).alias("n_b"),
+        F.array_join(F.slice(groups, F.lit(1), F.size("cuts")), ";").alias("groups"), links.alias("links"),
     )
-    made = _let(chunks, lambda c: F.struct(F.transform(c, lambda x: x.links).alias("links"), F.transform(F.col("docs"), lambda d: doc(d, c)).alias("docs")))
-    return cut.select("slice", "chunk_n", made.alias("made")).select("slice", "chunk_n", F.col("made.links").alias("links"), F.col("made.docs").alias("docs"))
 
 
-def chunk_scores(rows: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """rows (slice, links by chunk, chunk_n), written out: slice, scores, an array by chunk of (n_best, count_sum).
+def chunk_scores(chunks: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """chunks (id, links, times), written out: id, n_best, count_sum, for chunks that have links.
 
-    A pair's count is how many links of all documents are that pair: chunks' links times chunk_n, added in tasks before they
-    are shuffled. n_best are the links whose count is the highest of their B id, ties included; count_sum adds the counts up.
-    Pairs grow with the vocabularies, not with the documents. Up to broadcast_pairs of them are broadcast, more meet the
-    links in a shuffled join. Chunks of a slice, at most its bytes, gather in one row.
+    A pair's count is how many links of all documents are that pair: chunks' links times their occurrences, added in tasks
+    before they are shuffled. n_best are the links whose count is the highest of their B id, ties included; count_sum adds the
+    counts up. Pairs grow with the vocabularies, not with the documents. Up to broadcast_pairs of them are broadcast, more meet
+    the links in a shuffled join.
     """
-    chunks = rows.select("slice", F.posexplode(F.arrays_zip("links", "chunk_n")).alias("code", "x"))
-    each = chunks.select("slice", "code", F.col("x.chunk_n").alias("times"), F.explode("x.links").alias("link"))
+    each = chunks.select("id", "times", F.explode("links").alias("link"))
     counts, _ = materialize(each.groupBy("link").agg(F.sum("times").alias("n")), "pairs")
     b = F.col("link") % (1 << 32)
     pairs = counts.withColumn("b", b).join(counts.groupBy(b.alias("b")).agg(F.max("n").alias("most")), "b").select("link", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     pairs = F.broadcast(pairs) if counts.count() <= broadcast_pairs else pairs.hint("merge")
-    scored = each.join(pairs, "link").groupBy("slice", "code").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    by_code = F.sort_array(F.collect_list(F.struct("code", "n_best", "count_sum")))  # every chunk has a link, so codes are places
-    return scored.groupBy("slice").agg(by_code.alias("scores"))
+    return each.join(pairs, "link").groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+
+
+def _without_lost(each: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """chunks with `times` less what stands in documents that have a chunk without tokens: those documents have no tokens at all."""
+    bad = each.join(chunks.where("n_a is null").select("chunk", "whole"), ["chunk", "whole"], "left_semi").groupBy("slice").agg(F.collect_set("code").alias("bad"))
+    lost = rows.select("slice", F.explode("docs").alias("d")).join(bad, "slice").where(F.arrays_overlap("d.codes", "bad"))
+    less = lost.select("slice", F.explode("d.codes").alias("code")).groupBy("slice", "code").agg(F.count("*").alias("n"))
+    less = less.join(each, ["slice", "code"]).groupBy("chunk", "whole").agg(F.sum("n").alias("less"))
+    return chunks.join(less, ["chunk", "whole"], "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).drop("less")
 
 
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
@@ -291,14 +261,36 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     space and the text; b_file: a `sentencepiece` model that adds the space itself. A null or empty text has no tokens, nor
     has one whose tokens' bytes differ from space and text (as where a model normalises). Repeated rows count each.
 
+    Neither tokenizer joins across the places where texts are cut into chunks (checked on the files; else texts stay whole),
+    so each distinct chunk of the corpus is encoded and aligned once. Slices of documents hold their distinct chunks once: a
+    chunk that is everywhere is one row a slice when chunks are shuffled to be distinct, and when they meet their results,
+    where AQE splits what is left of a hot one. Chunks' results then gather by slice, bounded by its bytes.
+
     Returns a row for each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (see `chunk_scores`), groups_sha256
     of groups `a1,a2|b1` joined by ';' ('' without tokens). A null doc_id stays null.
     """
-    rows, _ = materialize(aligned(tokenised(docs, a_file, b_file)), "aligned")
-    both = rows.select("slice", "docs").join(chunk_scores(rows), "slice", "left")
-    total = lambda codes, scores, name: F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + F.get(scores, c)[name])
-    scored = _let(F.struct("docs", "scores"), lambda x: F.transform(x.docs, lambda d: F.struct(
-        d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), d.n_groups.alias("n_groups"), d.n_groups.alias("n_links"),
-        total(d.codes, x.scores, "n_best").alias("n_best"), total(d.codes, x.scores, "count_sum").alias("count_sum"), d.groups_sha256.alias("groups_sha256"),
-    )))
-    return both.select(F.explode(scored).alias("d")).select("d.*")
+    a, b = Path(a_file).read_bytes(), Path(b_file).read_bytes()
+    rows, _ = materialize(sliced(docs, ByteLevel(a).cuts and Pieces(b).cuts).withColumn("slice", F.monotonically_increasing_id()), "slices")
+    each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "whole", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.whole", "x.times")
+    distinct = each.groupBy("chunk", "whole").agg(F.sum("times").alias("times"))
+    chunks, _ = materialize(aligned(tokenised(distinct, a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
+    counted = _without_lost(each, chunks, rows) if chunks.where("n_a is null").limit(1).count() else chunks
+    scores = chunk_scores(counted.select("id", "links", "times"))
+    results = chunks.select("id", "chunk", "whole", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(scores, "id", "left").drop("id")
+    found = each.select("slice", "code", "chunk", "whole").join(results.hint("shuffle_hash"), ["chunk", "whole"]).drop("chunk", "whole")
+    by_code = F.sort_array(F.collect_list(F.struct("code", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")))
+    both = rows.select("slice", "docs").join(found.groupBy("slice").agg(by_code.alias("x")), "slice", "left")
+
+    def doc(d: Column, x: Column) -> Column:
+        total = lambda name: F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + F.get(x, c)[name])
+        said = F.sha2(F.array_join(F.transform(d.codes, lambda c: F.get(x, c).groups), ";").cast("binary"), 256)
+        return F.struct(d.doc_id.alias("doc_id"), F.size(d.codes).alias("n"), *(total(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")), said.alias("groups_sha256"))
+
+    # The array holds one struct, so its lambda binds both columns once: a projection's names could be put back into every step.
+    made = both.select(F.explode(F.flatten(F.transform(F.array(F.struct("docs", "x")), lambda s: F.transform(s.docs, lambda d: doc(d, s.x))))).alias("d")).select("d.*")
+    some = F.coalesce(F.col("n") > 0, F.lit(False)) & F.col("n_a").isNotNull()  # a chunk without tokens makes the sums null
+    number = lambda c, name: F.when(some, F.col(c)).otherwise(0).cast("long").alias(name)
+    return made.select(
+        "doc_id", number("n_a", "n_a"), number("n_b", "n_b"), number("n_groups", "n_groups"), number("n_groups", "n_links"), number("n_best", "n_best"), number("count_sum", "count_sum"),
+        F.when(some, F.col("groups_sha256")).otherwise("").alias("groups_sha256"),
+    )

@@ -78,12 +78,20 @@ def test_brute_force(spark, rows, tmp_path):
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute(rows)
 
 
-def test_many_pairs_are_joined_by_a_shuffle(spark, rows):
-    from skein.llm.token_alignment import aligned, chunk_scores, tokenised
-    from skein.storage import materialize
-
-    table, _ = materialize(aligned(tokenised(docs(spark, rows), *FILES)), "rows")
-    assert sorted(chunk_scores(table).collect()) == sorted(chunk_scores(table, broadcast_pairs=0).collect())
+def test_many_pairs_are_joined_by_a_shuffle(spark):
+    from skein.llm.token_alignment import chunk_scores
+
+    rng = np.random.default_rng(2)
+    links = [(i, int(rng.integers(1, 9)), [int(a) << 32 | int(b) for a, b in rng.integers(0, 6, (int(rng.integers(0, 5)), 2))]) for i in range(300)]
+    table = spark.createDataFrame(links, "id long, times long, links array<long>")
+    got = sorted(chunk_scores(table).collect())
+    assert got == sorted(chunk_scores(table, broadcast_pairs=0).collect())
+    count, most = Counter(), Counter()
+    for _, n, ls in links:
+        count.update({x: n * ls.count(x) for x in set(ls)})
+    for x, n in count.items():
+        most[x % (1 << 32)] = max(most[x % (1 << 32)], n)
+    assert got == [(i, sum(count[x] == most[x % (1 << 32)] for x in ls), sum(count[x] for x in ls)) for i, _, ls in links if ls]
 
 
 def test_empty_table(spark):
@@ -92,10 +100,21 @@ def test_empty_table(spark):
     assert align_tokenizers(spark.createDataFrame([], "doc_id long, text string"), *FILES).collect() == []
 
 
+def test_texts_that_are_not_cut(spark, rows, monkeypatch):
+    """Tokenizers whose files do not allow cutting see whole texts, with the same result."""
+    from skein.llm import token_alignment as T
+
+    some = rows[::3]
+    monkeypatch.setattr(T, "cuttable", lambda data: np.ones(len(data), bool))  # no vocabulary passes that
+    assert not T.Pieces(open(FILES[1], "rb").read()).cuts
+    assert sorted(repr(tuple(r)) for r in T.align_tokenizers(docs(spark, some), *FILES).collect()) == brute(some)
+
+
 def test_chunks_are_few(spark):
     """Both supplied files allow cutting, and a slice holds a common chunk once."""
-    from skein.llm.token_alignment import tokenised
+    from skein.llm.token_alignment import ByteLevel, Pieces, sliced
 
+    assert ByteLevel(open(FILES[0], "rb").read()).cuts and Pieces(open(FILES[1], "rb").read()).cuts
     texts = spark.createDataFrame([(i, "the same words " * 500) for i in range(40)], "doc_id long, text string").coalesce(1)
-    (row,) = tokenised(texts, *FILES).collect()
-    assert len(row.chunk_n) == 4 and sum(row.chunk_n) == sum(len(d.codes) for d in row.docs) == 40 * 1501
+    (row,) = sliced(texts).collect()
+    assert len(row.chunks) == 4 and sum(row.times) == sum(len(d.codes) for d in row.docs) == 40 * 1501
