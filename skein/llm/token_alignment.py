@@ -19,12 +19,12 @@ from skein.llm.words import slices
 from skein.storage import materialize
 
 #: Bytes of text in a slice, about; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 32 << 20
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
-_SLICES = "chunks array<binary>, whole array<boolean>, times array<int>, docs array<struct<doc_id: long, codes: array<int>>>"
+_SLICES = "chunks array<binary>, times array<int>, docs array<struct<doc_id: long, codes: array<int>>>"
 _TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 #: Bytes before which texts are cut, and those after which they are not.
@@ -158,19 +158,21 @@ def _slice(ids: pa.Array, texts: pa.Array, cuts: bool) -> pa.RecordBatch:
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
     codes = np.asarray(coded.indices)
     count = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
-    whole = np.zeros(len(coded.dictionary), bool)
-    whole[codes[np.repeat(odd, count)]] = True
+    chunks = coded.dictionary.to_pylist()
+    for k in set(codes[np.repeat(odd, count)].tolist()):
+        chunks[k] = b"\0" + chunks[k]
     lists = pa.ListArray.from_arrays(pa.array(np.append(np.append(0, np.cumsum(count)), np.full(int((~some).sum()), len(codes))), pa.int32()), pa.array(codes, pa.int32()))
     docs = pa.StructArray.from_arrays([ids, lists], ["doc_id", "codes"])
-    columns = (coded.dictionary.cast(pa.binary()), pa.array(whole), pa.array(np.bincount(codes, minlength=len(whole)), pa.int32()), docs)
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], ["chunks", "whole", "times", "docs"])
+    columns = (pa.array(chunks, pa.binary()), pa.array(np.bincount(codes, minlength=len(chunks)), pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], ["chunks", "times", "docs"])
 
 
 def sliced(docs: DataFrame, cuts: bool = True) -> DataFrame:
     """Slices of the documents, a row each: their distinct chunks with how often they occur, and every document as chunk numbers.
 
     Texts, each behind a space, are cut before white space that follows something else. Texts with unusual white space, and
-    all if not `cuts`, are one chunk each (whole). Null and empty texts have no chunk.
+    all if not `cuts`, are one chunk each, marked by a zero byte before it (others begin with white space). Null and empty texts
+    have no chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +185,21 @@ def sliced(docs: DataFrame, cuts: bool = True) -> DataFrame:
 
 
 def tokenised(chunks: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """chunks (chunk, whole, times) with a_ids, a_ends, b_ids, b_ends: all null where either tokenizer's bytes differ from the chunk's."""
+    """chunks (chunk, times) with a_ids, a_ends, b_ids, b_ends: all null where either tokenizer's bytes differ from the chunk's."""
     shared = chunks.sparkSession.sparkContext.broadcast((a, b))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = _of_worker(*shared.value)
         for batch in batches:
             for part in slices(batch, "chunk", 1 << 20):
+                held = part.column("chunk").to_pylist()
                 for whole in (False, True):
-                    some = part.filter(pc.equal(part.column("whole"), whole))
+                    some = part.filter(pa.array([c.startswith(b"\0") is whole for c in held], pa.bool_()))
                     if some.num_rows:
-                        lists = encoders.lists(some.column("chunk").to_pylist(), whole)
+                        lists = encoders.lists([c[whole:] for c in some.column("chunk").to_pylist()], whole)
                         yield pa.RecordBatch.from_arrays([*some.columns, *lists], [*some.schema.names, *(x.split()[0] for x in _TOKENS.split(", "))])
 
-    return chunks.select("chunk", "whole", "times").mapInArrow(run, f"chunk binary, whole boolean, times long, {_TOKENS}")
+    return chunks.select("chunk", "times").mapInArrow(run, f"chunk binary, times long, {_TOKENS}")
 
 
 def _marked(cuts: Column, ends: Column) -> Column:
@@ -211,7 +214,7 @@ def _side(ids: Column, marks: Column) -> Column:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens (see `tokenised`): chunk, whole, times, n_a, n_b, groups (`a1,a2|b1;a3|b2,b3`), links (array of A's id * 2^32 + B's id).
+    """tokens (see `tokenised`): chunk, times, n_a, n_b, groups (`a1,a2|b1;a3|b2,b3`), links (array of A's id * 2^32 + B's id).
 
     A group ends where tokens of both sides end. Tokens are never empty, so the last of each side in a group are the only
     pair that ends together, and each group holds one link. Chunk ends are ends of both, so no group leaves its chunk. All
@@ -224,7 +227,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     groups = F.zip_with(_side(F.col("a_ids"), F.col("am")), _side(F.col("b_ids"), F.col("bm")), lambda a, b: F.concat(a, F.lit("|"), b))
     some = F.col("a_ids").isNotNull()
     return cut.select(
-        "chunk", "whole", "times", F.when(some, F.size("a_ids")).alias("n_a"), F.when(some, F.size("b_ids")).alias("n_b"),
+        "chunk", "times", F.when(some, F.size("a_ids")).alias("n_a"), F.when(some, F.size("b_ids")).alias("n_b"),
         F.array_join(F.slice(groups, F.lit(1), F.size("cuts")), ";").alias("groups"), links.alias("links"),
     )
 
@@ -247,11 +250,11 @@ def chunk_scores(chunks: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> D
 
 def _without_lost(each: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
     """chunks with `times` less what stands in documents that have a chunk without tokens: those documents have no tokens at all."""
-    bad = each.join(chunks.where("n_a is null").select("chunk", "whole"), ["chunk", "whole"], "left_semi").groupBy("slice").agg(F.collect_set("code").alias("bad"))
+    bad = each.join(chunks.where("n_a is null").select("chunk"), "chunk", "left_semi").groupBy("slice").agg(F.collect_set("code").alias("bad"))
     lost = rows.select("slice", F.explode("docs").alias("d")).join(bad, "slice").where(F.arrays_overlap("d.codes", "bad"))
     less = lost.select("slice", F.explode("d.codes").alias("code")).groupBy("slice", "code").agg(F.count("*").alias("n"))
-    less = less.join(each, ["slice", "code"]).groupBy("chunk", "whole").agg(F.sum("n").alias("less"))
-    return chunks.join(less, ["chunk", "whole"], "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).drop("less")
+    less = less.join(each, ["slice", "code"]).groupBy("chunk").agg(F.sum("n").alias("less"))
+    return chunks.join(less, "chunk", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).drop("less")
 
 
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
@@ -271,14 +274,13 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """
     a, b = Path(a_file).read_bytes(), Path(b_file).read_bytes()
     rows, _ = materialize(sliced(docs, ByteLevel(a).cuts and Pieces(b).cuts).withColumn("slice", F.monotonically_increasing_id()), "slices")
-    each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "whole", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.whole", "x.times")
-    distinct = each.groupBy("chunk", "whole").agg(F.sum("times").alias("times"))
-    chunks, _ = materialize(aligned(tokenised(distinct, a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
+    each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.times")
+    chunks, _ = materialize(aligned(tokenised(each.groupBy("chunk").agg(F.sum("times").alias("times")), a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
     counted = _without_lost(each, chunks, rows) if chunks.where("n_a is null").limit(1).count() else chunks
     scores = chunk_scores(counted.select("id", "links", "times"))
-    results = chunks.select("id", "chunk", "whole", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(scores, "id", "left").drop("id")
-    found = each.select("slice", "code", "chunk", "whole").join(results.hint("shuffle_hash"), ["chunk", "whole"]).drop("chunk", "whole")
-    by_code = F.sort_array(F.collect_list(F.struct("code", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")))
+    results = chunks.select("id", "chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(scores, "id", "left").drop("id")
+    found = each.select("slice", "code", "chunk").join(results.hint("shuffle_hash"), "chunk").drop("chunk")
+    by_code = F.sort_array(F.collect_list(F.struct("code", *(F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups", "n_best")), "count_sum", "groups")))
     both = rows.select("slice", "docs").join(found.groupBy("slice").agg(by_code.alias("x")), "slice", "left")
 
     def doc(d: Column, x: Column) -> Column:
