@@ -148,18 +148,6 @@ def call_match_score(call_method: Column, api_method: Column, call_path: Column,
     return F.when((call_method == api_method) & same_path, 1.0).otherwise(partial)
 
 
-def token_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Similarity join of (id, tokens) tables: shared tokens / smaller set >= least, by an equi-join on tokens.
-
-    A pair shares at least one token, so the join's output is bounded by what shares tokens, not by all pairs;
-    AQE splits frequent tokens over tasks, but each still pairs all its rows.
-    """
-    x = a.select(F.col("id").alias("a"), F.array_distinct("tokens").alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("token"))
-    y = b.select(F.col("id").alias("b"), F.array_distinct("tokens").alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    both = x.join(y, "token").groupBy("a", "b").agg((F.count("*") / F.least(F.min("na"), F.min("nb"))).alias("score"))
-    return both.where(F.col("score") >= least)
-
-
 def top_per(df: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= n).drop("r")
 

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from skein.functions.text import bigrams, blocking_name, without_suffix
 from skein.operators.components import connected_components
 from skein.operators.retrieval import cosine
+from skein.operators.scans import numbered
 
 #: Weights of the parts of a composite score, and the scores from which a pair merges or is reviewed.
 WEIGHTS = {"name": 0.35, "struct": 0.25, "evidence": 0.20, "runtime": 0.10, "history": 0.10}
@@ -53,7 +54,7 @@ def signature_similarity(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): different nodes that share a block, a < b, each pair once: an equi-join on the key, whose hot keys AQE splits."""
+    """(a, b): different nodes that share a block, a < b, each pair once: all pairs, as many as the square of a block. See `blocking` for bounded ones."""
     other = keys.select("key", F.col("id").alias("b"))
     return keys.withColumnRenamed("id", "a").join(other, "key").where("a < b").select("a", "b").distinct()
 
@@ -61,10 +62,10 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 def window_pairs(nodes: DataFrame, reach: int = 50) -> DataFrame:
     """(a, b): nodes of one type and source within `reach` places of each other by name.
 
-    Places are cut in runs of `reach`: a node meets its own run and the next, an equi-join, not a range join.
+    Places count over all types and sources, range by range, as these stand together in the order. They are cut in runs of
+    `reach`: a node meets its own run and the next, an equi-join, not a range join.
     """
-    place = F.row_number().over(Window.partitionBy("node_type", "source_type").orderBy("node_name", "id"))
-    n = nodes.select("id", "node_type", "source_type", place.alias("p")).withColumn("run", F.floor(F.col("p") / reach))
+    n = numbered(nodes.select("id", "node_type", "source_type", "node_name"), "p", "node_type", "source_type", "node_name", "id").drop("node_name").withColumn("run", F.floor(F.col("p") / reach))
     near = n.select(F.col("id").alias("b"), F.col("p").alias("q"), "node_type", "source_type", F.explode(F.array("run", F.col("run") - 1)).alias("run"))
     return n.withColumnRenamed("id", "a").join(near, ["node_type", "source_type", "run"]).where((F.col("q") > F.col("p")) & (F.col("q") < F.col("p") + reach)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

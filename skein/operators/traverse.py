@@ -69,11 +69,68 @@ def paths(seeds: DataFrame, edges: DataFrame, max_depth: int, direction: str = "
     return out if ends is None else out.join(ends.select(F.col("id").alias("end")), "end", "left_semi")
 
 
+def best_trails(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int, k: int, direction: str = "out", edge_types: Sequence[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """The k first trails of 1..max_depth edges from seeds (id) to ends (id; any node if None), by depth, then by `trail`, exact.
+
+    Returns start, end, depth, trail (node ids joined by '>'), path_edges and confidence, the least of its nodes' (null: none
+    known). No edge occurs twice in a trail.
+
+    Depth by depth, and only until k are found: a backward pass says which nodes can reach an end in exactly the steps that are
+    left, and of the trails so far that stand at one node only the first `keep` go on, so a hub costs keep trails, not all.
+    As edges must not repeat, a trail that was left could be the start of one of the k first: all its continuations sort
+    behind it, so the depth is run again with a larger `keep` unless k found ones sort before every trail that was left.
+    """
+    steps, steps_at = materialize(oriented(edges, direction, edge_types), "steps")
+    known = nodes.select(F.col("id").alias("end"), F.col("confidence").alias("c"))
+    left = [None if ends is None else ends.select("id").distinct()]
+    places = []
+    for _ in range(max_depth):
+        back = steps if left[-1] is None else steps.join(left[-1].withColumnRenamed("id", "dst"), "dst", "left_semi")
+        level, at = materialize(back.select(F.col("src").alias("id")).distinct(), "left")
+        left.append(level)
+        places.append(at)
+    start = seeds.select(F.col("id").alias("start"), F.col("id").alias("end"), F.col("id").cast("string").alias("trail"), F.array().cast("array<string>").alias("path_edges"))
+    start = start.join(known, "end", "left").withColumnRenamed("c", "confidence")
+    found, need = [], k
+    for depth in range(1, max_depth + 1):
+        keep, first = k, start.join(left[depth].withColumnRenamed("id", "end"), "end", "left_semi")
+        while need > 0:
+            now, cut, made = first, None, []
+            for d in range(1, depth + 1):
+                to = left[depth - d]
+                step = steps if to is None else steps.join(to.withColumnRenamed("id", "dst"), "dst", "left_semi")
+                grown = now.join(step.withColumnRenamed("src", "end"), "end").where(~F.array_contains("path_edges", F.col("id")))
+                grown = grown.select("start", F.col("dst").alias("end"), F.concat_ws(">", "trail", "dst").alias("trail"), F.array_append("path_edges", F.col("id")).alias("path_edges"), "confidence")
+                place = F.row_number().over(Window.partitionBy("end").orderBy("trail", "path_edges"))
+                grown, at = materialize(grown.join(known, "end", "left").withColumn("confidence", F.least("confidence", "c")).drop("c").withColumn("place", place), "trails")
+                made.append(at)
+                if d < depth:
+                    least = grown.where(F.col("place") > keep).agg(F.min("trail").alias("m")).first()["m"]
+                    cut = least if cut is None or least is not None and least < cut else cut
+                now = grown.where(F.col("place") <= (keep if d < depth else k)).drop("place")
+            best, best_at = materialize(now.withColumn("depth", F.lit(depth)).orderBy("trail", "path_edges").limit(need), "best")
+            last = best.agg(F.count("*").alias("n"), F.max("trail").alias("m")).first()
+            for at in made:
+                drop(steps.sparkSession, at)
+            if cut is None or last["n"] == need and last["m"] < cut:
+                found.append(best)
+                need -= last["n"]
+                break
+            drop(steps.sparkSession, best_at)
+            keep *= 4
+    for at in [steps_at, *places]:
+        drop(steps.sparkSession, at)
+    out = found[0]
+    for best in found[1:]:
+        out = out.union(best)
+    return out.select("start", "end", "depth", "trail", "path_edges", "confidence")
+
+
 def with_confidence(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Paths with the least confidence among their nodes (null: none known)."""
-    keyed = found.withColumn("path_id", F.xxhash64("nodes", "path_edges"))
-    least = keyed.select("path_id", F.explode("nodes").alias("id")).join(nodes.select("id", "confidence"), "id").groupBy("path_id").agg(F.min("confidence").alias("confidence"))
-    return keyed.join(least, "path_id", "left").drop("path_id")
+    key = ["start", "path_edges", "nodes"]
+    least = found.select(*key, F.explode("nodes").alias("id")).join(nodes.select("id", "confidence"), "id").groupBy(*key).agg(F.min("confidence").alias("confidence"))
+    return found.join(least, key, "left")
 
 
 def neighbours(edges: DataFrame, ids: DataFrame, cap: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from skein.operators import resolution as E
 from skein.operators import traverse as P
 from skein.operators.retrieval import cosine, nearest
 from skein.plans.pattern_queries import _of
+from skein.operators.similarity import similar_sets
 from skein.plans.registry import query
 from skein.plans.retrieval_queries import _Q, _SIM, _query
 
@@ -41,12 +42,9 @@ _SIMS = f"""t as (select id, node_type, {_T} t from entities), w as (select id,
 
 
 def _similar(d):
-    t = d.entities.select("id", "node_type", split_words(F.col("node_name")).alias("t"))
-    w = t.select("id", "node_type", F.explode("t").alias("w"))
-    left, right = w.where("node_type = 'Entity'").select(F.col("id").alias("a"), "w"), w.where("node_type <> 'Entity'").select(F.col("id").alias("b"), "node_type", "w")
-    pairs = left.join(right, "w").select("a", "b", "node_type").distinct()
-    of = lambda end: t.select(F.col("id").alias(end), F.col("t").alias(f"t{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "node_type", E.token_similarity(F.col("ta"), F.col("tb")).alias("score"))
+    t = d.entities.select("id", "node_type", split_words(F.col("node_name")).alias("tokens"))
+    found = similar_sets(t.where("node_type = 'Entity'"), t.where("node_type <> 'Entity'"), 0.5, small=3, least_length=4)
+    return found.join(t.select(F.col("id").alias("b"), "node_type"), "b")
 
 
 @query("J18_object_similarity", f"with {_SIMS} select a, b, score from q where score > case when node_type = 'Service' then 0.6 else 0.65 end", "classes entities")
@@ -232,5 +230,16 @@ def _(d):
 
 @query("P1_paths_between", "with recursive b as (select src, dst, id from edges where edge_type = 'REFERENCES' union all select dst, src, id from edges where edge_type = 'REFERENCES'), p as (select 'tbl:20' e, [''] used, ['tbl:20'] ns, 0 depth union all select dst, list_append(used, id), list_append(ns, dst), depth + 1 from p join b on b.src = e where depth < 5 and not list_contains(used, id)) select array_to_string(ns, '>') trail, depth from p where e = 'tbl:5' and depth > 0 order by depth, 1 limit 20", "edges")
 def _(d):
-    found = P.paths(d.nodes.where("id = 'tbl:20'"), d.edges, 5, "both", ["REFERENCES"], d.nodes.where("id = 'tbl:5'"))
-    return found.select(F.array_join("nodes", ">").alias("trail"), "depth").orderBy("depth", "trail").limit(20)
+    found = P.best_trails(d.nodes.where("id = 'tbl:20'"), d.edges, d.nodes, 5, 20, "both", ["REFERENCES"], d.nodes.where("id = 'tbl:5'"))
+    return found.select("trail", "depth")
+
+
+@query(
+    "P2_first_paths",
+    """with recursive p as (select id "end", 0 depth, id trail, [''] used, confidence from nodes where id in ('api:1', 'ctl:2') union all select dst, depth + 1, concat(trail, '>', dst), list_append(used, edges.id), least(p.confidence, coalesce(n.confidence, p.confidence)) from p join edges on src = p."end" join nodes n on n.id = dst where depth < 4 and not list_contains(used, edges.id))
+    select trail, "end", depth, round(least(p.confidence, confidence), 6) confidence from p where depth > 0 order by depth, trail limit 300""",
+    "nodes edges",
+)
+def _(d):
+    found = P.best_trails(d.nodes.where("id in ('api:1', 'ctl:2')"), d.edges, d.nodes, 4, 300)
+    return found.select("trail", "end", "depth", F.round("confidence", 6).alias("confidence"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import patterns as J
 from skein.operators import traverse as P
+from skein.operators.similarity import similar_sets
 from skein.plans.registry import query
 
 
@@ -117,7 +118,7 @@ def _(d):
 )
 def _(d):
     t = d.part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"), "p_size")
-    s = J.token_pairs(t.where("p_size <= 5"), t.where("p_size > 5"), 0.5)
+    s = similar_sets(t.where("p_size <= 5"), t.where("p_size > 5"), 0.5)
     return J.top_per(s, "a", 3, F.desc("score"), "b").select("a", "b", F.round("score", 6).alias("score"))
 
 

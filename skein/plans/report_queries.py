@@ -9,6 +9,7 @@ from skein.operators import scans as S
 from skein.operators import stats as A
 from skein.operators import traverse as P
 from skein.plans.pattern_queries import _REACH
+from skein.operators.similarity import similar_sets
 from skein.plans.registry import query
 from skein.plans.retrieval_queries import _Q, _SIM, _query
 from skein.sources.process import process_log
@@ -47,7 +48,7 @@ _COS = "list_cosine_similarity(cast(v.embedding as double[]), cast(w.embedding a
 )
 def _(d):
     t = d.part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"), "p_size")
-    near = J.token_pairs(t.where("p_size <= 3"), t.where("p_size > 45"), 0.25)
+    near = similar_sets(t.where("p_size <= 3"), t.where("p_size > 45"), 0.25)
     v = lambda end: d.embeddings.select(F.col("vec_id").alias(end), F.col("embedding").alias(f"v{end}"))
     scored = near.join(v("a"), "a", "left").join(v("b"), "b", "left").withColumn("score", F.greatest("score", F.coalesce(V.cosine(F.col("va"), F.col("vb")), F.lit(0.0)))).where("score > 0.6")
     return J.top_per(scored, "a", 3, F.desc("score"), "b").select("a", "b", F.when(F.col("score") >= 0.8, "CONFIRMED").otherwise("PENDING_CONFIRM").alias("status"))

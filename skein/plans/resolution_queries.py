@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from skein.functions.text import split_words
+from skein.operators import blocking as B
 from skein.operators import communities as C
 from skein.operators import resolution as E
+from skein.operators.similarity import similar_sets
 from skein.plans.registry import query
 
 _NORMAL = "regexp_replace(regexp_replace(lower(node_name), '[^a-z0-9]', '', 'g'), 'controller|service|mapper|dao|impl|entity|dto|vo', '', 'g')"
@@ -41,8 +43,38 @@ def _entity_edges(d):
     return d.classes.select(F.concat(F.lit("ent:"), "class_name").alias("src"), F.col("package").alias("dst")).distinct()
 
 
+#: Few names a block, so that small tables split blocks too.
+_BOUND = 8
+_AB = [", ".join(str(x[i]) for x in B.family(40)) for i in (0, 1)]
+_LSH = f"""r as (select min(id) id, node_type, lower(trim(node_name)) nm from entities where length(trim(node_name)) >= 2 group by 2, 3),
+    h as (select id, node_type, list_transform(range(1, length(nm)), lambda j: 31 * ascii(substring(nm, j, 1)) + ascii(substring(nm, j + 1, 1)) + 1) base from r),
+    sg as (select id, node_type, list_transform(range(1, 41), lambda i: list_min(list_transform(base, lambda x: (cast(x as bigint) * ([{_AB[0]}])[i] + ([{_AB[1]}])[i]) % {B.PRIME}))) s from h),
+    bd as (select id, node_type, list_concat(s, s) s, unnest(range(0, 20)) b from sg),
+    ks as (select id, concat(node_type, ':', b, ':', array_to_string(s[2 * b + 1 : 2 * b + 2], ',')) k0, concat(node_type, ':', b, ':', array_to_string(s[2 * b + 1 : 2 * b + 6], ',')) k1, concat(node_type, ':', b, ':', array_to_string(s[2 * b + 1 : 2 * b + 40], ',')) k2 from bd),
+    kn as (select *, count(*) over (partition by k0) n0, count(*) over (partition by k1) n1, count(*) over (partition by k2) n2 from ks),
+    bl as (select case when n0 <= {_BOUND} then k0 when n1 <= {_BOUND} then k1 else k2 end "key", id, n0 > {_BOUND} and n1 > {_BOUND} and n2 > {_BOUND} crowd from kn),
+    pr as (select x.id a, y.id b from bl x join bl y on x."key" = y."key" and x.id < y.id and not x.crowd union all select m.a, x.id from bl x join (select "key", min(id) a from bl where crowd group by 1) m on m."key" = x."key" and m.a <> x.id where x.crowd),
+    wp as (select a, b, count(*) weight from pr group by 1, 2), en as (select a id, weight from wp union all select b, weight from wp), av as (select id, sum(weight) t, count(*) n from en group by 1),
+    kept as (select a, b, weight from wp join av x on x.id = a join av y on y.id = b where weight * x.n >= x.t or weight * y.n >= y.t)"""
+
+
+@query("E4_lsh_blocks", f"with {_LSH} select \"key\", count(*) members from bl where not crowd group by 1 having count(*) > 1", "classes entities")
+def _(d):
+    return B.lsh_blocks(d.entities, bound=_BOUND)[0].groupBy("key").agg(F.count("*").alias("members"))
+
+
+@query("E5_weighted_pairs", f"with {_LSH} select a, b, weight from wp", "classes entities")
+def _(d):
+    return B.weighted_pairs(*B.lsh_blocks(d.entities, bound=_BOUND))
+
+
+@query("E5_pruned_pairs", f"with {_LSH} select a, b, weight from kept", "classes entities")
+def _(d):
+    return B.pruned_pairs(B.weighted_pairs(*B.lsh_blocks(d.entities, bound=_BOUND)))
+
+
 def _scored(d):
-    pairs = E.candidate_pairs(E.blocking_keys(d.entities)).union(E.window_pairs(d.entities)).distinct()
+    pairs = B.resolution_pairs(d.entities).union(E.window_pairs(d.entities)).distinct()
     return E.scored_pairs(pairs, d.entities, _entity_edges(d), d.entity_evidence)
 
 
@@ -54,7 +86,7 @@ def _(d):
 @query("E7_name_scores", None)
 def _(d):
     n = lambda end: d.entities.select(F.col("id").alias(end), F.col("node_name").alias(f"n{end}"))
-    pairs = E.candidate_pairs(E.blocking_keys(d.entities))
+    pairs = B.resolution_pairs(d.entities)
     return pairs.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.round(E.name_score(F.col("na"), F.col("nb")), 6).alias("score"))
 
 
@@ -175,16 +207,12 @@ _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(nod
 
 @query(
     "E19_token_similarity",
-    f"""with t as (select id, {_TOK} t from entities), p as (select distinct x.id a, y.id b from (select id, unnest(t) w from t) x join (select id, unnest(t) w from t) y on x.w = y.w and x.id < y.id), s as (select a, b, len(list_intersect(x.t, y.t)) i, least(len(x.t), len(y.t)) m from p join t x on x.id = a join t y on y.id = b)
-    select a, b, case when m < 2 then 1.0 when i <> m and m < 3 then 0.0 else cast(i as double) / m end score from s""",
+    f"""with t as (select id, {_TOK} t from entities), p as (select distinct x.id a, y.id b from (select id, unnest(t) w from t) x join (select id, unnest(t) w from t) y on x.w = y.w and x.id < y.id), s as (select a, b, len(list_intersect(x.t, y.t)) i, least(len(x.t), len(y.t)) m from p join t x on x.id = a join t y on y.id = b),
+    q as (select a, b, case when m < 2 then 1.0 when i <> m and m < 3 then 0.0 else cast(i as double) / m end score from s) select a, b, score from q where score >= 0.5""",
     "classes entities",
 )
 def _(d):
-    t = d.entities.select("id", split_words(F.col("node_name")).alias("t"))
-    w = t.select("id", F.explode("t").alias("w"))
-    pairs = w.withColumnRenamed("id", "a").join(w.withColumnRenamed("id", "b"), "w").where("a < b").select("a", "b").distinct()
-    of = lambda end: t.select(F.col("id").alias(end), F.col("t").alias(f"t{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", E.token_similarity(F.col("ta"), F.col("tb")).alias("score"))
+    return similar_sets(d.entities.select("id", split_words(F.col("node_name")).alias("tokens")), None, 0.5, small=3, least_length=4)
 
 
 @query("E21_field_similarity", None)

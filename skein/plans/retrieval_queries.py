@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skein.operators import retrieval as V
+from skein.operators import vector_index as I
 from skein.plans.registry import query
 
 _SIM = "list_dot_product(cast(embedding as double[]), q) / (sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) * sqrt(list_dot_product(q, q)))"
@@ -23,6 +24,36 @@ def _(d):
     return V.nearest(d.vectors.where(F.col("acl").isNull() | F.col("acl").contains("bob")), _query(d), 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _index(d, cells=64):
+    return I.build_index(d.vectors, cells)
+
+
+@query("V1_indexed_top_k", f"with {_Q} select vec_id, round({_SIM}, 6) similarity from vectors, q where chunk_type = 'DOC' order by {_SIM} desc, vec_id limit 20", "vectors")
+def _(d):
+    return I.indexed_nearest(d.spark, _index(d), _query(d), 20, where=F.col("chunk_type") == "DOC").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("V2_indexed_filtered_top_k", f"with {_Q} select vec_id, round({_SIM}, 6) similarity from vectors, q where acl is null or contains(acl, 'bob') order by {_SIM} desc, vec_id limit 10", "vectors")
+def _(d):
+    return I.indexed_nearest(d.spark, _index(d), _query(d), 10, where=F.col("acl").isNull() | F.col("acl").contains("bob")).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("V16_indexed_cache_lookup", f"with {_Q} select vec_id, round({_SIM}, 6) similarity from vectors, q where {_SIM} >= 0.95 and vec_id > 0 order by {_SIM} desc, vec_id limit 1", "vectors")
+def _(d):
+    return I.indexed_nearest(d.spark, _index(d), _query(d), 1, where=F.col("vec_id") > 0, least=0.95).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "V4_indexed_similar_nodes",
+    f"with {_Q}, t as (select source_uri, row_number() over (order by {_SIM} desc, vec_id) r from vectors, q qualify r <= 20), u as (select source_uri, min(r) place from t group by source_uri) select id, place from nodes join u on source_uri = concat('uri', cast(k % 40 as string)) where node_type = 'Service'",
+    "vectors nodes",
+)
+def _(d):
+    near = V.ranked(I.indexed_nearest(d.spark, _index(d), _query(d), 20), F.desc("similarity"), "vec_id")
+    nodes = d.nodes.where("node_type = 'Service'").withColumn("source_uri", F.concat(F.lit("uri"), (F.col("k") % 40).cast("string")))
+    return nodes.join(F.broadcast(V.sources_of(near)), "source_uri").select("id", "place")
+
+
 @query(
     "V4_similar_nodes",
     f"with {_Q}, t as (select source_uri, row_number() over (order by {_SIM} desc, vec_id) r from vectors, q qualify r <= 20), u as (select source_uri, min(r) place from t group by source_uri) select id, place from nodes join u on source_uri = concat('uri', cast(k % 40 as string)) where node_type = 'Service'",

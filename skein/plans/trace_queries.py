@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from skein.operators import conformance as C
 from skein.operators import traces as T
 from skein.plans.registry import query
 
@@ -90,3 +91,45 @@ def _(d):
 @query("T13_activity_coverage", "with m as (select * from (values ('view'), ('click'), ('refund')) v(a)), s as (select distinct activity a from process_log) select round((select count(*) from m semi join s using (a)) / (select cast(count(*) as double) from m), 6) fitness, (select count(*) from s anti join m using (a)) deviations", "process_log")
 def _(d):
     return T.coverage(d.process_log, d.spark.createDataFrame([("view",), ("click",), ("refund",)], "activity string"))
+
+
+#: The model 'chain' is sequential, so every place has one activity that fills it and one that takes from it: a running sum for each place.
+_CHAIN = """l as (select cast(case_id as varchar) case_id, activity, row_number() over (partition by case_id order by started_at, event_id) pos from process_log where case_id is not null),
+    fe as (select substr(src, 5) a, substr(dst, 5) b from flows where process_key = 'chain'), m0 as (select a activity, 1 i from fe where a not in (select b from fe)),
+    m1 as (select * from m0 union all select b, 2 from fe join m0 on a = m0.activity), m2 as (select * from m1 union all select b, 3 from fe join m1 on a = m1.activity and m1.i = 2),
+    m as (select * from m2 union all select b, 4 from fe join m2 on a = m2.activity and m2.i = 3), last as (select max(i) k from m),
+    d as (select case_id, i place, pos, -1 d from l join m using (activity) union all select case_id, i - 1, pos, 1 from l join m using (activity)
+        union all select distinct case_id, 0, 0, -1 from l union all select distinct case_id, k, 1000000000, 1 from l cross join last),
+    s as (select *, sum(d) over (partition by case_id, place order by pos rows between unbounded preceding and current row) open from d),
+    p as (select case_id, place, count(*) filter (where d = -1) produced, count(*) filter (where d = 1) consumed, greatest(0, max(open)) missing from s group by 1, 2),
+    c as (select case_id, cast(sum(produced) as bigint) produced, cast(sum(consumed) as bigint) consumed, cast(sum(missing) as bigint) missing, cast(sum(produced - consumed + missing) as bigint) remaining from p group by 1),
+    n as (select case_id, count(*) events, count(*) filter (where activity not in (select activity from m)) unknown from l group by 1)"""
+
+
+def _net(d, process):
+    return C.net_of(C.model(d.flows.where(F.col("process_key") == process)))
+
+
+@query("T13_token_replay", f"with {_CHAIN} select case_id, events, unknown, produced, consumed, missing, remaining, round((1 - missing / consumed) / 2 + (1 - remaining / produced) / 2, 6) fitness from c join n using (case_id)", "process_log flows")
+def _(d):
+    return C.replayed(d.process_log, _net(d, "chain"))
+
+
+@query("T13_conformance", f"""with {_CHAIN},
+    o as (select case_id, pos, l.activity, m.i, bool_and(coalesce(m.i = pos, false)) over (partition by case_id order by pos rows between unbounded preceding and 1 preceding) before from l left join m using (activity)),
+    st as (select pos, count(*) w, max(case when i = pos then 1 else 0 end) used from o where coalesce(before, true) and pos <= (select k from last) group by pos),
+    g as (select 1 - avg(1 / sqrt(coalesce(n, 1))) g from m left join (select activity, count(*) n from l group by 1) x using (activity))
+    select count(*) cases, count(*) filter (where missing = 0 and remaining = 0 and unknown = 0) fitting, round((1 - sum(missing) / sum(consumed)) / 2 + (1 - sum(remaining) / sum(produced)) / 2, 6) fitness,
+    (select round(coalesce(sum(w * used) / sum(w), 1.0), 6) from st) "precision", (select round(g, 6) from g) generalization, (select count(distinct activity) from l where activity not in (select activity from m)) deviations from c join n using (case_id)""", "process_log flows")
+def _(d):
+    return C.conformance(d.process_log, _net(d, "chain"))
+
+
+@query("T13_branching_conformance")
+def _(d):
+    return C.conformance(d.process_log, _net(d, "pairs"))
+
+
+@query("T13_deviations", "with m as (select substr(src, 5) a from flows where process_key = 'chain' union select substr(dst, 5) from flows where process_key = 'chain') select activity, count(*) events from process_log where case_id is not null and activity not in (select a from m) group by 1", "process_log flows")
+def _(d):
+    return C.deviations(d.process_log, _net(d, "chain"))

@@ -60,6 +60,10 @@ SQL = {
     "spans": """select trace_id, span_id, lag(span_id) over (partition by trace_id order by ts, span_id) parent_span_id, service_name, duration_ms, status, ts from (
         select concat(cast(user_id as string), '-', cast(cast(ts as date) as string)) trace_id, event_id span_id, event_type service_name, cast(floor(value * 10) as bigint) duration_ms, case event_type when 'error' then 'ERROR' else 'OK' end status, ts from {events}) e""",
     "process_log": "select user_id case_id, event_type activity, ts started_at, event_id from {events}",
+    "flows": """select 'chain' process_key, concat('act:', b) src, concat('act:', activity) dst, 'FLOW_TO' edge_type from (select activity, lag(activity) over (order by n desc, activity) b from (
+        select activity, n, row_number() over (order by n desc, activity) r from (select activity, count(*) n from {process_log} group by activity) c) x where r <= 4) y where b is not null
+        union all select 'pairs', concat('act:', b), concat('act:', a), 'FLOW_TO' from (select b, a, row_number() over (partition by b order by n desc, a) r from (
+        select b, a, count(*) n from (select lag(activity) over (partition by case_id order by started_at, event_id) b, activity a from {process_log}) f where b is not null group by b, a) c) x where r <= 2""",
     "claims": """select 'Feature' subject_type, concat('f:', cast(o_custkey % 200 as string)) subject_key,
         case l_linenumber when 1 then 'EXPOSED_BY' when 2 then 'IMPLEMENTED_BY' when 3 then 'HANDLED_BY' when 4 then 'READS' when 5 then 'WRITES' when 6 then 'VERIFIED_BY' else 'CALLS' end predicate,
         case when l_linenumber in (4, 5) then 'Table' else 'ApiEndpoint' end object_type,

@@ -1,26 +1,13 @@
-"""Spans as a stream: ingestion, windowed service statistics and traces as sessions.
+"""Spans as a stream: windowed service statistics and sessions by event time.
 
-Event time drives all three: a watermark bounds their state, so a query runs forever in bounded memory.
+Run in append mode (`skein.streaming.traces.appended`) both forget what the watermark has passed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.storage import scratch_path
-
-
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """The events under path as they arrive, in the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def unique_spans(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each event_id once, as a span; repeats within the watermark are dropped, what comes later than it is not waited for."""
-    once = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    return once.select("event_id", "user_id", F.col("event_type").alias("service_name"), F.when(F.col("event_type") == "error", "ERROR").otherwise("OK").alias("status"), "value", "ts")
-
 
 def service_windows(spans: DataFrame, size: str = "1 hour") -> DataFrame:
     """(window_start, service_name, spans, errors) of tumbling windows."""
@@ -32,19 +19,3 @@ def sessions(spans: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, session_start, spans, errors): a user's spans no further apart than `gap`."""
     per = spans.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("spans"), F.count_if(F.col("status") == "ERROR").alias("errors"))
     return per.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "spans", "errors")
-
-
-def drained(result: DataFrame, name: str) -> DataFrame:
-    """What a streaming result comes to once everything that is there has been read: its state after the last batch.
-
-    The result is written whole after each batch, checkpoints lie in the shared folder.
-    """
-    spark = result.sparkSession
-    path = scratch_path(spark, name)
-    spark.createDataFrame([], result.schema).write.parquet(path)
-    run = (
-        result.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
-        .option("checkpointLocation", scratch_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
