@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def snake_case(name: Column) -> Column:
 
 
 def capitalised(name: Column) -> Column:
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.expr("''"), F.substring(name, 2, 1 << 30))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
 
 
 def short_key(*parts: Column) -> Column:
@@ -104,18 +105,35 @@ def merged_lists(a: Column, b: Column) -> Column:
     return F.to_json(F.array_distinct(F.concat(read(a), read(b))))
 
 
-def column_kind(name: Column) -> Column:
-    """What a column's name says of it: id, status, type, deleted, audit or plain."""
-    n = F.lower(name)
+#: What in a column's name or comment tells its kind, in order of precedence; the comment's words after the bar.
+STATUS_WORDS, STATUS_COMMENTS = ("status", "state"), ("状态", "enum", "字典")
+TYPE_WORDS, TYPE_COMMENTS = ("type", "category"), ("类型", "category")
+DELETED_WORDS = ("delete", "del_flag", "is_deleted")
+AUDIT_WORDS, AUDIT_ENDINGS = ("create", "update"), ("_at", "_time")
+#: Parts of names of columns that hold personal or secret data, and kinds that say so.
+SENSITIVE_WORDS = ("password", "passwd", "pwd", "secret", "token", "credential", "private_key", "privatekey", "身份证", "手机号", "phone", "mobile", "email", "mail", "id_card", "idcard", "bank_card", "bankcard", "salary", "wages")
+SENSITIVE_KINDS = ("pii", "sensitive")
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def column_kind(name: Column, comment: Column | None = None) -> Column:
+    """What a column's name and comment say of it: id, status, type, deleted, audit or plain."""
+    n, c = F.lower(name), F.lower(F.coalesce(comment if comment is not None else F.lit(""), F.lit("")))
+    holds = lambda words, said=(): _any([*(n.contains(w) for w in words), *(c.contains(w) for w in said)])
+    audit = _any([*(n.contains(w) for w in AUDIT_WORDS), *(n.endswith(w) for w in AUDIT_ENDINGS)])
     return (
-        F.when(n.rlike("(^|_)id$"), "id").when(n.rlike("status|state"), "status").when(n.rlike("(^|_)(type|kind|category)$"), "type")
-        .when(n.rlike("deleted|is_del"), "deleted").when(n.rlike("^(created|updated|create|update)_"), "audit").otherwise("plain")
+        F.when(n.endswith("_id") | (n == "id"), "id").when(holds(STATUS_WORDS, STATUS_COMMENTS), "status").when(holds(TYPE_WORDS, TYPE_COMMENTS), "type")
+        .when(holds(DELETED_WORDS), "deleted").when(audit, "audit").otherwise("plain")
     )
 
 
-def is_sensitive(name: Column) -> Column:
-    """Whether a column's name says that it holds personal or secret data."""
-    return F.lower(name).rlike("password|passwd|secret|token|phone|mobile|email|id_card|idcard|bank|address")
+def is_sensitive(name: Column, kind: Column | None = None) -> Column:
+    """Whether a column's name, or its kind, says that it holds personal or secret data."""
+    found = _any([F.lower(name).contains(w) for w in SENSITIVE_WORDS])
+    return found if kind is None else found | F.coalesce(F.lower(kind).isin(*SENSITIVE_KINDS), F.lit(False))
 
 
 def node_type_of(class_name: Column) -> Column:

@@ -14,6 +14,7 @@ from skein.functions.text import bigrams, blocking_name, without_suffix
 from skein.operators.components import connected_components
 from skein.operators.retrieval import cosine
 from skein.operators.scans import numbered
+from skein.operators.similarity import ordered_sets
 
 #: Weights of the parts of a composite score, and the scores from which a pair merges or is reviewed.
 WEIGHTS = {"name": 0.35, "struct": 0.25, "evidence": 0.20, "runtime": 0.10, "history": 0.10}
@@ -163,13 +164,16 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[
 def cross_type_candidates(nodes: DataFrame, evidence: DataFrame, vectors: DataFrame, type_pairs: Sequence[tuple[str, str]], shared: int = 2, least: float = 0.7) -> DataFrame:
     """(a, b, shared, similarity): nodes of paired types with enough evidence in common whose vectors are alike ((cosine + 1) / 2).
 
-    evidence: (id, evidence), vectors: (id, embedding). Pairs come from an equi-join on evidence, not from all pairs of two types.
+    evidence: (id, evidence), vectors: (id, embedding). Pairs come from an equi-join on each node's rarer evidence, not from all that share some.
     """
-    typed = evidence.distinct().join(nodes.select("id", "node_type"), "id")
-    left = typed.select(F.col("id").alias("a"), "evidence", F.col("node_type").alias("ta"))
-    right = typed.select(F.col("id").alias("b"), "evidence", F.col("node_type").alias("tb"))
+    lists = evidence.where("evidence is not null").groupBy("id").agg(F.collect_set("evidence").alias("tokens"))
+    sets = ordered_sets(lists.select(F.lit(0).alias("side"), "id", "tokens")).join(nodes.select("id", "node_type"), "id")
+    # sets that share enough share one of their n - shared + 1 rarest, so what most nodes have brings none together
+    first = sets.select("id", "node_type", "tokens", F.posexplode("tokens").alias("at", "x"), "n").where(F.col("at") <= F.col("n") - shared).withColumn("token", F.col("x.token"))
+    end = lambda e: first.select("token", F.col("id").alias(e), F.col("node_type").alias(f"t{e}"), F.col("tokens").alias(f"s{e}"))
     wanted = F.concat_ws("|", "ta", "tb").isin(*["|".join(p) for p in type_pairs])
-    found = left.join(right, "evidence").where(wanted).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    met = end("a").join(end("b"), "token").where(wanted).withColumn("common", F.array_intersect("sa", "sb"))
+    found = met.where((F.get("common", F.lit(0))["token"] == F.col("token")) & (F.size("common") >= shared)).select("a", "b", F.size("common").cast("long").alias("shared"))
     v = lambda end: vectors.select(F.col("id").alias(end), F.col("embedding").alias(f"v{end}"))
     out = found.join(v("a"), "a").join(v("b"), "b").withColumn("similarity", semantic_similarity(F.col("va"), F.col("vb")))
     return out.where(F.col("similarity") >= least).select("a", "b", "shared", "similarity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,21 +68,34 @@ def fused(rankings: DataFrame, k: int) -> DataFrame:
     return rankings.groupBy("key").agg(score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
+def query_terms(query: str) -> list[str]:
+    """A query's terms in lower case, split at white space and at commas, full stops and marks of Chinese."""
+    parts = re.split(r"[\s,，。？！]+", query.lower())
+    while parts and not parts[-1]:
+        parts.pop()
+    return parts
+
+
 def keyword_score(text: Column, query: str, terms: Sequence[str]) -> Column:
-    """10 for the whole query; ln(1 + count) and, in the first 200 characters, 2 for each term; 5 x share of terms found."""
-    low = F.lower(text)
-    counts = [(F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t) for t in terms]
+    """10 for the whole query; ln(1 + count) for each term; 5 x share of terms found; 2 for each term in the first 200 characters of longer texts.
+
+    Terms of one character count as not found. A blank text scores 0.
+    """
+    low, used = F.lower(text), [t for t in terms if len(t) >= 2]
+    counts = [(F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t) for t in used]
+    head = F.lower(F.substring(text, 1, 200))
     score = F.when(low.contains(query), 10.0).otherwise(0.0)
-    for t, n in zip(terms, counts, strict=True):
-        score = score + F.log1p(n) + F.when(F.substring(low, 1, 200).contains(t), 2.0).otherwise(0.0)
-    found = sum((n > 0).cast("int") for n in counts) if counts else F.lit(0)
-    return score + 5.0 * found / max(1, len(terms))
+    for t, n in zip(used, counts, strict=True):
+        score = score + F.log1p(n) + F.when((F.length(text) > 200) & head.contains(t), 2.0).otherwise(0.0)
+    found = sum(((n > 0).cast("int") for n in counts), F.lit(0))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 0.0).otherwise(score + 5.0 * found / max(1, len(terms)))
 
 
 def reranked(docs: DataFrame, query: str, k: int) -> DataFrame:
-    """The k best of docs (doc_id, text) by keyword_score, ties by doc_id."""
-    low = query.lower()
-    return docs.withColumn("score", keyword_score(F.col("text"), low, low.split())).orderBy(F.desc("score"), "doc_id").limit(k)
+    """The k best of docs (doc_id, text) by keyword_score, ties by doc_id; no more than k docs keep their order by doc_id."""
+    few = docs.limit(k + 1).count() <= k
+    scored = docs.withColumn("score", keyword_score(F.col("text"), query.lower(), query_terms(query)))
+    return scored.orderBy("doc_id") if few else scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def intent_weighted(found: DataFrame, weights: dict[str, float], default: float = 1.0) -> DataFrame:

@@ -106,14 +106,14 @@ def _(d):
 
 @query(
     "K10_upserted_gaps",
-    f"""with {_G}, n as (select *, row_number() over (order by gap_type, subject_key) i from found where subject_key < 'f:15'), old as (select gap_type, subject_key, 'LOW' severity, case when length(subject_key) % 2 = 0 then 'RESOLVED' else 'OPEN' end status from found where subject_key < 'f:15' union all select 'feature_without_entry', 'gone', 'HIGH', 'OPEN')
+    f"""with {_G}, old as (select gap_type, subject_key, 'LOW' severity, case when length(subject_key) % 2 = 0 then 'RESOLVED' else 'OPEN' end status from found where length(subject_key) <> 4 union all select 'feature_without_entry', 'gone', 'HIGH', 'OPEN')
     select coalesce(f.gap_type, o.gap_type) gap_type, coalesce(f.subject_key, o.subject_key) subject_key, coalesce(f.severity, o.severity) severity, case when o.status is null or o.status = 'RESOLVED' then 'OPEN' else o.status end status,
     case when o.status is null then 'created' when f.severity is null then 'kept' when o.status = 'RESOLVED' then 'reopened' else 'refreshed' end "action" from found f full join old o on o.gap_type = f.gap_type and o.subject_key = f.subject_key""",
     "claims",
 )
 def _(d):
     found = _gaps(d)
-    old = found.where("subject_key < 'f:15'").select("gap_type", "subject_key", F.lit("LOW").alias("severity"), F.when(F.length("subject_key") % 2 == 0, "RESOLVED").otherwise("OPEN").alias("status"))
+    old = found.where("length(subject_key) <> 4").select("gap_type", "subject_key", F.lit("LOW").alias("severity"), F.when(F.length("subject_key") % 2 == 0, "RESOLVED").otherwise("OPEN").alias("status"))
     gone = d.spark.createDataFrame([("feature_without_entry", "gone", "HIGH", "OPEN")], old.schema)
     return K.upsert_gaps(old.union(gone), found)
 

@@ -81,9 +81,9 @@ def _(d):
     return D.chunk_actions(d.files_old, d.files_new, "file_hash")
 
 
-@query("S10_tombstones", "select id, cast(source_path not in (select source_path from nodes where k % 3 = 0 and k < 20) as integer) deleted from nodes", "nodes")
+@query("S10_tombstones", "select id, cast(source_path not in (select source_path from nodes where k % 3 = 0) as integer) deleted from nodes", "nodes")
 def _(d):
-    return D.tombstoned(d.nodes, d.nodes.where("k % 3 = 0 and k < 20")).select("id", "deleted")
+    return D.tombstoned(d.nodes, d.nodes.where("k % 3 = 0")).select("id", "deleted")
 
 
 @query("S11_version_clone", "select node_key from nodes where in_v1 or in_v2", "nodes")

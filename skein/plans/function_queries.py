@@ -122,9 +122,10 @@ def _(d):
     return d.pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_replace("url", "[0-9]+", "#").alias("shape"), F.col("url").rlike(r"\.html$").alias("is_html"))
 
 
-@query("X19_grouped_concat", "select node_type, string_agg(id, ';' order by id) ids from nodes where k < 40 group by node_type", "nodes")
+@query("X19_grouped_concat", "select l_orderkey, string_agg(cast(l_partkey as varchar), ';' order by l_linenumber, l_partkey) parts from lineitem group by l_orderkey")
 def _(d):
-    return d.nodes.where("k < 40").groupBy("node_type").agg(F.array_join(F.array_sort(F.collect_list("id")), ";").alias("ids"))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))  # an order's lines, a few
+    return d.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["l_partkey"].cast("string")), ";").alias("parts"))
 
 
 _COLS = "select concat(case p_size % 7 when 0 then 'user_id' when 1 then 'order_status' when 2 then 'pay_type' when 3 then 'is_deleted' when 4 then 'created_at' when 5 then 'phone_no' else 'remark' end, case when p_partkey % 9 = 0 then '_x' else '' end) c, p_partkey id from {part}"
@@ -132,14 +133,14 @@ _COLS = "select concat(case p_size % 7 when 0 then 'user_id' when 1 then 'order_
 
 @query(
     "X20_column_kinds",
-    f"""select id, case when regexp_matches(c, '(^|_)id$') then 'id' when regexp_matches(c, 'status|state') then 'status' when regexp_matches(c, '(^|_)(type|kind|category)$') then 'type' when regexp_matches(c, 'deleted|is_del') then 'deleted'
-    when regexp_matches(c, '^(created|updated|create|update)_') then 'audit' else 'plain' end kind from ({_COLS.format(part="part")}) x""",
+    f"""select id, case when regexp_matches(c, '_id$|^id$') then 'id' when regexp_matches(c, 'status|state') then 'status' when regexp_matches(c, 'type|category') then 'type' when regexp_matches(c, 'delete|del_flag|is_deleted') then 'deleted'
+    when regexp_matches(c, 'create|update|_at$|_time$') then 'audit' else 'plain' end kind from ({_COLS.format(part="part")}) x""",
 )
 def _(d):
     return d.spark.sql(_COLS, part=d.part).select("id", X.column_kind(F.col("c")).alias("kind"))
 
 
-@query("X21_sensitive_columns", f"select id from ({_COLS.format(part='part')}) x where regexp_matches(c, 'password|passwd|secret|token|phone|mobile|email|id_card|idcard|bank|address')")
+@query("X21_sensitive_columns", f"select id from ({_COLS.format(part='part')}) x where regexp_matches(c, 'password|passwd|pwd|secret|token|credential|private_key|privatekey|phone|mobile|email|mail|id_card|idcard|bank_card|bankcard|salary|wages')")
 def _(d):
     return d.spark.sql(_COLS, part=d.part).where(X.is_sensitive(F.col("c"))).select("id")
 

@@ -206,14 +206,14 @@ def _(d):
     return P.reach(d.nodes.where("id = 'svc:1'"), d.edges, 3).select("id", "level")
 
 
-@query("P4_api_call_chain", _REACH.format(seed="api:1", to="dst", on="src", depth=4, types=" and edge_type in ('HANDLED_BY', 'CALLS', 'EXECUTES', 'READS', 'WRITES', 'JOINS')"), "nodes edges")
+@query("P4_api_call_chain", _REACH.format(seed="api:1", to="dst", on="src", depth=12, types=" and edge_type in ('HANDLED_BY', 'CALLS', 'EXECUTES', 'READS', 'WRITES', 'JOINS')"), "nodes edges")
 def _(d):
-    return P.reach(d.nodes.where("id = 'api:1'"), d.edges, 4, "out", ["HANDLED_BY", "CALLS", "EXECUTES", "READS", "WRITES", "JOINS"]).select("id", "level")
+    return P.reach(d.nodes.where("id = 'api:1'"), d.edges, 12, "out", ["HANDLED_BY", "CALLS", "EXECUTES", "READS", "WRITES", "JOINS"]).select("id", "level")
 
 
-@query("P5_table_impact", _REACH.format(seed="tbl:5", to="src", on="dst", depth=4, types=""), "nodes edges")
+@query("P5_table_impact", _REACH.format(seed="tbl:5", to="src", on="dst", depth=8, types=""), "nodes edges")
 def _(d):
-    return P.reach(d.nodes.where("id = 'tbl:5'"), d.edges, 4, "in").select("id", "level")
+    return P.reach(d.nodes.where("id = 'tbl:5'"), d.edges, 8, "in").select("id", "level")
 
 
 @query("P6_implicit_associations", f"with {_CO} select a, b, statements from co", "edges")

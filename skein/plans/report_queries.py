@@ -60,12 +60,12 @@ def _(d):
     return x.join(d.nation.select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("e")), "e", "left_semi").groupBy("edge_type").agg(F.count_distinct("id").alias("n"))
 
 
-_CHAIN = _REACH.format(seed="api:1", to="dst", on="src", depth=4, types=" and edge_type in ('HANDLED_BY', 'CALLS', 'EXECUTES', 'READS', 'WRITES', 'JOINS')")
+_CHAIN = _REACH.format(seed="api:1", to="dst", on="src", depth=12, types=" and edge_type in ('HANDLED_BY', 'CALLS', 'EXECUTES', 'READS', 'WRITES', 'JOINS')")
 _FOUND = _CHAIN.replace("select id, cast(min(lvl) as integer)", ", m as (select id, min(lvl) lvl").replace('as "level" from w group by id', "from w group by id)")
 
 
 def _chain(d):
-    return P.reach(d.nodes.where("id = 'api:1'"), d.edges, 4, "out", ["HANDLED_BY", "CALLS", "EXECUTES", "READS", "WRITES", "JOINS"])
+    return P.reach(d.nodes.where("id = 'api:1'"), d.edges, 12, "out", ["HANDLED_BY", "CALLS", "EXECUTES", "READS", "WRITES", "JOINS"])
 
 
 @query("P4_chain_edges", _FOUND + " select m.id, min(e.id) via from m join edges e on e.dst = m.id and e.edge_type in ('HANDLED_BY', 'CALLS', 'EXECUTES', 'READS', 'WRITES', 'JOINS') join m p on p.id = e.src and p.lvl = m.lvl - 1 group by m.id", "nodes edges")

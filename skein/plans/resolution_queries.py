@@ -154,14 +154,14 @@ _COS = "list_cosine_similarity(cast({a} as double[]), cast({b} as double[]))"
 
 @query(
     "E14_cross_type_candidates",
-    f"""with m as (select id, node_type, k, unnest(list_distinct(string_split(evidence_ids, ','))) e from nodes where evidence_ids <> '' and node_type in ('Table', 'Service', 'Mapper')), s as (select x.id a, y.id b, min(x.k) ka, min(y.k) kb, count(*) shared from m x join m y on x.e = y.e and (x.node_type, y.node_type) in (('Service', 'Table'), ('Service', 'Mapper')) group by 1, 2 having count(*) >= 2)
-    select a, b, shared, ({_COS.format(a='v.embedding', b='w.embedding')} + 1) / 2 similarity from s join embeddings v on v.vec_id = ka join embeddings w on w.vec_id = kb where ({_COS.format(a='v.embedding', b='w.embedding')} + 1) / 2 >= 0.5""",
+    f"""with m as (select id, node_type, k, unnest(list_distinct(string_split(evidence_ids, ','))) e from nodes where evidence_ids <> '' and node_type in ('Table', 'Service', 'Mapper', 'Controller')), s as (select x.id a, y.id b, min(x.k) ka, min(y.k) kb, count(*) shared from m x join m y on x.e = y.e and (x.node_type, y.node_type) in (('Service', 'Table'), ('Service', 'Mapper'), ('Mapper', 'Table'), ('Controller', 'Service'), ('Controller', 'Mapper')) group by 1, 2 having count(*) >= 2)
+    select a, b, shared, ({_COS.format(a='v.embedding', b='w.embedding')} + 1) / 2 similarity from s join embeddings v on v.vec_id = ka join embeddings w on w.vec_id = kb where ({_COS.format(a='v.embedding', b='w.embedding')} + 1) / 2 >= 0.7""",
     "nodes",
 )
 def _(d):
-    evidence = d.nodes.where("evidence_ids <> '' and node_type in ('Table', 'Service', 'Mapper')").select("id", F.explode(F.split("evidence_ids", ",")).alias("evidence"))
+    evidence = d.nodes.where("evidence_ids <> '' and node_type in ('Table', 'Service', 'Mapper', 'Controller')").select("id", F.explode(F.split("evidence_ids", ",")).alias("evidence"))
     vectors = d.nodes.select("id", F.col("k").alias("vec_id")).join(d.embeddings.select("vec_id", "embedding"), "vec_id")
-    return E.cross_type_candidates(d.nodes, evidence, vectors, [("Service", "Table"), ("Service", "Mapper")], 2, 0.5)
+    return E.cross_type_candidates(d.nodes, evidence, vectors, [("Service", "Table"), ("Service", "Mapper"), ("Mapper", "Table"), ("Controller", "Service"), ("Controller", "Mapper")])
 
 
 @query("E15_semantic_similarity", f"select a.vec_id, ({_COS.format(a='a.embedding', b='b.embedding')} + 1) / 2 similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 7")
@@ -180,7 +180,7 @@ def _propagation(types: str, edges: str, rounds: int) -> str:
     return ", ".join(parts)
 
 
-_PKG, _CLS = _propagation("'Package'", "'DEPENDS_ON'", 10), _propagation("'Controller', 'Service', 'Mapper'", "'CALLS', 'EXTENDS', 'IMPLEMENTS'", 5)
+_PKG, _CLS = _propagation("'Package'", "'DEPENDS_ON'", 10), _propagation("'Controller', 'Service', 'Mapper'", "'CALLS', 'EXTENDS', 'IMPLEMENTS'", 10)
 
 
 @query("E16_package_communities", f"with {_PKG} select id, label from l10", "nodes edges")
@@ -189,15 +189,15 @@ def _(d):
 
 
 def _classes(d):
-    return C.label_propagation(d.nodes.where("node_type in ('Controller', 'Service', 'Mapper')").select("id"), d.edges.where("edge_type in ('CALLS', 'EXTENDS', 'IMPLEMENTS')").select("src", "dst"), 5)
+    return C.label_propagation(d.nodes.where("node_type in ('Controller', 'Service', 'Mapper')").select("id"), d.edges.where("edge_type in ('CALLS', 'EXTENDS', 'IMPLEMENTS')").select("src", "dst"))
 
 
-@query("E17_class_communities", f"with {_CLS} select id, label from l5", "nodes edges")
+@query("E17_class_communities", f"with {_CLS} select id, label from l10", "nodes edges")
 def _(d):
     return _classes(d)
 
 
-@query("E18_community_summaries", f"with {_CLS}, p as (select label, node_type, count(*) n from l5 join nodes using (id) group by 1, 2) select label, cast(sum(n) as bigint) members, string_agg(concat(node_type, ': ', cast(n as varchar)), ', ' order by n desc, node_type) summary from p group by label", "nodes edges")
+@query("E18_community_summaries", f"with {_CLS}, p as (select label, node_type, count(*) n from l10 join nodes using (id) group by 1, 2) select label, cast(sum(n) as bigint) members, string_agg(concat(node_type, ': ', cast(n as varchar)), ', ' order by n desc, node_type) summary from p group by label", "nodes edges")
 def _(d):
     return C.summaries(_classes(d), d.nodes)
 

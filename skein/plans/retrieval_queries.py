@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skein.operators import retrieval as V
+from skein.operators import trigrams as G
 from skein.operators import vector_index as I
 from skein.plans.registry import query
 
@@ -70,6 +71,11 @@ def _(d):
     return V.keyword_search(d.documents, ["the", "x", "und"], 25).select("doc_id")
 
 
+@query("V5_indexed_keyword_search", "select doc_id from documents where contains(text, 'Widerr') or contains(text, 'quar') order by doc_id limit 25")
+def _(d):
+    return G.containing(d.documents, G.build_trigrams(d.documents), ["Widerr", "quar"]).select("doc_id").orderBy("doc_id").limit(25)
+
+
 _RANKS = f"""{_Q}, a as (select vec_id, row_number() over (order by {_SIM} desc, vec_id) r from vectors, q qualify r <= 30), b as (select vec_id, row_number() over (order by vec_id desc) r from vectors where chunk_type = 'CODE' qualify r <= 15),
     x as (select 'main' source, vec_id as "key", 1.0e0 weight, r from a union all select 'variant', vec_id, 0.8e0, r from b)"""
 
@@ -91,7 +97,7 @@ def _(d):
     return V.consistency(_ranks(d))
 
 
-_TF = "ln(1 + (length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {n}) + case when contains(substring(lower(text), 1, 200), '{t}') then 2 else 0 end"
+_TF = "ln(1 + (length(lower(text)) - length(replace(lower(text), '{t}', ''))) / {n}) + case when length(text) > 200 and contains(substring(lower(text), 1, 200), '{t}') then 2 else 0 end"
 _SCORE = f"case when contains(lower(text), 'the of') then 10 else 0 end + {_TF.format(t='the', n=3)} + {_TF.format(t='of', n=2)} + 5 * (case when contains(lower(text), 'the') then 1 else 0 end + case when contains(lower(text), 'of') then 1 else 0 end) / 2.0"
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from skein.operators import scans as S
 from skein.plans.registry import query
+from skein.sources import layout as L
+from skein.storage import scratch_path
 
 _N = "id, node_type, confidence, status"
 
@@ -22,6 +24,29 @@ def _(d):
     return _n(S.scan_nodes(d.nodes, node_type="Table", node_key="Table#tbl:7"))
 
 
+def _clustered(d, rows, by, **how):
+    path = scratch_path(d.spark, "clustered")
+    L.cluster(rows, path, by, **how)
+    return path
+
+
+@query("G2_skipping_key_lookup", f"select {_N} from nodes where node_key = 'Table#tbl:7' and node_type = 'Table'", "nodes")
+def _(d):
+    path = _clustered(d, d.nodes, ["node_key"], zones=["node_type"])
+    return _n(L.pruned(d.spark, path, [("node_key", "=", "Table#tbl:7"), ("node_type", "=", "Table")]))
+
+
+@query("G6_skipping_edge_scan", "select id, src, dst, edge_type from edges where src in ('svc:1', 'svc:2', 'api:10') and k < 100000", "edges")
+def _(d):
+    path = _clustered(d, d.edges, ["src", "dst"], zones=["k"], bloom=["dst"])
+    return L.pruned(d.spark, path, [("src", "in", ["svc:1", "svc:2", "api:10"]), ("k", "<", 100000)]).select("id", "src", "dst", "edge_type")
+
+
+@query("G17_skipping_window", "select node_key from nodes where node_key > 'Method#mth:5' order by node_key limit 25", "nodes")
+def _(d):
+    return L.window(d.spark, _clustered(d, d.nodes, ["node_key"]), "node_key", "Method#mth:5", 25).select("node_key")
+
+
 @query("G3_node_by_natural_key", f"select {_N} from nodes where in_v1 and node_type = 'Service' and node_key = 'Service#svc:3' order by id limit 1", "nodes")
 def _(d):
     return _n(S.scan_nodes(d.v1_nodes, 1, node_type="Service", node_key="Service#svc:3"))

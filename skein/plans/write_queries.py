@@ -1,10 +1,14 @@
 """Queries of skein.operators.writes, of incremental scans, and of sources."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import writes as W
 from skein.plans.registry import query
+from skein.sources import requirements as Q
+from skein.sources.buckets import BucketTable
 from skein.storage import scratch_path
+from skein.streaming.traces import appended
 
 _STORED = "select id, node_type, confidence, status from nodes where in_v1"
 _NEW = "select id, node_type, case when k % 3 = 0 then null else 0.5e0 end confidence, 'PENDING' status from nodes where in_v2 and k % 2 = 0"
@@ -28,6 +32,29 @@ def _(d):
     return W.upsert(_stored(d), _new(d), ["id"], partial=True)
 
 
+def _merged(stored, new, key, **how):
+    table = BucketTable.create(stored, scratch_path(stored.sparkSession, "buckets"), key, 32)
+    table.merge(new, **how)
+    return table.read()
+
+
+@query("W1_delta_replaced_nodes", f"with s as ({_STORED}), n as ({_NEW}) select * from n union all select s.* from s anti join n using (id)", "nodes")
+def _(d):
+    return _merged(_stored(d), _new(d), ["id"])
+
+
+@query("W1_delta_patched_nodes", f"with s as ({_STORED}), n as ({_NEW}) select coalesce(n.id, s.id) id, coalesce(n.node_type, s.node_type) node_type, coalesce(n.confidence, s.confidence) confidence, coalesce(n.status, s.status) status from s full join n on n.id = s.id", "nodes")
+def _(d):
+    return _merged(_stored(d), _new(d), ["id"], partial=True)
+
+
+@query("W4_delta_deleted_nodes", f"with s as ({_STORED}) select * from s where id not in (select id from nodes where k % 10 = 0)", "nodes")
+def _(d):
+    table = BucketTable.create(_stored(d), scratch_path(d.spark, "buckets"), ["id"], 32)
+    table.delete(d.nodes.where("k % 10 = 0").select("id"))
+    return table.read()
+
+
 @query("W2_merged_edges", "with s as (select src, dst, edge_type, min(confidence) confidence from edges where in_v1 group by 1, 2, 3), n as (select src, dst, edge_type, max(k) k from edges where in_v2 and k % 3 = 0 group by 1, 2, 3) select coalesce(n.src, s.src) src, coalesce(n.dst, s.dst) dst, coalesce(n.edge_type, s.edge_type) edge_type, case when n.src is not null then n.k / 1e3 else confidence end confidence from s full join n on n.src = s.src and n.dst = s.dst and n.edge_type = s.edge_type", "edges")
 def _(d):
     stored = d.v1_edges.groupBy("src", "dst", "edge_type").agg(F.min("confidence").alias("confidence"))
@@ -35,6 +62,13 @@ def _(d):
     return W.upsert(stored, new, ["src", "dst", "edge_type"], order="k")
 
 
+@query("W2_delta_edges", "with s as (select src, dst, edge_type, min(confidence) confidence from edges where in_v1 group by 1, 2, 3), n as (select src, dst, edge_type, max(k) k from edges where in_v2 and k % 3 = 0 group by 1, 2, 3) select coalesce(n.src, s.src) src, coalesce(n.dst, s.dst) dst, coalesce(n.edge_type, s.edge_type) edge_type, case when n.src is not null then n.k / 1e3 else confidence end confidence from s full join n on n.src = s.src and n.dst = s.dst and n.edge_type = s.edge_type", "edges")
+def _(d):
+    stored = d.v1_edges.groupBy("src", "dst", "edge_type").agg(F.min("confidence").alias("confidence"))
+    new = d.edges.where("in_v2 and k % 3 = 0").select("src", "dst", "edge_type", (F.col("k") / 1e3).alias("confidence"), "k")
+    return _merged(stored, new, ["src", "dst", "edge_type"], order="k")
+
+
 @query("W3_set_properties", "select id, case when node_type = 'Service' then 'AFFECTED' else status end status, case when node_type = 'Service' then 1.0 else verified_score end verified_score from nodes", "nodes")
 def _(d):
     rows = d.nodes.select("id", "status", "verified_score")
@@ -61,6 +95,12 @@ def _(d):
     return W.upsert(rows.limit(0), ordered, ["fact_key"], order="at")
 
 
+@query("W5_delta_facts", "with a as (select l_orderkey, l_partkey, max(l_linenumber) n from lineitem group by 1, 2), f as (select l_orderkey fact_key, l_partkey part, n, row_number() over (partition by l_orderkey order by n desc, l_partkey desc) r from a) select fact_key, part, cast(n as bigint) n from f where r = 1")
+def _(d):
+    rows = d.lineitem.select(F.col("l_orderkey").alias("fact_key"), F.col("l_partkey").alias("part"), F.col("l_linenumber").cast("long").alias("n"))
+    return _merged(rows.limit(0), rows.withColumn("at", F.struct("n", "part")), ["fact_key"], order="at")
+
+
 @query("W6_incomplete_writes", "select 'node' kind, id, 'no_evidence' problem from nodes where evidence_ids = '' union all select 'edge', id, 'no_evidence' from edges where evidence_ids = '' union all select distinct 'edge', e.id, 'no_end' from edges e left join nodes a on a.id = e.src left join nodes b on b.id = e.dst where a.id is null or b.id is null", "nodes edges")
 def _(d):
     evidence = lambda t: t.where("evidence_ids <> ''").select("id", F.explode(F.split("evidence_ids", ",")).alias("evidence"))
@@ -224,6 +264,33 @@ def _(d):
     return d.spark.createDataFrame([("missing", f) for f in missing] + [("unknown", f) for f in unknown], "problem string, field string")
 
 
+def _feed(d):
+    """What users said, as a folder of JSON lines in shards that a connector reads."""
+    path = scratch_path(d.spark, "requirements")
+    said = d.conversations.where("role = 'user' and conv_id is not null and turn is not null")
+    seq = F.row_number().over(Window.partitionBy("shard").orderBy("conv_id", "turn")) * 8 + F.col("shard") + 1
+    rows = said.withColumn("shard", F.pmod("conv_id", F.lit(8))).select(
+        "shard", seq.alias("seq"), F.concat_ws(".", "conv_id", "turn").alias("item_id"), F.concat(F.lit("p"), "shard").alias("project_id"), F.substring("text", 1, 20).alias("title"), F.col("text").alias("body"), F.lit("OPEN").alias("status"),
+    )
+    rows.repartition(8, "shard").write.partitionBy("shard").json(path)
+    Q.register(d.spark)
+    return path
+
+
+_ITEMS = "select concat_ws('.', conv_id, turn) item_id, concat('p', conv_id % 8) project_id, substring(text, 1, 20) title, status from (select *, 'OPEN' status from conversations where role = 'user') x"
+
+
+@query("L8_sourced_requirements", _ITEMS)
+def _(d):
+    return d.spark.read.format("requirements").option("path", _feed(d)).load().select("item_id", "project_id", "title", "status")
+
+
+@query("L8_streamed_requirements", _ITEMS)
+def _(d):
+    stream = d.spark.readStream.format("requirements").option("path", _feed(d)).load()
+    return appended(stream.select("item_id", "project_id", "title", "status"), "requirements").rows
+
+
 @query("L8_pulled_requirements", "select doc_id requirement_id, split_part(trim(text), '.', 1) title from documents where source in ('src1', 'src2') and text is not null")
 def _(d):
     return d.documents.where("source in ('src1', 'src2') and text is not null").select(F.col("doc_id").alias("requirement_id"), F.split_part(F.trim("text"), F.lit("."), F.lit(1)).alias("title"))

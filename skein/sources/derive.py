@@ -51,7 +51,7 @@ union all select concat('map:', cast(o_custkey as string)), concat('sql:', cast(
 union all select distinct concat('sql:', cast(l_orderkey as string)), concat('tbl:', cast(l_partkey as string)), case l_returnflag when 'N' then 'READS' when 'R' then 'WRITES' else 'JOINS' end, cast(l_orderkey * 31 + l_partkey as bigint) from {lineitem} where l_linenumber <= 2 and l_orderkey % 10 <> 9
 union all select concat('tbl:', cast(p_partkey as string)), concat('col:', cast(p_partkey as string), '.', cast(i as string)), 'HAS_COLUMN', cast(p_partkey * 31 + i as bigint) from {part} cross join (values (1), (2), (3)) v(i) where p_partkey % 7 <> 0 and i <= 1 + p_size % 3
 union all select concat('tbl:', cast(a.p_partkey as string)), concat('tbl:', cast(b.p_partkey as string)), 'REFERENCES', cast(a.p_partkey * 33 as bigint) from {part} a join {part} b on b.p_partkey = 2 * a.p_partkey where a.p_partkey % 5 = 0
-union all select concat('pkg:', a) src, concat('pkg:', b), 'DEPENDS_ON', k from (select a.p_brand a, b.p_brand b, min(cast(a.p_partkey * 31 + b.p_partkey as bigint)) k from {part} a join {part} b on b.p_partkey = a.p_partkey + 1 where a.p_partkey % 13 = 0 and a.p_partkey < 400 and a.p_brand <> b.p_brand group by a.p_brand, b.p_brand) x
+union all select concat('pkg:', a) src, concat('pkg:', b), 'DEPENDS_ON', k from (select a.p_brand a, b.p_brand b, min(cast(a.p_partkey * 31 + b.p_partkey as bigint)) k from {part} a join {part} b on b.p_partkey = a.p_partkey + 1 where a.p_partkey % 13 = 0 and a.p_brand <> b.p_brand group by a.p_brand, b.p_brand) x
 """
 
 SQL = {

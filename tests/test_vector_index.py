@@ -27,28 +27,33 @@ def scan(df, x, q, k, where="true"):
     return sorted(((i, sim(v)) for i, v in enumerate(x) if i in keep), key=lambda r: (-r[1], r[0]))[:k]
 
 
-def files(df):
-    return set(df.inputFiles())
-
-
 def test_every_row_with_a_direction_is_indexed(spark, clustered):
     df, x, index = clustered
     assert spark.read.parquet(index.path).count() == len(x) == index.rows.sum()
 
 
-def test_exact_search_equals_the_scan_and_leaves_cells_unread(spark, clustered):
+def test_exact_search_equals_the_scan_and_leaves_cells_unread(spark, clustered, monkeypatch):
     df, x, index = clustered
-    every = len(files(spark.read.parquet(index.path)))
+    read, of = [], I.cells_of
+    monkeypatch.setattr(I, "cells_of", lambda spark, index, cells: read.append(len(cells)) or of(spark, index, cells))
     for q in [*x[:5], RNG.standard_normal(24)]:
         got = I.indexed_nearest(spark, index, list(q), 10)
         want = scan(df, x, q, 10)
         rows = got.collect()
         assert [r.vec_id for r in rows] == [i for i, _ in want] and np.allclose([r.similarity for r in rows], [s for _, s in want])
         if any(q is v for v in x[:5]):
-            assert len(files(got)) < every / 2
+            assert max(read) < (index.rows > 0).sum() / 2
+        read.clear()
     assert [r.vec_id for r in I.indexed_nearest(spark, index, list(x[7]), 10, where=F.col("chunk_type") == "CODE").collect()] == [i for i, _ in scan(df, x, x[7], 10, "chunk_type = 'CODE'")]
 
 
+def test_other_cells_files_are_not_read(spark, clustered):
+    _, _, index = clustered
+    rows = I.cells_of(spark, index, [3, 5])
+    assert {f.split("cell=")[1].split("/")[0] for (f,) in rows.select(F.input_file_name()).distinct().collect()} == {"3", "5"}
+    assert "PartitionFilters: [cell#" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_threshold_reads_only_cells_within_reach(spark, clustered):
     df, x, index = clustered
     got = I.indexed_nearest(spark, index, list(x[3]), 1, least=0.95)
