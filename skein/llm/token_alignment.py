@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.words import slices
@@ -21,11 +22,14 @@ from skein.storage import materialize
 #: Bytes of text in a slice, about; a longer text is a slice of its own.
 SLICE_BYTES = 16 << 20
 
+#: Commonest chunks of all texts that are encoded and aligned once and broadcast (some 100 bytes each), and how many a task proposes.
+FREQUENT, TASK_CHUNKS = 150_000, 60_000
+
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
-_SLICES = "chunks array<binary>, times array<int>, docs array<struct<doc_id: long, codes: array<int>>>"
-_TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+_TOKENS = "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
+_SLICES = f"{_TOKENS}, chunk_ends array<long>, chunk_n array<int>, hot array<int>, hot_n array<int>, docs array<struct<doc_id: long, n_a: long, n_b: long, codes: array<int>>>"
 
 #: Bytes before which texts are cut, and those after which they are not.
 _CUT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -99,30 +103,27 @@ class Pieces:
         return [ids[n:] if ids[:n] == self._before else [] for ids in self._model.encode(["x" + c for c in chunks], num_threads=1)]
 
 
-def _lists(rows: list[list[int]], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids as lists, and lists of the byte offsets where they end."""
-    count = np.fromiter(map(len, rows), np.int64, len(rows))
-    ids = np.fromiter(chain.from_iterable(rows), np.int32, int(count.sum()))
-    offsets, total = np.append(0, np.cumsum(count)), np.append(0, np.cumsum(sizes[ids]))
-    at = pa.array(offsets, pa.int32())
-    ends = total[1:] - np.repeat(total[offsets[:-1]], count)
-    return pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))
-
-
 class Encoders:
     """Both tokenizers over chunks."""
 
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = ByteLevel(a), Pieces(b)
-        self._sizes = [np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b)]
-
-    def lists(self, chunks: list[bytes], whole: bool) -> list[pa.Array]:
-        """Lists of A's ids, their ends, B's ids and their ends; null where the bytes of either differ from the chunk's. whole: chunks are whole texts."""
-        texts = [c.decode() for c in chunks]
-        made = self.a.encode(texts), (self.b.encode if whole else self.b.encode_chunks)(texts)
-        joined = ([b"".join([t.bytes_of[i] for i in ids]) for ids in rows] for t, rows in zip((self.a, self.b), made, strict=True))
-        bad = pa.array([x != c or y != c for c, x, y in zip(chunks, *joined, strict=True)])
-        return [pc.if_else(bad, pa.scalar(None, x.type), x) for rows, sizes in zip(made, self._sizes, strict=True) for x in _lists(rows, sizes)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b))
+
+    def encoded(self, chunks: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+        """(A's ids, B's ids) of each chunk; None where the bytes of either differ from the chunk's. A zero byte marks a whole text."""
+        made: list[tuple[list[int], list[int]] | None] = [None] * len(chunks)
+        whole = [c.startswith(b"\0") for c in chunks]
+        for kind in (False, True):
+            at = [k for k, w in enumerate(whole) if w is kind]
+            for i in range(0, len(at), 4096):
+                some = at[i : i + 4096]
+                held = [chunks[k][kind:] for k in some]
+                texts = [c.decode() for c in held]
+                for k, c, a, b in zip(some, held, self.a.encode(texts), (self.b.encode if kind else self.b.encode_chunks)(texts), strict=True):
+                    if b"".join([self.a.bytes_of[t] for t in a]) == c and b"".join([self.b.bytes_of[t] for t in b]) == c:
+                        made[k] = a, b
+        return made
 
 
 #: What a worker process keeps from task to task.
@@ -137,16 +138,14 @@ def _of_worker(a: bytes, b: bytes) -> Encoders:
     return _kept[key]
 
 
-def _slice(ids: pa.Array, texts: pa.Array, cuts: bool) -> pa.RecordBatch:
-    """One row: the distinct chunks of the texts, each text behind a space, and each text as chunk numbers."""
+def _chunks(texts: pa.Array, cuts: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct chunks, number of each chunk in order, chunks by text) of texts that are neither null nor empty, each behind a space."""
     n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not n:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.asarray(pc.binary_length(texts)).astype(np.int64)
-    some = size > 0
-    ids, texts = pa.concat_arrays([ids.filter(pa.array(some)), ids.filter(pa.array(~some))]), texts.filter(pa.array(some))
-    size, n = size[some], int(some.sum())
     joined = pc.binary_join_element_wise(*(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
-    data = np.frombuffer(joined.buffers()[2], np.uint8)[: int(size.sum()) + n] if n else np.zeros(0, np.uint8)
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[: int(size.sum()) + n]
     begin = np.cumsum(size + 1) - size - 1  # of each text, with the space before it
     cut = cuttable(data)
     odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if cuts else np.ones(n, bool)
@@ -156,55 +155,135 @@ def _slice(ids: pa.Array, texts: pa.Array, cuts: bool) -> pa.RecordBatch:
     starts = np.flatnonzero(cut)
     bounds = np.append(starts, len(data))
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-    codes = np.asarray(coded.indices)
+    codes, chunks = np.asarray(coded.indices), coded.dictionary.to_pylist()
     count = np.diff(np.append(np.searchsorted(starts, begin), len(starts)))
-    chunks = coded.dictionary.to_pylist()
     for k in set(codes[np.repeat(odd, count)].tolist()):
         chunks[k] = b"\0" + chunks[k]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(np.append(0, np.cumsum(count)), np.full(int((~some).sum()), len(codes))), pa.int32()), pa.array(codes, pa.int32()))
-    docs = pa.StructArray.from_arrays([ids, lists], ["doc_id", "codes"])
-    columns = (pa.array(chunks, pa.binary()), pa.array(np.bincount(codes, minlength=len(chunks)), pa.int32()), docs)
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], ["chunks", "times", "docs"])
+    return chunks, codes, count
 
 
-def sliced(docs: DataFrame, cuts: bool = True) -> DataFrame:
-    """Slices of the documents, a row each: their distinct chunks with how often they occur, and every document as chunk numbers.
+def _full(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of slices of a batch."""
+    held = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+    for part in slices(batch, "text", held // -(-held // SLICE_BYTES) + 1 if held else SLICE_BYTES):
+        yield part.column("doc_id"), pc.fill_null(part.column("text").cast(pa.large_string()), "")
 
-    Texts, each behind a space, are cut before white space that follows something else. Texts with unusual white space, and
-    all if not `cuts`, are one chunk each, marked by a zero byte before it (others begin with white space). Null and empty texts
-    have no chunk.
+
+def frequent_chunks(docs: DataFrame, cuts: bool, frequent: int = FREQUENT) -> list[bytes]:
+    """The commonest chunks of all texts, near enough: each task counts all its own and sends TASK_CHUNKS of them.
+
+    Which chunks these are changes speed, never results. The driver holds `frequent` of them.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
         for batch in batches:
-            held = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-            for part in slices(batch, "text", held // -(-held // SLICE_BYTES) + 1 if held else SLICE_BYTES):
-                yield _slice(part.column("doc_id"), part.column("text"), cuts)
+            for _, texts in _full(batch):
+                chunks, codes, _ = _chunks(texts.filter(pc.greater(pc.binary_length(texts), 0)), cuts)
+                n = np.bincount(codes, minlength=len(chunks))
+                for k in np.flatnonzero(n > 1).tolist():
+                    if len(chunks[k]) <= 64:
+                        total[chunks[k]] += int(n[k])
+                if len(total) > 8 * TASK_CHUNKS:
+                    total = Counter(dict(total.most_common(4 * TASK_CHUNKS)))
+        best = total.most_common(TASK_CHUNKS)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in best], pa.binary()), "n": pa.array([n for _, n in best], pa.int64())})
+
+    sums = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(counted, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return [bytes(r["chunk"]) for r in sums.orderBy(F.desc("n"), "chunk").limit(frequent).collect()]
+
+
+def _flat(made: list[tuple[list[int], list[int]]], side: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids of one side, the byte offsets where they end, ids by chunk)."""
+    count = np.fromiter((len(m[side]) for m in made), np.int64, len(made))
+    ids = np.fromiter(chain.from_iterable(m[side] for m in made), np.int32, int(count.sum()))
+    return ids, np.cumsum(sizes[ids]), count
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SLICES)
 
+def _row(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()], list(columns))
 
-def tokenised(chunks: DataFrame, a: bytes, b: bytes) -> DataFrame:
-    """chunks (chunk, times) with a_ids, a_ends, b_ids, b_ends: all null where either tokenizer's bytes differ from the chunk's."""
-    shared = chunks.sparkSession.sparkContext.broadcast((a, b))  # two vocabulary files
+
+def _slice(ids: pa.Array, texts: pa.Array, cuts: bool, hot: dict[bytes, int], hot_sizes: np.ndarray, encoders: Encoders) -> pa.RecordBatch:
+    """One row: tokens of the distinct chunks that are not hot, as if they were one text, and each text as chunk numbers.
+
+    hot: numbers of the hot chunks; others are numbered on from there. hot_sizes: (A's ids, B's ids) of each, -1 for those
+    without tokens. A text with a chunk without tokens has none.
+    """
+    some = np.asarray(pc.greater(pc.binary_length(texts), 0))
+    docs = pa.concat_arrays([ids.filter(pa.array(some)), ids.filter(pa.array(~some))])
+    chunks, codes, count = _chunks(texts.filter(pa.array(some)), cuts)
+    number = np.fromiter((hot.get(c, -1) for c in chunks), np.int64, len(chunks))
+    local = np.flatnonzero(number < 0)
+    made = dict(zip(local.tolist(), encoders.encoded([chunks[k] for k in local.tolist()]), strict=True))
+    sizes = np.zeros((len(chunks), 2), np.int64)
+    sizes[number >= 0] = hot_sizes[number[number >= 0]]
+    sizes[local] = [(-1, -1) if made[k] is None else (len(made[k][0]), len(made[k][1])) for k in local.tolist()] if len(local) else 0
+    of = np.repeat(np.arange(len(count)), count)
+    lost = np.bincount(of[sizes[codes, 0] < 0], minlength=len(count)) > 0
+    codes, of, count = codes[~lost[of]], of[~lost[of]], np.where(lost, 0, count)
+    used = np.bincount(codes, minlength=len(chunks))
+    local = local[used[local] > 0]
+    number[local] = len(hot) + np.arange(len(local))
+    tokens = [made[k] for k in local.tolist()]
+    (a, a_ends, n_a), (b, b_ends, _) = _flat(tokens, 0, encoders.a_sizes), _flat(tokens, 1, encoders.b_sizes)
+    met = np.flatnonzero((used > 0) & (number >= 0) & (number < len(hot)))
+    none = np.zeros(int((~some).sum()), np.int64)
+    sums = [np.concatenate([np.bincount(of, weights=sizes[codes, i], minlength=len(count)).astype(np.int64), none]) for i in (0, 1)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate([count, none]))), pa.int32()), pa.array(number[codes], pa.int32()))
+    return _row({
+        "a_ids": pa.array(a), "a_ends": pa.array(a_ends), "b_ids": pa.array(b), "b_ends": pa.array(b_ends), "chunk_ends": pa.array(a_ends[np.cumsum(n_a) - 1] if len(n_a) else a_ends),
+        "chunk_n": pa.array(used[local], pa.int32()), "hot": pa.array(number[met], pa.int32()), "hot_n": pa.array(used[met], pa.int32()),
+        "docs": pa.StructArray.from_arrays([docs, pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "n_a", "n_b", "codes"]),
+    })
+
+
+def hot_tokens(spark: SparkSession, chunks: list[bytes], a: bytes, b: bytes) -> DataFrame:
+    """(code, a_ids, a_ends, b_ids, b_ends) of chunks by their place, encoded in tasks; no tokens where the bytes of either differ."""
+    shared = spark.sparkContext.broadcast((a, b))  # two vocabulary files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = _of_worker(*shared.value)
         for batch in batches:
-            for part in slices(batch, "chunk", 1 << 20):
-                held = part.column("chunk").to_pylist()
-                for whole in (False, True):
-                    some = part.filter(pa.array([c.startswith(b"\0") is whole for c in held], pa.bool_()))
-                    if some.num_rows:
-                        lists = encoders.lists([c[whole:] for c in some.column("chunk").to_pylist()], whole)
-                        yield pa.RecordBatch.from_arrays([*some.columns, *lists], [*some.schema.names, *(x.split()[0] for x in _TOKENS.split(", "))])
+            made = [m or ([], []) for m in encoders.encoded(batch.column("chunk").to_pylist())]
+            out = [batch.column("code")]
+            for side, sizes in ((0, encoders.a_sizes), (1, encoders.b_sizes)):
+                ids, ends, n = _flat(made, side, sizes)
+                at = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                total = np.append(0, ends)[np.append(0, np.cumsum(n))[:-1]]
+                out += [pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(ends - np.repeat(total, n)))]
+            yield pa.RecordBatch.from_arrays(out, ["code", *(x.split()[0] for x in _TOKENS.split(", "))])
 
-    return chunks.select("chunk", "times").mapInArrow(run, f"chunk binary, times long, {_TOKENS}")
+    table = spark.createDataFrame(list(enumerate(chunks)), "code int, chunk binary")
+    return table.repartition(max(1, min(32, len(chunks) // 4096))).mapInArrow(run, f"code int, {_TOKENS}")
 
 
-def _marked(cuts: Column, ends: Column) -> Column:
-    """ends in order, doubled, with one added to those that are cuts."""
-    return F.sort_array(F.concat(F.transform(cuts, lambda e: e * 2 + 1), F.transform(F.array_except(ends, cuts), lambda e: e * 2)))
+def sliced(docs: DataFrame, a: bytes, b: bytes, cuts: bool, chunks: list[bytes], sizes: np.ndarray) -> DataFrame:
+    """Slices of the documents, a row each: their chunks that are not hot with tokens and counts, hot ones with counts, documents as chunk numbers.
+
+    Texts, each behind a space, are cut before white space that follows something else. Texts with unusual white space, and
+    all if not `cuts`, are one chunk each. Null and empty texts have no chunk. chunks, sizes: see `_slice`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((a, b, {c: i for i, c in enumerate(chunks)}, sizes))  # two files and FREQUENT chunks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, hot, hot_sizes = shared.value
+        encoders = _of_worker(one, two)
+        for batch in batches:
+            for ids, texts in _full(batch):
+                yield _slice(ids, texts, cuts, hot, hot_sizes, encoders)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SLICES)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a name in a projection could be put back into every step of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _marked(some: Column, ends: Column) -> Column:
+    """ends in order, doubled, with one added to those that are among `some`."""
+    return F.sort_array(F.concat(F.transform(some, lambda e: e * 2 + 1), F.transform(F.array_except(ends, some), lambda e: e * 2)))
 
 
 def _side(ids: Column, marks: Column) -> Column:
@@ -213,86 +292,100 @@ def _side(ids: Column, marks: Column) -> Column:
     return F.split(F.array_join(said, ""), ";")
 
 
+def _by_chunk(links: Column, groups: Column, at: Column) -> Column:
+    """For each chunk its links and its groups as text; at: the number of its last group, from 1."""
+    numbers = F.when(F.size(at) > 0, F.sequence(F.lit(1), F.size(at))).otherwise(F.array().cast("array<int>"))
+    start = lambda k: F.when(k > 1, F.get(at, k - 2) + 1).otherwise(1)
+    of = lambda rows, k: F.slice(rows, start(k), F.get(at, k - 1) - start(k) + 1)
+    return F.transform(numbers, lambda k: F.struct(of(links, k).alias("links"), F.array_join(of(groups, k), ";").alias("groups")))
+
+
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens (see `tokenised`): chunk, times, n_a, n_b, groups (`a1,a2|b1;a3|b2,b3`), links (array of A's id * 2^32 + B's id).
+    """tokens (a_ids, a_ends, b_ids, b_ends, chunk_ends and others) with `chunks`: links (array of A's id * 2^32 + B's id) and groups (`a1,a2|b1;a3|b2,b3`).
 
     A group ends where tokens of both sides end. Tokens are never empty, so the last of each side in a group are the only
     pair that ends together, and each group holds one link. Chunk ends are ends of both, so no group leaves its chunk. All
-    steps but sorts of nearly sorted arrays take time in proportion to the chunk. All null where the tokens are.
+    steps but sorts of nearly sorted arrays take time in proportion to the row.
     """
+    others = [c for c in tokens.columns if c not in ("a_ids", "a_ends", "b_ids", "b_ends", "chunk_ends")]
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    cut = cut.withColumn("am", _marked(F.col("cuts"), F.col("a_ends"))).withColumn("bm", _marked(F.col("cuts"), F.col("b_ends")))
+    cut = cut.select(*others, "a_ids", "b_ids", _marked(F.col("cuts"), F.col("a_ends")).alias("am"), _marked(F.col("cuts"), F.col("b_ends")).alias("bm"), _marked(F.col("chunk_ends"), F.col("cuts")).alias("e"))
     last = lambda ids, marks: F.filter(ids, lambda _, i: F.get(marks, i) % 2 == 1)
-    links = F.zip_with(last("a_ids", F.col("am")), last("b_ids", F.col("bm")), lambda a, b: a.cast("long") * (1 << 32) + b)
-    groups = F.zip_with(_side(F.col("a_ids"), F.col("am")), _side(F.col("b_ids"), F.col("bm")), lambda a, b: F.concat(a, F.lit("|"), b))
-    some = F.col("a_ids").isNotNull()
-    return cut.select(
-        "chunk", "times", F.when(some, F.size("a_ids")).alias("n_a"), F.when(some, F.size("b_ids")).alias("n_b"),
-        F.array_join(F.slice(groups, F.lit(1), F.size("cuts")), ";").alias("groups"), links.alias("links"),
-    )
+    groups = _let(
+        F.struct("a_ids", "b_ids", "am", "bm", "e"),
+        lambda x: F.struct(
+            F.zip_with(last(x.a_ids, x.am), last(x.b_ids, x.bm), lambda a, b: a.cast("long") * (1 << 32) + b).alias("links"),
+            F.zip_with(_side(x.a_ids, x.am), _side(x.b_ids, x.bm), lambda a, b: F.concat(a, F.lit("|"), b)).alias("groups"),
+            F.filter(F.transform(x.e, lambda m, i: F.when(m % 2 == 1, i + 1)), lambda i: i.isNotNull()).alias("at"),
+        ),
+    )
+    return cut.select(*others, _let(groups, lambda x: _by_chunk(x.links, x.groups, x.at)).alias("chunks"))
 
 
-def chunk_scores(chunks: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """chunks (id, links, times), written out: id, n_best, count_sum, for chunks that have links.
+def link_scores(each: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+    """each (slice, code, times, link): slice, code, n_best, count_sum, for chunks that have links.
 
     A pair's count is how many links of all documents are that pair: chunks' links times their occurrences, added in tasks
     before they are shuffled. n_best are the links whose count is the highest of their B id, ties included; count_sum adds the
     counts up. Pairs grow with the vocabularies, not with the documents. Up to broadcast_pairs of them are broadcast, more meet
     the links in a shuffled join.
     """
-    each = chunks.select("id", "times", F.explode("links").alias("link"))
     counts, _ = materialize(each.groupBy("link").agg(F.sum("times").alias("n")), "pairs")
     b = F.col("link") % (1 << 32)
     pairs = counts.withColumn("b", b).join(counts.groupBy(b.alias("b")).agg(F.max("n").alias("most")), "b").select("link", "n", (F.col("n") == F.col("most")).cast("int").alias("best"))
     pairs = F.broadcast(pairs) if counts.count() <= broadcast_pairs else pairs.hint("merge")
-    return each.join(pairs, "link").groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-
-
-def _without_lost(each: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
-    """chunks with `times` less what stands in documents that have a chunk without tokens: those documents have no tokens at all."""
-    bad = each.join(chunks.where("n_a is null").select("chunk"), "chunk", "left_semi").groupBy("slice").agg(F.collect_set("code").alias("bad"))
-    lost = rows.select("slice", F.explode("docs").alias("d")).join(bad, "slice").where(F.arrays_overlap("d.codes", "bad"))
-    less = lost.select("slice", F.explode("d.codes").alias("code")).groupBy("slice", "code").agg(F.count("*").alias("n"))
-    less = less.join(each, ["slice", "code"]).groupBy("chunk").agg(F.sum("n").alias("less"))
-    return chunks.join(less, "chunk", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).drop("less")
+    return each.join(pairs, "link").groupBy("slice", "code").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
-def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+def align_tokenizers(docs: DataFrame, a_file: str, b_file: str, frequent: int = FREQUENT) -> DataFrame:
     """How two tokenizers' tokens of every whole text lie against each other.
 
     docs: doc_id, text; other columns are ignored, whatever their names. a_file: byte-level BPE of `tokenizers`, given a
     space and the text; b_file: a `sentencepiece` model that adds the space itself. A null or empty text has no tokens, nor
     has one whose tokens' bytes differ from space and text (as where a model normalises). Repeated rows count each.
 
-    Neither tokenizer joins across the places where texts are cut into chunks (checked on the files; else texts stay whole),
-    so each distinct chunk of the corpus is encoded and aligned once. Slices of documents hold their distinct chunks once: a
-    chunk that is everywhere is one row a slice when chunks are shuffled to be distinct, and when they meet their results,
-    where AQE splits what is left of a hot one. Chunks' results then gather by slice, bounded by its bytes.
+    Neither tokenizer joins across the places where texts are cut into chunks (checked on the files; else texts stay whole).
+    The `frequent` commonest chunks are encoded and aligned once and broadcast; a slice of documents encodes and aligns each of
+    its other distinct chunks once. No chunk is shuffled, only counts of id pairs and scores of a slice's own chunks.
 
-    Returns a row for each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (see `chunk_scores`), groups_sha256
+    Returns a row for each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (see `link_scores`), groups_sha256
     of groups `a1,a2|b1` joined by ';' ('' without tokens). A null doc_id stays null.
     """
+    spark = docs.sparkSession
     a, b = Path(a_file).read_bytes(), Path(b_file).read_bytes()
-    rows, _ = materialize(sliced(docs, ByteLevel(a).cuts and Pieces(b).cuts).withColumn("slice", F.monotonically_increasing_id()), "slices")
-    each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.times")
-    chunks, _ = materialize(aligned(tokenised(each.groupBy("chunk").agg(F.sum("times").alias("times")), a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
-    counted = _without_lost(each, chunks, rows) if chunks.where("n_a is null").limit(1).count() else chunks
-    scores = chunk_scores(counted.select("id", "links", "times"))
-    results = chunks.select("id", "chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(scores, "id", "left").drop("id")
-    found = each.select("slice", "code", "chunk").join(results.hint("shuffle_hash"), "chunk").drop("chunk")
-    by_code = F.sort_array(F.collect_list(F.struct("code", *(F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups", "n_best")), "count_sum", "groups")))
-    both = rows.select("slice", "docs").join(found.groupBy("slice").agg(by_code.alias("x")), "slice", "left")
-
-    def doc(d: Column, x: Column) -> Column:
-        total = lambda name: F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + F.get(x, c)[name])
-        said = F.sha2(F.array_join(F.transform(d.codes, lambda c: F.get(x, c).groups), ";").cast("binary"), 256)
-        return F.struct(d.doc_id.alias("doc_id"), F.size(d.codes).alias("n"), *(total(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")), said.alias("groups_sha256"))
-
-    # The array holds one struct, so its lambda binds both columns once: a projection's names could be put back into every step.
-    made = both.select(F.explode(F.flatten(F.transform(F.array(F.struct("docs", "x")), lambda s: F.transform(s.docs, lambda d: doc(d, s.x))))).alias("d")).select("d.*")
-    some = F.coalesce(F.col("n") > 0, F.lit(False)) & F.col("n_a").isNotNull()  # a chunk without tokens makes the sums null
-    number = lambda c, name: F.when(some, F.col(c)).otherwise(0).cast("long").alias(name)
-    return made.select(
-        "doc_id", number("n_a", "n_a"), number("n_b", "n_b"), number("n_groups", "n_groups"), number("n_groups", "n_links"), number("n_best", "n_best"), number("count_sum", "count_sum"),
-        F.when(some, F.col("groups_sha256")).otherwise("").alias("groups_sha256"),
-    )
+    cuts = ByteLevel(a).cuts and Pieces(b).cuts
+    chunks = frequent_chunks(docs, cuts, frequent)
+    tokens = hot_tokens(spark, chunks, a, b).withColumn("chunk_ends", F.when(F.size("a_ends") > 0, F.slice("a_ends", -1, 1)).otherwise(F.array().cast("array<long>")))
+    one = F.get("chunks", F.lit(0))
+    hot, _ = materialize(aligned(tokens.withColumns({"n_a": F.size("a_ids"), "n_b": F.size("b_ids")})).select("code", "n_a", "n_b", one["links"].alias("links"), one["groups"].alias("groups")), "hot")
+    sizes = np.full((len(chunks), 2), -1, np.int64)
+    for r in hot.where("n_a > 0").select("code", "n_a", "n_b").collect():  # `frequent` rows of three numbers
+        sizes[r["code"]] = r["n_a"], r["n_b"]
+    h = len(chunks)
+    said = hot.select(F.sort_array(F.collect_list(F.struct("code", F.size("links").alias("n"), "groups"))).alias("hot_said"))  # one row of `frequent` texts
+
+    def doc(d: Column, x: Column, hot_said: Column) -> Column:
+        of = lambda c, name, own: F.when(c < h, F.get(hot_said, c)[name]).otherwise(own(F.get(x, c - h)))
+        n = F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + of(c, "n", lambda y: F.size(y.links)))
+        text = F.array_join(F.transform(d.codes, lambda c: of(c, "groups", lambda y: y.groups)), ";")
+        digest = F.when(F.size(d.codes) > 0, F.sha2(text.cast("binary"), 256)).otherwise("")
+        return F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), n.alias("n_groups"), digest.alias("groups_sha256"), d.codes.alias("codes"))
+
+    made = aligned(sliced(docs, a, b, cuts, chunks, sizes)).crossJoin(F.broadcast(said))
+    made = made.select("chunk_n", "hot", "hot_n", _let(F.struct("docs", "chunks", "hot_said"), lambda s: F.transform(s.docs, lambda d: doc(d, s.chunks, s.hot_said))).alias("docs"), F.transform("chunks", lambda c: c.links).alias("links"))
+    rows, _ = materialize(made.withColumn("slice", F.monotonically_increasing_id()), "slices")
+    own = rows.select("slice", F.posexplode(F.arrays_zip("links", "chunk_n")).alias("code", "x")).select("slice", "code", F.col("x.chunk_n").cast("long").alias("times"), F.explode("x.links").alias("link"))
+    met = rows.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("code")).agg(F.sum("x.hot_n").alias("times"))
+    both = own.unionByName(met.join(hot.select("code", "links"), "code").select(F.lit(-1).cast("long").alias("slice"), "code", "times", F.explode("links").alias("link")))
+    scores, _ = materialize(link_scores(both), "scores")
+    by_code = F.sort_array(F.collect_list(F.struct("code", "n_best", "count_sum")))  # every chunk of a slice has links, so codes are places
+    own_scores = scores.where("slice >= 0").groupBy("slice").agg(by_code.alias("own"))
+    numbers = (F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum"))
+    hot_scores = hot.select("code").join(scores.where("slice < 0").drop("slice"), "code", "left").select("code", *numbers).agg(by_code.alias("hot_scores"))
+    found = rows.select("slice", "docs").join(own_scores, "slice", "left").crossJoin(F.broadcast(hot_scores))
+
+    def scored(d: Column, x: Column, hot_scores: Column) -> Column:
+        total = lambda name: F.aggregate(d.codes, F.lit(0).cast("long"), lambda s, c: s + F.when(c < h, F.get(hot_scores, c)[name]).otherwise(F.get(x, c - h)[name]))
+        return F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), d.n_groups.alias("n_groups"), d.n_groups.alias("n_links"), total("n_best").alias("n_best"), total("count_sum").alias("count_sum"), d.groups_sha256.alias("groups_sha256"))
+
+    return found.select(F.explode(_let(F.struct("docs", "own", "hot_scores"), lambda s: F.transform(s.docs, lambda d: scored(d, s.own, s.hot_scores)))).alias("d")).select("d.*")

@@ -79,19 +79,28 @@ def test_brute_force(spark, rows, tmp_path):
 
 
 def test_many_pairs_are_joined_by_a_shuffle(spark):
-    from skein.llm.token_alignment import chunk_scores
+    from skein.llm.token_alignment import link_scores
 
     rng = np.random.default_rng(2)
-    links = [(i, int(rng.integers(1, 9)), [int(a) << 32 | int(b) for a, b in rng.integers(0, 6, (int(rng.integers(0, 5)), 2))]) for i in range(300)]
-    table = spark.createDataFrame(links, "id long, times long, links array<long>")
-    got = sorted(chunk_scores(table).collect())
-    assert got == sorted(chunk_scores(table, broadcast_pairs=0).collect())
+    links = [(i // 50, i % 50, int(rng.integers(1, 9)), [int(a) << 32 | int(b) for a, b in rng.integers(0, 6, (int(rng.integers(0, 5)), 2))]) for i in range(300)]
+    table = spark.createDataFrame([(s, c, n, x) for s, c, n, ls in links for x in ls], "slice long, code int, times long, link long")
+    got = sorted(link_scores(table).collect())
+    assert got == sorted(link_scores(table, broadcast_pairs=0).collect())
     count, most = Counter(), Counter()
-    for _, n, ls in links:
-        count.update({x: n * ls.count(x) for x in set(ls)})
+    for *_, n, ls in links:
+        for x in ls:
+            count[x] += n
     for x, n in count.items():
         most[x % (1 << 32)] = max(most[x % (1 << 32)], n)
-    assert got == [(i, sum(count[x] == most[x % (1 << 32)] for x in ls), sum(count[x] for x in ls)) for i, _, ls in links if ls]
+    assert got == [(s, c, sum(count[x] == most[x % (1 << 32)] for x in ls), sum(count[x] for x in ls)) for s, c, _, ls in links if ls]
+
+
+@pytest.mark.parametrize("frequent", [0, 5])
+def test_any_number_of_frequent_chunks(spark, rows, frequent):
+    from skein.llm.token_alignment import align_tokenizers
+
+    some = rows[::2]
+    assert sorted(repr(tuple(r)) for r in align_tokenizers(docs(spark, some), *FILES, frequent=frequent).collect()) == brute(some)
 
 
 def test_empty_table(spark):
@@ -112,9 +121,12 @@ def test_texts_that_are_not_cut(spark, rows, monkeypatch):
 
 def test_chunks_are_few(spark):
     """Both supplied files allow cutting, and a slice holds a common chunk once."""
-    from skein.llm.token_alignment import ByteLevel, Pieces, sliced
+    from skein.llm.token_alignment import ByteLevel, Pieces, frequent_chunks, sliced
 
-    assert ByteLevel(open(FILES[0], "rb").read()).cuts and Pieces(open(FILES[1], "rb").read()).cuts
+    a, b = (open(f, "rb").read() for f in FILES)
+    assert ByteLevel(a).cuts and Pieces(b).cuts
     texts = spark.createDataFrame([(i, "the same words " * 500) for i in range(40)], "doc_id long, text string").coalesce(1)
-    (row,) = sliced(texts).collect()
-    assert len(row.chunks) == 4 and sum(row.times) == sum(len(d.codes) for d in row.docs) == 40 * 1501
+    assert frequent_chunks(texts, True, 3) == [b" same", b" the", b" words"]
+    (row,) = sliced(texts, a, b, True, [b" the"], np.array([[1, 1]])).collect()
+    assert len(row.chunk_n) == 3 and row.hot == [0] and row.hot_n == [40 * 500]
+    assert sum(row.chunk_n) + 40 * 500 == sum(len(d.codes) for d in row.docs) == 40 * 1501
