@@ -20,10 +20,10 @@ from skein.llm.words import slices
 from skein.storage import materialize
 
 #: Bytes of text in a slice, about; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 #: Commonest chunks of all texts that are encoded and aligned once and broadcast (some 100 bytes each), and how many a task proposes.
-FREQUENT, TASK_CHUNKS = 150_000, 60_000
+FREQUENT, TASK_CHUNKS = 200_000, 60_000
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
