@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +29,33 @@ def vector(values: Sequence[float]) -> Column:
     return F.lit([float(x) for x in values])
 
 
+def _similarities(column: pa.Array, query: np.ndarray) -> pa.Array:
+    """Cosine of each vector with the query; null for a vector that is null, holds nulls, has another length or is of length zero."""
+    values = column.flatten()
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    fine = lengths == len(query)
+    if values.null_count:
+        of = np.repeat(np.arange(len(column)), lengths)
+        fine[of[np.asarray(values.is_null())]] = False
+    x = np.asarray(pc.fill_null(values, 0), dtype=float)
+    x = x.reshape(-1, len(query)) if fine.all() else x[np.repeat(fine, lengths)].reshape(-1, len(query))
+    out, norms = np.zeros(len(column)), np.zeros(len(column))
+    out[fine], norms[fine] = x @ query, np.sqrt(np.einsum("ij,ij->i", x, x)) * np.linalg.norm(query)
+    return pa.array(np.divide(out, norms, out=out, where=norms != 0), mask=~fine | (norms == 0))
+
+
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, least: float | None = None) -> DataFrame:
     """The k rows of vectors (vec_id, embedding, ...) nearest to the query, with similarity; ties by vec_id.
 
-    A scan with a per-task top k: only k rows a task are sent on.
+    A scan that scores a block of rows at a time, with a per-task top k: only k rows a task are sent on.
     """
-    found = vectors.withColumn("similarity", cosine(F.col("embedding"), vector(query)))
+    asked = np.asarray(query, float)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _similarities(batch.column("embedding"), asked)], [*batch.schema.names, "similarity"])
+
+    found = vectors.mapInArrow(scored, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields), "similarity double"]))
     if least is not None:
         found = found.where(F.col("similarity") >= least)
     return found.orderBy(F.desc_nulls_last("similarity"), "vec_id").limit(k)
