@@ -171,3 +171,70 @@ def reachable(index: VectorIndex, unit: np.ndarray, least: float) -> tuple[np.nd
     bounds = index.bounds(unit)
     order = np.argsort(-bounds, kind="stable")
     return order[bounds[order] >= max(least, -1.5)], bounds
+
+
+#: Rows of a cell that meet in one block: a crowded cell is cut into blocks that meet pairwise.
+TILE = 2_000
+#: Parts in which the rows that meet a tile come to it.
+PIECES = 8
+
+
+def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int = SAMPLE) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of vectors (vec_id, embedding) with a cosine of at least `least` (0 or more), exact.
+
+    Equal vectors are one class: its other ids are each tied to the least one with similarity 1, and pairs between classes are
+    given for these. Rows are dealt by the cell of their nearest centre, and to every later cell whose reach says that it may
+    hold one near enough (the angle to its centre is at most the angle asked for and that reach). A cell's rows at home
+    are cut into tiles; what meets a tile comes in PIECES parts, so a crowded cell is many tasks, each with one tile. Rows without a direction pair with none.
+    """
+    spark = vectors.sparkSession
+    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    classes = vectors.where("vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
+    index = build_index(classes.select("vec_id", "embedding"), cells, sample=sample)
+    rows = spark.read.parquet(index.path)
+    centres, reach, asked = index.centres, index.reach, float(np.arccos(np.clip(least, -1, 1))) + 1e-9
+    tiles = np.maximum(1, -(-index.rows // TILE))
+    d = centres.shape[1]
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row at home and as a visitor of later cells."""
+        for batch in batches:
+            x = _unit(_vectors(batch.column("embedding"), d))
+            home = np.asarray(batch.column("cell"))
+            near = np.arccos(np.clip(x @ centres.T, -1, 1)) <= asked + reach[None, :]
+            near &= (np.arange(len(centres))[None, :] > home[:, None]) & (index.rows > 0)[None, :]
+            near[np.arange(len(home)), home] = True
+            of, cell = np.nonzero(near)
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[of] == cell), pa.array(tiles[cell], pa.int32()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "home", "tiles", "vec_id", "embedding"])
+
+    placed = rows.select("vec_id", "embedding", "cell").mapInArrow(homes, "cell int, home boolean, tiles int, vec_id long, embedding array<double>") if len(index.rows) and index.rows.sum() else None
+    ties = vectors.where("vec_id is not null").join(rows.select(F.col("vec_id").alias("a"), "embedding"), "embedding").where("vec_id <> a").select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
+    if placed is None:
+        return ties.limit(0)
+    # The rows at home hold one tile; all rows of the cell come to each tile, those of no earlier tile only.
+    tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
+    part = lambda df, side, y: df.select("cell", y.alias("y"), tile.alias("x"), F.lit(side).alias("side"), "home", "vec_id", "embedding")
+    held = part(placed.where("home"), 1, tile)
+    met = part(placed, 0, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("not home or x <= y")
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            x, y = (_unit(_vectors(t.column("embedding").combine_chunks(), d)) for t in (left, right))
+            i, j = (np.asarray(t.column("vec_id")) for t in (left, right))
+            own, first = np.asarray(left.column("home")), np.asarray(left.column("x"))
+            for at in range(0, len(i), TILE):
+                sim = x[at : at + TILE] @ y.T
+                a, b = np.nonzero(sim >= least)
+                keep = ~own[at + a] | (first[at + a] < key[1].as_py()) | (i[at + a] < j[b])
+                a, b = a[keep], b[keep]
+                found.append((i[at + a], j[b], sim[a, b]))
+        a, b, sim = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in ((0, np.int64), (1, np.int64), (2, float)))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sim})
+
+    pieces = held.withColumn("piece", F.explode(F.array(*(F.lit(n) for n in range(PIECES))))).unionByName(met.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PIECES)).cast("int")))
+    pairs = pieces.groupBy("cell", "y", "piece").applyInArrow(solve, "a long, b long, similarity double")
+    return pairs.union(ties)

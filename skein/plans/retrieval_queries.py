@@ -118,6 +118,15 @@ def _(d):
     return V.intent_weighted(found, {"CODE": 1.5, "DB": 0.5}).select("vec_id", F.round("relevance", 6).alias("relevance"))
 
 
+_PAIR = "list_dot_product(cast(x.embedding as double[]), cast(y.embedding as double[])) / (sqrt(list_dot_product(cast(x.embedding as double[]), cast(x.embedding as double[]))) * sqrt(list_dot_product(cast(y.embedding as double[]), cast(y.embedding as double[]))))"
+
+
+@query("V18_near_pairs", f"select x.vec_id a, y.vec_id b, round({_PAIR}, 6) similarity from embeddings x join embeddings y on x.vec_id < y.vec_id where {_PAIR} >= 0.4")
+def _(d):
+    found = I.near_pairs(d.embeddings, 0.4)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("V18_probable_duplicates", f"with {_Q} select vec_id from vectors, q where {_SIM} >= 0.92", "vectors")
 def _(d):
     return d.vectors.where(V.cosine(F.col("embedding"), V.vector(_query(d))) >= 0.92).select("vec_id")

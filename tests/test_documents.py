@@ -1,5 +1,6 @@
 """Partitioning and chunking on small texts."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators import documents as D
@@ -44,3 +45,53 @@ def test_lineage(spark):
     got = [r.l for r in rows.select(D.statement_lineage(F.col("s")).alias("l")).collect()]
     assert (got[0].type, got[0].reads, got[0].joins) == ("SELECT", ["a.b", "c"], ["c"])
     assert got[1].reads == ["q", "t"] and got[2].type == ""
+
+
+def test_heading_chunks_against_a_loop(spark):
+    """Sections from heading to heading, packed while the estimate (half a token a CJK character, one a word) fits."""
+    import re
+
+    rng = np.random.default_rng(3)
+    lines = ["# Title one", "## 2 parts", "1.2 numbered", "plain words here", "日本語の文", "#no heading", "a # b", "", "1.x not", "longer line of several words in a row"]
+    texts = ["\n".join(rng.choice(lines, int(rng.integers(0, 14)))) for _ in range(80)] + ["", "# only", "\n\n# late"]
+
+    def tokens(t):
+        cjk = len(re.findall(r"[一-鿿㐀-䶿]", t))
+        return spark_tokens[t]
+
+    pieces = {}
+    for i, t in enumerate(texts):
+        starts = sorted({m.start() for m in re.finditer(r"(?m)^#{1,6}\s+\S|^\d+(?:\.\d+)*\s+\S", t)} | {0})
+        pieces[i] = [x for x in (t[a:b] for a, b in zip(starts, [*starts[1:], len(t)], strict=True)) if x]
+    known = sorted({x for p in pieces.values() for x in p})
+    spark_tokens = {r.t: r.n for r in spark.createDataFrame([(x,) for x in known], "t string").select("t", D.estimated_tokens(F.col("t")).alias("n")).collect()}
+    want = set()
+    for i, parts in pieces.items():
+        held, size, out = "", 0, []
+        for x in parts:
+            if held and size + spark_tokens[x] > 12:
+                out.append(held)
+                held, size = "", 0
+            held, size = held + x, size + spark_tokens[x]
+        out += [held] if held else []
+        want |= {(i, n, x) for n, x in enumerate(out)}
+    got = D.heading_chunks(spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string"), 12).collect()
+    assert {(r.doc_id, r.chunk, r.text) for r in got if r.text} == want
+    assert all("".join(r.text for r in sorted(got, key=lambda r: r.chunk) if r.doc_id == i) == t for i, t in enumerate(texts))
+
+
+def test_references_against_a_loop(spark):
+    import re
+
+    from skein.functions.text import references
+
+    rng = np.random.default_rng(9)
+    parts = ["orders.customer_id", "schema.t.c", "a..b", "3.14", "end.", "/api/v1/orders", "x/y", "src/main/App.java", "`any thing`", "``", "GET", "//twice", "com.example.Order", "file.txt", "(a.b)", "日.本", "/a-b/c_d."]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(150)] + ["", None]
+
+    def plain(t):
+        rules = [r"(?<![\w.])[a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*){1,}(?![\w.])", r"(?<!\w)/[a-zA-Z][\w\-/]*", r"(?:[\w\-/]+/)+[\w\-]+\.[a-zA-Z]{1,8}", "`([^`]+)`"]
+        return list(dict.fromkeys(m.group(m.re.groups) for r in rules for m in re.finditer(r, t, re.ASCII)))
+
+    got = spark.createDataFrame([*enumerate(texts)], "i long, t string").select("i", references(F.col("t")).alias("r")).collect()
+    assert {r.i: r.r for r in got if texts[r.i] is not None} == {i: plain(t) for i, t in enumerate(texts) if t is not None}

@@ -88,3 +88,20 @@ def test_small_and_empty(spark):
     assert [r.vec_id for r in I.indexed_nearest(spark, same, [2.0, 4.0], 3).collect()] == [0, 1, 2]
     table = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(60)], schema)
     assert [r.vec_id for r in I.indexed_nearest(spark, I.build_index(table, 8), [1.0, 0.1], 5).collect()] == [r.vec_id for r in nearest(table, [1.0, 0.1], 5).collect()]
+
+
+@pytest.mark.parametrize("tile", [2000, 40])
+def test_near_pairs(spark, clustered, monkeypatch, tile):
+    """All pairs of at least 0.97 and no other, in whole cells and cut ones; copies are tied to the least id."""
+    df, x, _ = clustered
+    monkeypatch.setattr(I, "TILE", tile)
+    x = x[:900]
+    some = df.where("vec_id < 900 or vec_id >= 9000").select("vec_id", "embedding")
+    copies = some.where("vec_id in (5, 6)").selectExpr("vec_id + 20000", "embedding").union(some.where("vec_id = 5").selectExpr("30000L", "embedding"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= 0.97), strict=True) if i < j} | {(5, 20005), (6, 20006), (5, 30000)}
+    got = I.near_pairs(some.union(copies), 0.97, cells=12).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert all(abs(r.similarity - sim[r.a, r.b]) < 1e-9 for r in got if r.b < 900)
+    assert I.near_pairs(some.limit(0), 0.9).collect() == []
