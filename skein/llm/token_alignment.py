@@ -6,20 +6,21 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.words import slices
 from skein.storage import materialize
 
 #: Bytes of text in a slice, about; a longer text is a slice of its own.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 16 << 20
 
 #: Distinct id pairs up to which their counts are broadcast (64 bytes each or so); more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
@@ -257,6 +258,18 @@ def _without_lost(each: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFr
     return chunks.join(less, "chunk", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0))).drop("less")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside the block a step's shuffle files go when the step, which writes a table, is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """How two tokenizers' tokens of every whole text lie against each other.
 
@@ -273,11 +286,12 @@ def align_tokenizers(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     of groups `a1,a2|b1` joined by ';' ('' without tokens). A null doc_id stays null.
     """
     a, b = Path(a_file).read_bytes(), Path(b_file).read_bytes()
-    rows, _ = materialize(sliced(docs, ByteLevel(a).cuts and Pieces(b).cuts).withColumn("slice", F.monotonically_increasing_id()), "slices")
-    each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.times")
-    chunks, _ = materialize(aligned(tokenised(each.groupBy("chunk").agg(F.sum("times").alias("times")), a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
-    counted = _without_lost(each, chunks, rows) if chunks.where("n_a is null").limit(1).count() else chunks
-    scores = chunk_scores(counted.select("id", "links", "times"))
+    with _shuffles_dropped(docs.sparkSession):
+        rows, _ = materialize(sliced(docs, ByteLevel(a).cuts and Pieces(b).cuts).withColumn("slice", F.monotonically_increasing_id()), "slices")
+        each = rows.select("slice", F.posexplode(F.arrays_zip("chunks", "times")).alias("code", "x")).select("slice", "code", F.col("x.chunks").alias("chunk"), "x.times")
+        chunks, _ = materialize(aligned(tokenised(each.groupBy("chunk").agg(F.sum("times").alias("times")), a, b)).withColumn("id", F.monotonically_increasing_id()), "chunks")
+        counted = _without_lost(each, chunks, rows) if chunks.where("n_a is null").limit(1).count() else chunks
+        scores = chunk_scores(counted.select("id", "links", "times"))
     results = chunks.select("id", "chunk", "n_a", "n_b", F.size("links").alias("n_groups"), "groups").join(scores, "id", "left").drop("id")
     found = each.select("slice", "code", "chunk").join(results.hint("shuffle_hash"), "chunk").drop("chunk")
     by_code = F.sort_array(F.collect_list(F.struct("code", *(F.col(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_groups", "n_best")), "count_sum", "groups")))
