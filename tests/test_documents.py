@@ -55,10 +55,6 @@ def test_heading_chunks_against_a_loop(spark):
     lines = ["# Title one", "## 2 parts", "1.2 numbered", "plain words here", "日本語の文", "#no heading", "a # b", "", "1.x not", "longer line of several words in a row"]
     texts = ["\n".join(rng.choice(lines, int(rng.integers(0, 14)))) for _ in range(80)] + ["", "# only", "\n\n# late"]
 
-    def tokens(t):
-        cjk = len(re.findall(r"[一-鿿㐀-䶿]", t))
-        return spark_tokens[t]
-
     pieces = {}
     for i, t in enumerate(texts):
         starts = sorted({m.start() for m in re.finditer(r"(?m)^#{1,6}\s+\S|^\d+(?:\.\d+)*\s+\S", t)} | {0})
