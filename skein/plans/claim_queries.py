@@ -1,5 +1,7 @@
 """Queries of skein.operators.claims."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from skein.operators import claims as K
@@ -174,7 +176,9 @@ def _(d):
 @query("K16_verified_scores", "with f as (select concat('mth:', cast(user_id as varchar)) id, count(*) filter (where event_type <> 'error') p, count(*) filter (where event_type = 'error') e from events group by 1) select n.id, least(greatest(verified_score + 0.05 * p - 0.2 * e, 0), 1) verified_score, least(greatest(verified_score + 0.05 * p - 0.2 * e, 0), 1) >= 0.85 verified from nodes n join f on f.id = n.id", "nodes")
 def _(d):
     f = d.events.groupBy(F.concat(F.lit("mth:"), F.col("user_id").cast("string")).alias("id")).agg(F.count_if(F.col("event_type") != "error").alias("p"), F.count_if(F.col("event_type") == "error").alias("e"))
-    score = F.least(F.greatest(F.col("verified_score") + 0.05 * F.col("p") - 0.2 * F.col("e"), F.lit(0.0)), F.lit(1.0))
+    # counts times exact decimals, as in SQL: 3 x 0.05 in doubles is above 0.15
+    times = lambda step, n: (F.lit(Decimal(step)) * F.col(n)).cast("double")
+    score = F.least(F.greatest(F.col("verified_score") + times("0.05", "p") - times("0.2", "e"), F.lit(0.0)), F.lit(1.0))
     return d.nodes.join(f, "id").select("id", score.alias("verified_score"), (score >= 0.85).alias("verified"))
 
 
