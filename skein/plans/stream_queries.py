@@ -13,17 +13,17 @@ _FILES = 5
 
 
 def _arrived(d):
-    """(path, how long a span may be late) of the spans as files that arrive one after the other, and an end."""
+    """(path, files of an arrival, how long a span may be late) of the spans as files that arrive one after the other, and an end."""
     path = scratch_path(d.spark, "arrived")
     spans = d.spans.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in _SPANS.split(", ")))
-    T.arrive(spans, path, _FILES)
-    T.close_input(d.spark, path, _SPANS, "2100-01-01")
+    per = T.arrive(spans, path, _FILES)
+    T.close_input(d.spark, path, _SPANS, "2100-01-01", per)
     seconds = spans.agg(F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).first()[0] or 0
-    return path, f"{2 * seconds // _FILES + 60} seconds"
+    return path, per, f"{2 * seconds // _FILES + 60} seconds"
 
 
-def _stream(d, path, late):
-    return T.span_stream(d.spark, path, _SPANS, 1, late)
+def _stream(d, path, per, late):
+    return T.span_stream(d.spark, path, _SPANS, per, late)
 
 
 @query("T4_streamed_windows", "select date_trunc('hour', ts) window_start, event_type service_name, count(*) spans, count(*) filter (where event_type = 'error') errors from events group by 1, 2")
@@ -57,6 +57,6 @@ def _(d):
     "spans",
 )
 def _(d):
-    path, late = _arrived(d)
-    made = T.appended(T.calls(_stream(d, path, late), _stream(d, path, late), "1 day"), "calls").rows
+    at = _arrived(d)
+    made = T.appended(T.calls(_stream(d, *at), _stream(d, *at), "1 day"), "calls").rows
     return made.groupBy("caller", "callee").agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "ERROR").alias("errors"))

@@ -1,4 +1,4 @@
-"""Traces as they arrive: spans assembled by trace with timers, calls by a join of two streams, results appended as they close.
+"""Traces as they arrive: spans assembled by trace as sessions, calls by a join of two streams, results appended as they close.
 
 Files may come in any order within the watermark. What comes later than that is dropped and counted. State holds open
 traces, windows and spans still to be joined, nothing that the watermark has passed.
@@ -6,58 +6,15 @@ traces, windows and spans still to be joined, nothing that the watermark has pas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skein.storage import scratch_path
+from skein.storage import drop, materialize, scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_TRACE = "trace_id string, spans long, errors long, services string, duration_ms long, started_at timestamp, ended_at timestamp"
-_STATE = "spans long, errors long, services string, duration_ms long, first_ms long, last_ms long, timer_ms long"
-
-
-class TraceAssembler(StatefulProcessor):
-    """One row of state for each open trace; a trace is given out and forgotten once the watermark is `idle_ms` behind its last span."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("trace", _STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, errors, services, total, first, last, timer = self.open.get() if self.open.exists() else (0, 0, "", 0, None, None, None)
-        names = set(services.split(",")) - {""}
-        for df in rows:
-            at = df["ts"].astype("datetime64[us]").astype("int64") // 1000
-            n, errors, total = n + len(df), errors + int((df["status"] == "ERROR").sum()), total + int(df["duration_ms"].fillna(0).sum())
-            names |= set(df["service_name"].dropna())
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-            last = int(at.max()) if last is None else max(last, int(at.max()))
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(timer)
-        self.open.update((n, errors, ",".join(sorted(names)), total, first, last, timer))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, errors, services, total, first, last, _ = self.open.get()
-        self.open.clear()
-        when = lambda ms: pd.Series([pd.Timestamp(ms, unit="ms")])
-        yield pd.DataFrame({"trace_id": [key[0]], "spans": [n], "errors": [errors], "services": [services], "duration_ms": [total], "started_at": when(first), "ended_at": when(last)})
-
-    def close(self) -> None:
-        pass
-
-
 def span_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int, late: str) -> DataFrame:
     """The spans (span_id, ts and others) under path as they arrive, each span_id once within the watermark.
 
@@ -68,8 +25,17 @@ def span_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def assembled_traces(spans: DataFrame, idle_ms: int) -> DataFrame:
-    """A row for each trace once it is complete: spans, errors, services (sorted), duration, start and end."""
-    return spans.where("trace_id is not null").groupBy("trace_id").transformWithStateInPandas(TraceAssembler(idle_ms), _TRACE, "append", "eventTime")
+    """A row for each trace once it is complete: spans, errors, services (sorted), duration, start and end.
+
+    A trace is a session of its spans: it is given out and forgotten once the watermark is `idle_ms` behind its last span,
+    and spans further apart than that are two rows. State is one row of partial aggregates for each open trace.
+    """
+    session = F.session_window("ts", f"{idle_ms} milliseconds")
+    made = spans.where("trace_id is not null").groupBy("trace_id", session).agg(
+        F.count("*").alias("spans"), F.count_if(F.coalesce(F.col("status") == "ERROR", F.lit(False))).alias("errors"), F.array_join(F.array_sort(F.collect_set("service_name")), ",").alias("services"),
+        F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"),
+    )
+    return made.select("trace_id", "spans", "errors", "services", "duration_ms", "started_at", "ended_at")
 
 
 def calls(children: DataFrame, parents: DataFrame, within: str) -> DataFrame:
@@ -111,17 +77,26 @@ def appended(result: DataFrame, name: str) -> Drained:
     return Drained(spark.read.schema(result.schema).parquet(path), late, most, len(states))
 
 
-def arrive(rows: DataFrame, path: str, files: int, order: str = "ts") -> None:
-    """Puts rows into a folder as files that arrive one after the other, by time but for one row in eight, which is a file late."""
+def arrive(rows: DataFrame, path: str, files: int, order: str = "ts", per_file: int = 500_000) -> int:
+    """Puts rows into a folder in `files` arrivals one after the other, by time but for one row in eight, which is an arrival late.
+
+    An arrival is one file for each `per_file` rows of its share; returns how many that are. Rows are made once, whatever
+    the number of arrivals, and no task sees more than it would without.
+    """
     bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"))
     part = F.floor((F.unix_micros(order) - F.unix_micros("a")) * files / (F.unix_micros("b") - F.unix_micros("a") + 1))
     late = F.when(F.pmod(F.xxhash64("span_id"), F.lit(8)) == 0, 1).otherwise(0)
-    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_file", F.least(part + late, F.lit(files - 1))).drop("a", "b")
+    placed, at = materialize(rows.crossJoin(F.broadcast(bounds)).withColumn("_file", F.least(part + late, F.lit(files - 1))).drop("a", "b"), "placed")
+    per = max(1, -(-placed.count() // (files * per_file)))
     for i in range(files):
-        placed.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+        now = placed.where(F.col("_file") == i).drop("_file")
+        (now.coalesce(1) if per == 1 else now.repartition(per)).write.mode("append").parquet(path)
+    drop(rows.sparkSession, at)
+    return per
 
 
-def close_input(spark: SparkSession, path: str, schema: str, ts: str) -> None:
-    """Ends a folder's input: two files with nothing but a time far ahead, so that all that is open closes."""
+def close_input(spark: SparkSession, path: str, schema: str, ts: str, per: int = 1) -> None:
+    """Ends a folder's input: twice `per` files with nothing but a time far ahead, so that all that is open closes."""
     for n in (0, 1):
-        spark.createDataFrame([(ts,)], "ts string").selectExpr(f"timestamp(ts) + interval {n} second as ts").coalesce(1).write.mode("append").parquet(path)
+        for _ in range(per):
+            spark.createDataFrame([(ts,)], "ts string").selectExpr(f"timestamp(ts) + interval {n} second as ts").coalesce(1).write.mode("append").parquet(path)

@@ -70,3 +70,15 @@ def test_arriving_files_keep_every_row(spark, folder):
     T.arrive(spark.createDataFrame(rows, SCHEMA), folder, 4)
     back = spark.read.parquet(folder)
     assert back.count() == 200 and back.select(F.input_file_name()).distinct().count() == 4
+
+
+def test_large_arrivals_are_several_files(spark, folder):
+    """Arrivals of several files keep every row, no file holds them all, and all that is open closes."""
+    rows = [span(i % 50, i, i) for i in range(2000)]
+    per = T.arrive(spark.createDataFrame(rows, SCHEMA), folder, 4, per_file=200)
+    assert per == 3
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 300
+    T.close_input(spark, folder, SCHEMA, "2100-01-01", per)
+    got = T.appended(T.assembled_traces(T.span_stream(spark, folder, SCHEMA, per, "20 hours"), 86_400_000), "traces")
+    assert got.late == 0 and sorted(r.spans for r in got.rows.collect()) == [40] * 50
