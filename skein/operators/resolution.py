@@ -165,8 +165,9 @@ def cross_type_candidates(nodes: DataFrame, evidence: DataFrame, vectors: DataFr
     """(a, b, shared, similarity): nodes of paired types with enough evidence in common whose vectors are alike ((cosine + 1) / 2).
 
     evidence: (id, evidence), vectors: (id, embedding). Pairs come from an equi-join on each node's rarer evidence, not from all that share some.
+    Nodes without a vector are in no pair, so they are left out before any are made: pairs are bounded by the vectors.
     """
-    lists = evidence.where("evidence is not null").groupBy("id").agg(F.collect_set("evidence").alias("tokens"))
+    lists = evidence.where("evidence is not null").join(vectors.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("evidence").alias("tokens"))
     sets = ordered_sets(lists.select(F.lit(0).alias("side"), "id", "tokens")).join(nodes.select("id", "node_type"), "id")
     # sets that share enough share one of their n - shared + 1 rarest, so what most nodes have brings none together
     first = sets.select("id", "node_type", "tokens", F.posexplode("tokens").alias("at", "x"), "n").where(F.col("at") <= F.col("n") - shared).withColumn("token", F.col("x.token"))
