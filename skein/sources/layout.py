@@ -22,6 +22,9 @@ _IS = {
     "in": lambda c, v: c.isin(list(v)), "prefix": lambda c, v: c.startswith(v),
 }
 
+#: Rows of a file at most, by which larger tables get more files: a task sorts one file's rows.
+ROWS = 1_000_000
+
 #: (column, comparison, value)
 Condition = tuple[str, str, object]
 
@@ -34,11 +37,12 @@ def _any(tests: list[Column]) -> Column:
 
 
 def cluster(df: DataFrame, path: str, by: Sequence[str], zones: Sequence[str] = (), files: int = 32, bloom: Sequence[str] = ()) -> None:
-    """Writes df sorted by ranges of `by`, some `files` files, and beside it a row for each file with its zones.
+    """Writes df sorted by ranges of `by`, some `files` files (more where these would hold over ROWS rows each), and beside it a row for each file with its zones.
 
     zones: further columns whose least and greatest values are kept. bloom: columns that get Parquet's own Bloom filters, for
     keys that the order does not bring together. Rows without a value in `by` come first and count in no zone of that column.
     """
+    files = max(files, -(-df.count() // ROWS))
     writer = df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.option("compression", "zstd")
     for c in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")

@@ -54,3 +54,11 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     L.cluster(spark.createDataFrame([], "key string, n long"), path, ["key"])
     assert L.pruned(spark, path, [("key", "=", "a")]).collect() == [] and L.window(spark, path, "key", None, 5).collect() == []
+
+
+def test_larger_tables_get_more_files(spark, tmp_path, monkeypatch):
+    """A task sorts one file's rows, so their number is bounded."""
+    monkeypatch.setattr(L, "ROWS", 100)
+    path = f"file://{tmp_path}/t"
+    L.cluster(spark.range(1000).toDF("key"), path, ["key"], files=2)
+    assert spark.read.parquet(f"{path}-zones").count() >= 9
