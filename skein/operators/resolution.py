@@ -15,6 +15,7 @@ from skein.operators.components import connected_components
 from skein.operators.retrieval import cosine
 from skein.operators.scans import numbered
 from skein.operators.similarity import ordered_sets
+from skein.storage import materialize
 
 #: Weights of the parts of a composite score, and the scores from which a pair merges or is reviewed.
 WEIGHTS = {"name": 0.35, "struct": 0.25, "evidence": 0.20, "runtime": 0.10, "history": 0.10}
@@ -105,8 +106,11 @@ def name_score(a: Column, b: Column) -> Column:
 def set_overlap(pairs: DataFrame, members: DataFrame, both_empty: float, larger: bool) -> DataFrame:
     """pairs (a, b) with score: shared members over the union, or over the `larger` set; members: (id, member), distinct.
 
-    Sets are not collected: sizes are counted by id, shared members by an equi-join.
+    Sets are not collected: sizes are counted by id, shared members by an equi-join. Only members of ids in
+    pairs take part; they are written once.
     """
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    members, _ = materialize(members.join(used, "id", "left_semi"), "members")
     size = members.groupBy("id").agg(F.count("*").alias("n"))
     m = lambda end: members.select(F.col("id").alias(end), "member")
     shared = pairs.join(m("a"), "a").join(m("b"), ["b", "member"]).groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from skein.operators import communities as C
 from skein.operators import resolution as E
 
 
@@ -113,3 +114,23 @@ def test_nodes_without_vectors_make_no_pairs(spark):
     vectors = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [1.0, 0.0]), ("2", [0.0, 1.0]), ("3", [0.0, 1.0])], "id string, embedding array<float>")
     got = E.cross_type_candidates(ids, evidence, vectors, [("A", "B")])
     assert sorted((r.a, r.b, r.shared) for r in got.collect()) == [("0", "1", 2), ("2", "3", 2)]
+
+
+def test_overlap_leaves_other_members_alone(spark, monkeypatch):
+    """Only members of ids in pairs are shuffled and written."""
+    written = []
+    real = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, name="t": written.append(real(df, name)) or written[-1])
+    members = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "y"), ("c", "z")], "id string, member string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "n"), ("n", "o")], "a string, b string")
+    got = {(r.a, r.b): r.score for r in E.set_overlap(pairs, members, 1.0, False).collect()}
+    assert got == {("a", "b"): 0.5, ("a", "n"): 0.0, ("n", "o"): 1.0}
+    assert written[0][0].where("id = 'c'").count() == 0 and written[0][0].count() == 3
+
+
+def test_summaries_of_communities_are_not_broadcast(spark):
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, label string")
+    nodes = spark.createDataFrame([("a", "Service"), ("b", "Mapper"), ("c", "Mapper")], "id string, node_type string")
+    got = C.summaries(labels, nodes)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.members, r.summary) for r in got.collect()} == {("a", 2, "Mapper: 1, Service: 1"), ("c", 1, "Mapper: 1")}
