@@ -28,6 +28,9 @@ PREFIXES = (4, 5, 6, 7)
 def _buckets(distinct: list[bytes], bits: int, prefixes: tuple[int, ...]) -> np.ndarray:
     """Buckets of each distinct word and of its prefixes, a row a word; marks at a word's ends do not count."""
     h, shift = xxhash.xxh3_64_intdigest, 64 - bits
+    if not prefixes:
+        marks = _MARKS.encode()
+        return (np.fromiter((h(w.strip(marks), 1) for w in distinct), np.uint64, len(distinct)) >> np.uint64(shift)).astype(np.int64)[:, None]
     out = np.zeros((len(distinct), 1 + len(prefixes)), np.int64)
     for i, w in enumerate(distinct):
         t = w.decode().strip(_MARKS)
@@ -36,16 +39,23 @@ def _buckets(distinct: list[bytes], bits: int, prefixes: tuple[int, ...]) -> np.
 
 
 def features(texts: pa.Array, bits: int, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets by text): what occurs in each whole text.
+    """(buckets, offsets by text): what occurs in each whole text (see `_featured`)."""
+    return _featured(texts, bits, prefixes)[:2]
+
+
+def _featured(texts: pa.Array, bits: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, offsets by text, words by text): what occurs in each whole text.
 
     Distinct words in lower case and, for each of them, its prefixes; then how large (in ten
     steps) the shares of capitals, of marks, of repeated words and of words that end in two marks
     are. A bucket stands once for each distinct word that leads to it.
     """
-    plain, words = Words(texts), Words(texts, lower=True)
+    plain = Words(texts)
+    words = plain.lowered()
     codes, distinct = words.encoded()
     n, size, own = len(texts), 1 << bits, 4
-    pair = np.unique(words.text_of() * max(len(distinct), 1) + codes)
+    pair = np.sort(words.text_of() * max(len(distinct), 1) + codes)
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     owner, code = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
     letters, marks = np.zeros(len(plain.joined) + 1, np.int64), np.zeros(len(plain.joined) + 1, np.int64)
     np.cumsum(_UPPER[plain.joined], out=letters[1:])
@@ -65,23 +75,31 @@ def features(texts: pa.Array, bits: int, prefixes: tuple[int, ...] = PREFIXES) -
     rest = np.ones(len(bucket), bool)
     rest[last] = False
     bucket[rest] = _buckets(distinct, bits, prefixes)[code].reshape(-1)
-    return bucket, offsets
+    return bucket, offsets, np.diff(words.offsets)
 
 
-def scored(df: DataFrame, score: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], bits: int, fields: str, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
-    """Columns of df (which has `text`) plus `fields`, which score(buckets, offsets) gives for whole texts."""
+def scored(df: DataFrame, score: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], bits: int, fields: str, prefixes: tuple[int, ...] = PREFIXES, count: str | None = None) -> DataFrame:
+    """Columns of df (which has `text`) plus `fields`, which score(buckets, offsets) gives for whole texts; `count` names the field of their words."""
     names = [x.split()[0] for x in fields.split(",")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                got = score(*features(part.column("text"), bits, prefixes))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(list(got[k]) if got[k].ndim > 1 else got[k]) for k in names)], [*part.schema.names, *names])
+            for part in slices(batch, "text", 2 << 20 if prefixes else 4 << 20):
+                *found, n = _featured(part.column("text"), bits, prefixes)
+                got = score(*found) | ({count: n} if count else {})
+                yield pa.RecordBatch.from_arrays([*part.columns, *(_column(got[k]) for k in names)], [*part.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
 
+def _column(values: np.ndarray) -> pa.Array:
+    """A column of numbers, or of the rows of a table of them as lists."""
+    if values.ndim == 1:
+        return pa.array(values)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1)))
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of the rows of values over runs; values has one row for every (text, bucket)."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))

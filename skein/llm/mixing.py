@@ -49,8 +49,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
         w = shared.value.reshape(-1, k)
         return {"posterior": _softmax(row_sums(w[bucket].astype(float), offsets))}
 
-    counted = docs.withColumn("n_tokens", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"))
-    return scored(counted, score, BITS, "posterior array<double>", prefixes=())
+    return scored(docs, score, BITS, "n_tokens long, posterior array<double>", prefixes=(), count="n_tokens")
 
 
 def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:

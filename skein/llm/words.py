@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,12 @@ class Words:
         self.joined = out
         self._codes = None
 
+    def lowered(self) -> Words:
+        """The same words with A-Z in lower case."""
+        out = copy(self)
+        out._letters, out.joined, out._codes = _LOWER[self._letters], _LOWER[self.joined], None
+        return out
+
     def encoded(self) -> tuple[np.ndarray, list[bytes]]:
         """(code of every word, the distinct words by code)."""
         if self._codes is None:

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from skein.llm.mixing import _reachable, mix
+from skein.llm.mixing import _reachable, domain_posteriors, mix
 
 
 def _docs(spark, langs):
@@ -39,3 +39,12 @@ def test_stage_keeps_rate_0(spark, monkeypatch, tmp_path):
     docs.selectExpr("doc_id", "1 quality", "0 toxic").write.parquet(f"file://{tmp_path}/labels.parquet")
     monkeypatch.setattr(corpus_pipeline, "mix", lambda d, labelled, targets: d.selectExpr("*", "64L n_tokens", "cast(doc_id as double) rate"))
     assert corpus_pipeline.mixing(spark, docs, f"file://{tmp_path}").count() == 2
+
+
+def test_tokens_without_a_split(spark):
+    """Words are counted where they are scored: no regular expression goes over the texts a second time."""
+    docs = spark.createDataFrame([(1, "One  two\tthree\x0bfour"), (2, None), (3, " \n"), (4, "x y z")], "doc_id long, text string")
+    out = domain_posteriors(docs, docs.where("doc_id < 0").selectExpr("doc_id", "text as domain"), ["de", "en"])
+    assert out.columns == ["doc_id", "text", "n_tokens", "posterior"]
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {1: 4, 2: 0, 3: 0, 4: 2}
+    assert "split(" not in out._jdf.queryExecution().toString()
