@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.words import Words, mixed, rolling, slices
@@ -21,7 +21,7 @@ REFERENCES = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
 COORDINATES = 8
 #: Rows of one key that meet in one tile.
 TILE = 512
-#: Pairs held at once while a tile's rows are linked.
+#: Pairs held at once while a tile's rows are linked, and those that the groups compared at once may have.
 HELD = 1 << 20
 
 _LANES = np.zeros(256, np.uint64)
@@ -189,8 +189,15 @@ def _dealt(dealt: DataFrame, order: str, columns: list[str], solve: Callable[[pa
     keys = ["cut", "key", "t1", "t2"]
     spread = spread.repartition(*keys).sortWithinPartitions(*keys, order)
 
-    def solved(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        return solve(table, group, table.column("side").to_numpy())
+    def solved(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups, which begin at 0 and `new`, some at a time: no more than may have HELD pairs, or one."""
+        starts, ends = np.append(0, new), np.append(new, table.num_rows)
+        most, at = np.cumsum((ends - starts) ** 2), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(most, HELD + (most[at - 1] if at else 0), side="right")))
+            some = table.slice(starts[at], ends[to - 1] - starts[at])
+            yield solve(some, np.repeat(np.arange(to - at), (ends - starts)[at:to]), some.column("side").to_numpy())
+            at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -204,9 +211,9 @@ def _dealt(dealt: DataFrame, order: str, columns: list[str], solve: Callable[[pa
             cut = int(new[-1]) if len(new) else 0
             kept = table.slice(cut).combine_chunks()
             if cut:
-                yield solved(table.slice(0, cut), np.searchsorted(new, np.arange(cut), side="right"))
+                yield from solved(table.slice(0, cut), new[:-1])
         if kept is not None and kept.num_rows:
-            yield solved(kept, np.zeros(kept.num_rows, np.int64))
+            yield from solved(kept, np.zeros(0, np.int64))
 
     return spread.mapInArrow(run, schema)
 
@@ -280,6 +287,10 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
 SEEDS, FIRST_SEEDS, GROUPS = 12, 3, 5
 #: Fingerprints that a dealt row carries; bits that the first of them may differ in, and all of them, for sets under SMALL shingles and others.
 CARRIED, APART, SMALL, ALL_APART = 6, 20, 16, (101, 88)
+#: Cells of a set's sketch, a byte each.
+CELLS = 512
+#: Bits by which two first fingerprints may differ to be linked through the pivot table before all else.
+RADIUS = 4
 
 
 def set_fingerprints(docs: DataFrame, width: int, seeds: int = SEEDS, also: str | None = None) -> DataFrame:
@@ -316,19 +327,55 @@ def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, root: np.ndarray) -
 
 
 def _by_bits(classes: DataFrame, seeds: int) -> DataFrame:
-    """classes (id, component, size, own, fps) dealt by groups of bits: CARRIED fingerprints, cut, key in place of fps."""
-    cuts = [64 * i // GROUPS for i in range(GROUPS + 1)]
-    columns = []
-    for s in range(seeds):
-        carried = F.array(*(F.col("fps")[(s + j) % SEEDS] for j in range(CARRIED)))
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            key = F.shiftrightunsigned(F.col("fps")[s], lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            columns.append(F.struct(carried.alias("fps"), F.lit(s * 64 + lo).alias("cut"), key.alias("key")))
-    return classes.select("id", "size", "own", "component", F.explode(F.array(*columns)).alias("k")).select("id", "size", "own", "component", "k.*")
+    """classes (id, component, size, fps) dealt by groups of bits: cut (64 times the number of the fingerprint, plus the group's first bit), key, and CARRIED fingerprints."""
+    dealt = classes.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(seeds * GROUPS - 1))))
+    seed, lo, hi = f"at div {GROUPS}", f"(64 * (at % {GROUPS})) div {GROUPS}", f"(64 * (at % {GROUPS} + 1)) div {GROUPS}"
+    key = f"shiftrightunsigned(fps[cast({seed} as int)], cast({lo} as int)) & (shiftleft(1L, cast({hi} - {lo} as int)) - 1)"
+    dealt = dealt.select("id", "size", "component", "fps", F.expr(f"cast(64 * ({seed}) + {lo} as int)").alias("cut"), F.expr(key).alias("key"))
+    return dealt.withColumn("fps", _carried())
 
 
-def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFrame | None = None) -> DataFrame:
-    """(src, dst, ca, cb, cut, key): rows of classes (id, component, size, own, fps) that may be similar but are in different components ca, cb.
+def _carried() -> Column:
+    """Of a row (cut, fps) CARRIED fingerprints from that of the cut on."""
+    return F.slice(F.concat("fps", "fps"), F.expr("cast(cut div 64 as int)") + 1, CARRIED)
+
+
+_DEALT = ["size", "component", "fps"]
+
+
+def _near(rows: pa.Table, group: np.ndarray, side: np.ndarray, least: float, inner: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits apart): pairs of rows of a group, of different components, whose sizes and CARRIED fingerprints allow the similarity."""
+    size, fps, label = rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
+    limit = np.where(size < SMALL, *ALL_APART)
+    held = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))]
+    for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a], inner):
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        close = np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART
+        a, b = a[close], b[close]
+        apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int16)
+        close = apart <= limit[a]
+        held.append((a[close].astype(np.int32), b[close].astype(np.int32), apart[close]))
+    return tuple(np.concatenate([x[i] for x in held]) for i in range(3))
+
+
+def _pairs(rows: pa.Table, a: np.ndarray, b: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+    """(src, dst, ca, cb, cut, key): the pairs (a, b) of rows, and a row of nulls with cut and key for each row of full."""
+    ids, label, n, none = rows.column("id").to_numpy(), rows.column("component").to_numpy(), len(a), np.zeros(len(full), np.int64)
+    swap = ids[a] > ids[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    ends = [pa.array(np.concatenate([x, none])) for x in (ids[a], ids[b])]
+    labels = [pa.array(np.concatenate([x, none]), mask=np.arange(n + len(full)) >= n) for x in (label[a], label[b])]
+    cut = np.concatenate([np.zeros(n, np.int32), rows.column("cut").to_numpy()[full].astype(np.int32)])
+    key = np.concatenate([np.zeros(n, np.int64), rows.column("key").to_numpy()[full].astype(np.int64)])
+    return pa.RecordBatch.from_arrays([*ends, *labels, pa.array(cut), pa.array(key)], ["src", "dst", "ca", "cb", "cut", "key"])
+
+
+_PAIRS = "src long, dst long, ca long, cb long, cut int, key long"
+
+
+def candidate_pairs(classes: DataFrame, least: float, seeds: int) -> DataFrame:
+    """(src, dst, ca, cb, cut, key): rows of classes (id, component, size, fps) that may be similar but are in different components ca, cb.
 
     They agree in a group of bits and nearly so in CARRIED fingerprints. Sets of Jaccard similarity 0.8
     differ in 16 % of SimHash bits (19 % where they are small), so each of the seeds * GROUPS groups
@@ -338,76 +385,90 @@ def candidate_pairs(classes: DataFrame, least: float, seeds: int, keys: DataFram
 
     A group with more pairs than rows is dense: it gives a spanning forest of its nearest pairs, over
     components and over what each of two meeting tiles joins by itself, so a group of n rows gives some n
-    pairs, and one row (0, 0, null, null, cut, key) that says so. With `keys` (cut, key) only those groups
-    are compared and give all their pairs but those that cannot be similar: `own` shingles of a set are in
-    no other one, so what two sets share is bounded by what is left of each.
+    pairs, and one row (0, 0, null, null, cut, key) that says so.
+    """
+
+    def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        a, b, apart = _near(rows, group, side, least, True)
+        met = (side[a] != side[b]) | (side[a] == 0)
+        count = np.bincount(group)
+        many = np.bincount(group[a[met]], minlength=len(count)) > count
+        dense = np.flatnonzero(many[group[a]])
+        # rows of one component, and what one tile joins by itself, are joined before pairs are chosen
+        _, root = np.unique(np.stack([group, rows.column("component").to_numpy()]), axis=1, return_inverse=True)
+        first = np.full(root.max() + 1, len(group))
+        np.minimum.at(first, root, np.arange(len(group)))
+        root = first[root]
+        own = dense[~met[dense]]
+        _unite(root, a[own], b[own])
+        other = dense[met[dense]]
+        take = np.concatenate([np.flatnonzero(~many[group[a]] & met), other[_forest(a[other], b[other], apart[other], root)]])
+        return _pairs(rows, a[take], b[take], np.searchsorted(group, np.flatnonzero(many)))
+
+    return _dealt(_by_bits(classes, seeds), "size", _DEALT, solve, _PAIRS)
+
+
+def live_rows(classes: DataFrame, least: float, keys: DataFrame) -> DataFrame:
+    """(id, cut, key): rows of classes in the groups `keys` (cut, key) that have a candidate in another component there."""
+
+    def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        a, b, _ = _near(rows, group, side, least)
+        return pa.RecordBatch.from_struct_array(rows.select(["id", "cut", "key"]).take(np.union1d(a, b)).to_struct_array().combine_chunks())
+
+    dealt = _by_bits(classes, SEEDS).join(keys, ["cut", "key"], "left_semi")
+    return _dealt(dealt, "size", _DEALT, solve, "id long, cut int, key long").distinct()
+
+
+def _sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many hashes of each set, 255 at most, fall in each of CELLS cells: two sets differ in no fewer hashes than their sketches do."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    cells = np.bincount(owner * CELLS + (_seeded(h, 0) % np.uint64(CELLS)).astype(np.int64), minlength=(len(offsets) - 1) * CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def pairs_left(classes: DataFrame, least: float, live: DataFrame) -> DataFrame:
+    """(src, dst, ca, cb, cut, key): all candidates of different components among live rows (id, cut, key) of classes, which have sketches, but those that cannot be similar.
+
+    Sets with a and b hashes of which d are not in both have similarity (a + b - d) / (a + b + d), and d is no less than what their sketches differ by.
     """
-    dealt = _by_bits(classes, seeds)
-    whole = keys is not None
-    if whole:
-        dealt = dealt.join(keys, ["cut", "key"], "left_semi")
 
     def solve(rows: pa.Table, group: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        ids, size, fps, label = rows.column("id").to_numpy(), rows.column("size").to_numpy(), _flat(rows, "fps").view(np.uint64), rows.column("component").to_numpy()
-        limit, rest = np.where(size < SMALL, *ALL_APART), size - rows.column("own").to_numpy()
-        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b in _meetings(group, side, lambda a, b: size[b] * least <= size[a], not whole):
-            a, b = a[label[a] != label[b]], b[label[a] != label[b]]
-            most = np.minimum(rest[a], rest[b])
-            near = (most >= least * (size[a] + size[b] - most)) & (np.bitwise_count(fps[a, 0] ^ fps[b, 0]) <= APART)
-            a, b = a[near], b[near]
-            apart = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1).astype(np.int64)
-            near = apart <= limit[a]
-            held.append((a[near], b[near], apart[near]))
-        a, b, apart = (np.concatenate([x[i] for x in held]) for i in range(3))
-        full = np.zeros(0, np.int64)
-        if not whole:
-            met = (side[a] != side[b]) | (side[a] == 0)
-            count = np.bincount(group)
-            many = np.bincount(group[a[met]], minlength=len(count)) > count
-            dense = np.flatnonzero(many[group[a]])
-            # rows of one component, and what one tile joins by itself, are joined before pairs are chosen
-            _, root = np.unique(np.stack([group, label]), axis=1, return_inverse=True)
-            first = np.full(root.max() + 1, len(group))
-            np.minimum.at(first, root, np.arange(len(group)))
-            root = first[root]
-            own = dense[~met[dense]]
-            _unite(root, a[own], b[own])
-            other = dense[met[dense]]
-            take = np.concatenate([np.flatnonzero(~many[group[a]] & met), other[_forest(a[other], b[other], apart[other], root)]])
-            a, b = a[take], b[take]
-            full = np.searchsorted(group, np.flatnonzero(many))
-        n, none = len(a), np.zeros(len(full), np.int64)
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ends = [pa.array(np.concatenate([x, none])) for x in (ids[a], ids[b])]
-        labels = [pa.array(np.concatenate([x, none]), mask=np.arange(n + len(full)) >= n) for x in (label[a], label[b])]
-        cut = np.concatenate([np.zeros(n, np.int32), rows.column("cut").to_numpy()[full].astype(np.int32)])
-        key = np.concatenate([np.zeros(n, np.int64), rows.column("key").to_numpy()[full].astype(np.int64)])
-        return pa.RecordBatch.from_arrays([*ends, *labels, pa.array(cut), pa.array(key)], ["src", "dst", "ca", "cb", "cut", "key"])
-
-    return _dealt(dealt, "size", ["size", "own", "component", "fps"], solve, "src long, dst long, ca long, cb long, cut int, key long")
+        a, b, _ = _near(rows, group, side, least)
+        size = rows.column("size").to_numpy()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
+        kept = []
+        for at in range(0, len(a), 4096):
+            x, y = a[at : at + 4096], b[at : at + 4096]
+            apart = (np.maximum(sketch[x], sketch[y]) - np.minimum(sketch[x], sketch[y])).sum(axis=1, dtype=np.int64)
+            both = size[x].astype(np.int64) + size[y]
+            kept.append(at + np.flatnonzero(both - apart >= least * (both + apart) - 1e-6))
+        kept = np.concatenate([*kept, np.zeros(0, np.int64)])
+        return _pairs(rows, a[kept], b[kept], np.zeros(0, np.int64))
+
+    dealt = live.join(classes, "id").withColumn("fps", _carried())
+    return _dealt(dealt, "size", [*_DEALT, "sketch"], solve, _PAIRS)
 
 
 def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.8, also: str | None = None) -> DataFrame:
     """Classes of documents linked by Jaccard similarity >= least of their sets of word shingles: doc_id, component_id.
 
     docs: doc_id, text; `also` names a long column that returns with its row; others are ignored. Texts of
-    equal sets are one class; SimHash finds candidate pairs of classes (`candidate_pairs`, made for
-    similarity 0.8 and more) and the sets themselves, as 64-bit hashes, decide. A text of fewer words is
+    equal sets are one class; SimHash finds candidate pairs of classes (`links` by the pivot table, then `candidate_pairs`,
+    made for similarity 0.8 and more) and the sets themselves, as 64-bit hashes, decide. A text of fewer words is
     one shingle. component_id is the smallest doc_id that links reach. Null and blank texts are one class;
     rows with a null doc_id return with null component_id and link nothing; repeated rows return as often
     as they came.
 
-    A cluster of n versions has n^2 / 2 candidate pairs, of which a few a version decide. A first pass over
-    few fingerprints joins clusters by forests of their nearest pairs; a second over all of them looks for
-    pairs between different components, again by forests where groups are dense; a third gives all pairs
-    between components that dense groups still hold, so that no candidate is lost, but for those that have
-    too many shingles of their own to be similar to each other.
+    A cluster of n versions has n^2 / 2 candidate pairs, of which a few a version decide. First come the
+    links of the pivot table, within RADIUS bits of one fingerprint. What one fingerprint tells apart is
+    looked for by more: a pass over few of them joins clusters by forests of their nearest pairs; one over
+    all looks for pairs between different components, again by forests where groups are dense; the last
+    gives all pairs between components that dense groups still hold, so that no candidate is lost, but for
+    those that counts of their shingles in CELLS cells show to differ too much.
     """
     prints, _ = materialize(set_fingerprints(docs, width, also=also), "fps")
     made = prints.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
-    classes, _ = materialize(made.withColumns({"component": F.col("id"), "own": F.lit(0)}), "classes")
+    classes, _ = materialize(made.withColumn("component", F.col("id")), "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,10 +477,16 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), lists], ["id", "shingles"])
 
-    def sets_of(used: DataFrame) -> DataFrame:
-        """(id, shingles) of the classes used (id)."""
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                h, offsets = shingle_sets(part.column("text"), width)
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, offsets)), pa.array([x.tobytes() for x in _sketches(h, offsets)], pa.binary())], ["id", "sketch"])
+
+    def sets_of(used: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = sets, schema: str = "id long, shingles array<long>") -> DataFrame:
+        """(id, shingles) of the classes used (id), or what else is made of their texts."""
         texts = docs.select(F.col("doc_id").cast("long"), "text").join(used.join(classes.select("id", "doc_id"), "id").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-        return materialize(texts.mapInArrow(sets, "id long, shingles array<long>").join(used, "id", "left_semi").dropDuplicates(["id"]), "sets")[0]
+        return materialize(texts.mapInArrow(made, schema).join(used, "id", "left_semi").dropDuplicates(["id"]), "sets")[0]
 
     def joined(pairs: DataFrame) -> None:
         """Verifies pairs (src, dst, ca, cb) by their sets and joins the components of those that are similar."""
@@ -431,20 +498,22 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, least: float = 0.
         to = connected_components(near).select(F.col("id").alias("component"), F.col("component").alias("into")).where("component <> into")
         classes, _ = materialize(classes.join(to, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "classes")
 
-    done = None
+    some = classes.where("id <> 0")
+    near = links(some.select("id", F.slice("fps", 1, 1).alias("fps")), RADIUS).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    pairs, _ = materialize(near.withColumns({"ca": F.col("src"), "cb": F.col("dst")}), "pairs")
+    joined(pairs)
+    done = pairs.select("src", "dst")
     for seeds in (FIRST_SEEDS, SEEDS):
         found, _ = materialize(candidate_pairs(classes.where("id <> 0"), least, seeds), "candidates")
         pairs = found.where("ca is not null").select("src", "dst", "ca", "cb").distinct()
-        pairs, _ = materialize(pairs if done is None else pairs.join(done, ["src", "dst"], "left_anti"), "pairs")
+        pairs, _ = materialize(pairs.join(done, ["src", "dst"], "left_anti"), "pairs")
         joined(pairs)
-        done = pairs.select("src", "dst") if done is None else done.union(pairs.select("src", "dst"))
+        done = done.union(pairs.select("src", "dst"))
     dense = found.where("ca is null").select("cut", "key").distinct()
     if dense.limit(1).count():
-        members, _ = materialize(_by_bits(classes.where("id <> 0"), SEEDS).join(dense, ["cut", "key"], "left_semi").select("id").distinct(), "members")
-        once = sets_of(members).select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1")
-        own = once.groupBy("id").agg(F.count("*").cast("int").alias("alone"))
-        some = classes.join(members, "id", "left_semi").join(own, "id", "left").withColumn("own", F.coalesce("alone", F.lit(0))).drop("alone")
-        rest = candidate_pairs(some, least, SEEDS, dense).select("src", "dst", "ca", "cb").distinct().join(done, ["src", "dst"], "left_anti")
+        live, _ = materialize(live_rows(classes.where("id <> 0"), least, dense), "live")
+        counted = classes.join(sets_of(live.select("id").distinct(), sketches, "id long, sketch binary"), "id")
+        rest = pairs_left(counted, least, live).select("src", "dst", "ca", "cb").distinct().join(done, ["src", "dst"], "left_anti")
         rest, _ = materialize(rest, "pairs")
         joined(rest)
     first = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
