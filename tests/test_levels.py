@@ -33,3 +33,12 @@ def test_trails_do_not_meet_all_nodes(spark, plans, end):
     steps = [plan for name, plan in plans if name == "trails"]
     assert steps and not any("LeftOuter" in plan for plan in steps)
     assert ("left" in {name for name, _ in plans}) == (end is not None)
+
+
+def test_levels_read_edges_in_buckets(spark, plans):
+    n, e = graph(spark)
+    got = P.reach(n.where("id in ('a', 'e')"), e, 5)
+    assert sorted((r.id, r.level, r.parent, r.via) for r in got.collect()) == [("a", 0, None, None), ("b", 1, "a", "ab"), ("c", 1, "a", "ac"), ("d", 2, "c", "cd"), ("e", 0, None, None)]
+    levels = [plan for name, plan in plans if name == "reach"][1:]
+    assert len(levels) == 3 and all("Bucketed: true" in plan and plan.count("Exchange hashpartitioning(src") == 1 for plan in levels)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skein_")]
