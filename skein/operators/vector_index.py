@@ -175,17 +175,29 @@ def reachable(index: VectorIndex, unit: np.ndarray, least: float) -> tuple[np.nd
 
 #: Rows of a cell that meet in one block: a crowded cell is cut into blocks that meet pairwise.
 TILE = 2_000
-#: Parts in which the rows that meet a tile come to it.
+#: Parts in which the rows that meet a tile come to it, at least; more where a part would have over TILE rows.
 PIECES = 8
 
 
+def pieces_of(met: np.ndarray) -> np.ndarray:
+    """In how many parts the rows that meet a tile come, by cell: met rows at most, so a task's rows and pairs do not grow with them."""
+    return np.maximum(PIECES, -(-met // TILE)).astype(np.int32)
+
+
+def _blocks(held: DataFrame, met: DataFrame, pieces: np.ndarray) -> DataFrame:
+    """Rows of (cell, y, piece): a tile's rows in every piece of its cell, those that meet it in one each."""
+    n = F.get(F.lit(pieces.tolist()), F.col("cell"))
+    each = held.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
+    return each.unionByName(met.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), n).cast("int")))
+
+
 def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int = SAMPLE) -> DataFrame:
     """(a, b, similarity), a < b: pairs of vectors (vec_id, embedding) with a cosine of at least `least` (0 or more), exact.
 
     Equal vectors are one class: its other ids are each tied to the least one with similarity 1, and pairs between classes are
     given for these. Rows are dealt by the cell of their nearest centre, and to every later cell whose reach says that it may
     hold one near enough (the angle to its centre is at most the angle asked for and that reach). A cell's rows at home
-    are cut into tiles; what meets a tile comes in PIECES parts, so a crowded cell is many tasks, each with one tile. Rows without a direction pair with none.
+    are cut into tiles; what meets a tile comes in PIECES parts or more, of some TILE rows at most, so a crowded cell is many tasks, each with two tiles' rows. Rows without a direction pair with none.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -235,6 +247,9 @@ def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int =
         a, b, sim = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in ((0, np.int64), (1, np.int64), (2, float)))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sim})
 
-    pieces = held.withColumn("piece", F.explode(F.array(*(F.lit(n) for n in range(PIECES))))).unionByName(met.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PIECES)).cast("int")))
+    counts = np.zeros(len(index.rows), np.int64)
+    for r in placed.groupBy("cell").count().collect():  # a row a cell
+        counts[r["cell"]] = r["count"]
+    pieces = _blocks(held, met, pieces_of(counts))
     pairs = pieces.groupBy("cell", "y", "piece").applyInArrow(solve, "a long, b long, similarity double")
     return pairs.union(ties)
