@@ -37,6 +37,7 @@ class VectorIndex:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])  # squares of very large or small numbers would be no numbers
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
 
 
@@ -191,20 +192,37 @@ def _blocks(held: DataFrame, met: DataFrame, pieces: np.ndarray) -> DataFrame:
     return each.unionByName(met.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), n).cast("int")))
 
 
-def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int = SAMPLE) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of vectors (vec_id, embedding) with a cosine of at least `least` (0 or more), exact.
+#: Ids of one class in a chunk, about: pairs of copies are made chunk by chunk, so a large class is many tasks.
+COPIES = 1_000
+#: Angles to a centre may be wrong by this much: near 0 and pi a cosine's last digit is some 1e-8 of an angle.
+SLACK = 1e-6
+
+
+def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int = SAMPLE, copies: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of vectors (vec_id, a key, and embedding) with a cosine of at least `least` (0 or more), exact.
 
     Equal vectors are one class: its other ids are each tied to the least one with similarity 1, and pairs between classes are
-    given for these. Rows are dealt by the cell of their nearest centre, and to every later cell whose reach says that it may
+    given for these. copies: every pair of ids instead, as many as the square of a class. Rows are dealt by the cell of their nearest centre, and to every later cell whose reach says that it may
     hold one near enough (the angle to its centre is at most the angle asked for and that reach). A cell's rows at home
-    are cut into tiles; what meets a tile comes in PIECES parts or more, of some TILE rows at most, so a crowded cell is many tasks, each with two tiles' rows. Rows without a direction pair with none.
+    are cut into tiles; what meets a tile comes in PIECES parts or more, of some TILE rows at most, so a crowded cell is many tasks, each with two tiles' rows.
+    Vectors of different dimensions pair within each. Rows without a direction pair with none.
     """
+    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row a dimension
+    found = [_near_pairs(vectors.where(F.size("embedding") == r["d"]), least, cells, sample, copies) for r in sizes]
+    out = vectors.sparkSession.createDataFrame([], "a long, b long, similarity double") if not found else found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def _near_pairs(vectors: DataFrame, least: float, cells: int, sample: int, copies: bool) -> DataFrame:
+    """`near_pairs` of vectors of one dimension."""
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    classes = vectors.where("vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    index = build_index(classes.select("vec_id", "embedding"), cells, sample=sample)
+    classes = vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("held"))
+    index = build_index(classes.select("vec_id", "embedding", "held"), cells, sample=sample)
     rows = spark.read.parquet(index.path)
-    centres, reach, asked = index.centres, index.reach, float(np.arccos(np.clip(least, -1, 1))) + 1e-9
+    centres, reach, asked = index.centres, index.reach, float(np.arccos(np.clip(least, -1, 1))) + SLACK
     tiles = np.maximum(1, -(-index.rows // TILE))
     d = centres.shape[1]
 
@@ -218,38 +236,75 @@ def near_pairs(vectors: DataFrame, least: float, cells: int = 64, sample: int =
             near[np.arange(len(home)), home] = True
             of, cell = np.nonzero(near)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[of] == cell), pa.array(tiles[cell], pa.int32()), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["cell", "home", "tiles", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[of] == cell), pa.array(tiles[cell], pa.int32()), *(batch.column(c).take(take) for c in ("vec_id", "held", "embedding"))], ["cell", "home", "tiles", "vec_id", "held", "embedding"])
 
-    placed = rows.select("vec_id", "embedding", "cell").mapInArrow(homes, "cell int, home boolean, tiles int, vec_id long, embedding array<double>") if len(index.rows) and index.rows.sum() else None
-    ties = vectors.where("vec_id is not null").join(rows.select(F.col("vec_id").alias("a"), "embedding"), "embedding").where("vec_id <> a").select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
+    placed = rows.select("vec_id", "held", "embedding", "cell").mapInArrow(homes, "cell int, home boolean, tiles int, vec_id long, held long, embedding array<double>") if len(index.rows) and index.rows.sum() else None
+    chunks = F.ceil(F.col("held") / COPIES).cast("int")
+    members = vectors.join(rows.where("held > 1").select(F.col("vec_id").alias("class"), "held", "embedding"), "embedding")
+    members = members.select("class", "vec_id", chunks.alias("chunks"), F.pmod(F.xxhash64("vec_id"), chunks).cast("int").alias("chunk"))
+    ties = members.where("vec_id <> class").select(F.col("class").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("similarity"))
     if placed is None:
         return ties.limit(0)
     # The rows at home hold one tile; all rows of the cell come to each tile, those of no earlier tile only.
     tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
-    part = lambda df, side, y: df.select("cell", y.alias("y"), tile.alias("x"), F.lit(side).alias("side"), "home", "vec_id", "embedding")
+    part = lambda df, side, y: df.select("cell", y.alias("y"), tile.alias("x"), F.lit(side).alias("side"), "home", "vec_id", "held", "embedding")
     held = part(placed.where("home"), 1, tile)
     met = part(placed, 0, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("not home or x <= y")
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
         left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            x, y = (_unit(_vectors(t.column("embedding").combine_chunks(), d)) for t in (left, right))
+            p, q = (_vectors(t.column("embedding").combine_chunks(), d) for t in (left, right))
+            x, y = _unit(p), _unit(q)
             i, j = (np.asarray(t.column("vec_id")) for t in (left, right))
+            m, n = (np.asarray(t.column("held")) for t in (left, right))
             own, first = np.asarray(left.column("home")), np.asarray(left.column("x"))
             for at in range(0, len(i), TILE):
                 sim = x[at : at + TILE] @ y.T
-                a, b = np.nonzero(sim >= least)
+                a, b = np.nonzero(sim >= least - 1e-9)
                 keep = ~own[at + a] | (first[at + a] < key[1].as_py()) | (i[at + a] < j[b])
                 a, b = a[keep], b[keep]
-                found.append((i[at + a], j[b], sim[a, b]))
-        a, b, sim = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in ((0, np.int64), (1, np.int64), (2, float)))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sim})
+                sim = sim[a, b]
+                _settle(sim, p, q, at + a, b, least)
+                a, b, sim = (v[sim >= least] for v in (a, b, sim))
+                found.append((i[at + a], j[b], sim, m[at + a], n[b]))
+        a, b, sim, m, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, float if k == 2 else np.int64) for k in range(5))
+        back = a > b
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": sim, "na": np.where(back, n, m), "nb": np.where(back, m, n)})
 
     counts = np.zeros(len(index.rows), np.int64)
     for r in placed.groupBy("cell").count().collect():  # a row a cell
         counts[r["cell"]] = r["count"]
     pieces = _blocks(held, met, pieces_of(counts))
-    pairs = pieces.groupBy("cell", "y", "piece").applyInArrow(solve, "a long, b long, similarity double")
-    return pairs.union(ties)
+    pairs = pieces.groupBy("cell", "y", "piece").applyInArrow(solve, "a long, b long, similarity double, na long, nb long")
+    if not copies:
+        return pairs.select("a", "b", "similarity").union(ties)
+    return _with_copies(pairs, members) if members.limit(1).count() else pairs.select("a", "b", "similarity")
+
+
+def _settle(sim: np.ndarray, p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> None:
+    """Where a cosine is too near to `least` to tell, it is put as the plain formula has it, component after component."""
+    close = np.flatnonzero(np.abs(sim - least) < 1e-9)
+    for at in range(0, len(close), 1 << 16):
+        some = close[at : at + (1 << 16)]
+        u, v = p[a[some]], q[b[some]]
+        dot, uu, vv = (np.cumsum(z, axis=1)[:, -1] for z in (u * v, u * u, v * v))
+        fine = (uu > 0) & (vv > 0) & np.isfinite(uu) & np.isfinite(vv)
+        sim[some[fine]] = dot[fine] / (np.sqrt(uu[fine]) * np.sqrt(vv[fine]))
+
+
+def _with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of ids: of pairs (a, b, similarity, na, nb) between classes, and within members (class, vec_id, chunks, chunk) of a class.
+
+    A class meets others a chunk of its ids at a time, so its pairs are dealt over tasks.
+    """
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / COPIES).cast("int") - 1))
+    of = lambda e: members.select(F.col("class").alias(e), F.col("chunk").alias(f"c{e}"), F.col("vec_id").alias(f"i{e}"))
+    met = pairs.withColumn("ca", spread("na")).withColumn("cb", spread("nb")).join(of("a"), ["a", "ca"], "left").join(of("b"), ["b", "cb"], "left")
+    x, y = F.coalesce("ia", "a"), F.coalesce("ib", "b")
+    between = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "similarity")
+    other = members.select("class", F.col("vec_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    within = members.select("class", "chunk", F.col("vec_id").alias("a")).join(other, ["class", "chunk"]).where("a < b")
+    return between.union(within.select("a", "b", F.lit(1.0)))

@@ -123,7 +123,7 @@ _PAIR = "list_dot_product(cast(x.embedding as double[]), cast(y.embedding as dou
 
 @query("V18_near_pairs", f"select x.vec_id a, y.vec_id b, round({_PAIR}, 6) similarity from embeddings x join embeddings y on x.vec_id < y.vec_id where {_PAIR} >= 0.4")
 def _(d):
-    found = I.near_pairs(d.embeddings, 0.4)
+    found = I.near_pairs(d.embeddings, 0.4, copies=True)
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
