@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from skein.operators import patterns as J
+from skein.plans.catalog import queries
 
 
 def test_calls_resolve_by_kind(spark):
@@ -54,6 +55,22 @@ def test_many_links_are_counted(spark):
     assert [r.n for r in J.counted_links(side("p"), side("q"), "key", False).collect()] == [10_000_000_000]
 
 
+def test_crowded_links(spark):
+    """As cross_links where no node is null; links of one key come from many tasks."""
+    rows = lambda m: [(f"p{i % 3}" if i % 11 else None, i % 17, [None, "x", "y", "z"][(i * m) % 4]) for i in range(60)]
+    x, y = (spark.createDataFrame(r, "project string, node long, key string") for r in (rows(3), rows(5) + [("p0", 3, "x")]))
+    want = sorted(map(tuple, J.cross_links(x, y, "key", 0.5).select("key", "from_project", "from_node", "to_project", "to_node", "confidence").collect()))
+    got = J.crowded_links(x, y.union(spark.createDataFrame([("p1", None, "x")], y.schema)), "key", 0.5).select("key", "from_project", "from_node", "to_project", "to_node", "confidence")
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_links_of_one_topic_come_from_many_tasks(spark, tmp_path):
+    spark.range(4000).selectExpr("id user_id", "'view' event_type", "if(id % 4 = 0, 95D, if(id % 4 = 1, 1D, 50D)) value").write.parquet(f"{tmp_path}/events.parquet")
+    tasks = queries()["J24_cross_repo_topics"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == sum(a % 3 != b % 3 for a in range(0, 4000, 4) for b in range(1, 4000, 4))
+    assert len(tasks) >= 4
+
+
 def test_first_matcher_of_requirements(spark):
     """An exact reference hides a term and a similarity, a term a similarity; repeats give one row, the likest counts."""
     made = J.linked_requirements(
