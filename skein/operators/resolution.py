@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from skein.functions.text import bigrams, blocking_name, without_suffix
+from skein.operators.alike import alike, classes_of
 from skein.operators.components import connected_components
 from skein.operators.retrieval import cosine
 from skein.operators.scans import numbered
@@ -168,20 +169,25 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[
 def cross_type_candidates(nodes: DataFrame, evidence: DataFrame, vectors: DataFrame, type_pairs: Sequence[tuple[str, str]], shared: int = 2, least: float = 0.7) -> DataFrame:
     """(a, b, shared, similarity): nodes of paired types with enough evidence in common whose vectors are alike ((cosine + 1) / 2).
 
-    evidence: (id, evidence), vectors: (id, embedding). Pairs come from an equi-join on each node's rarer evidence, not from all that share some.
+    evidence: (id, evidence), vectors: (id, embedding). Nodes with the same evidence are one class; classes come together by their
+    rarer evidence, not by all that they share, and their nodes' vectors a block at a time (`alike`).
     Nodes without a vector are in no pair, so they are left out before any are made: pairs are bounded by the vectors.
     """
-    lists = evidence.where("evidence is not null").join(vectors.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_set("evidence").alias("tokens"))
-    sets = ordered_sets(lists.select(F.lit(0).alias("side"), "id", "tokens")).join(nodes.select("id", "node_type"), "id")
+    lists = evidence.where("evidence is not null").join(vectors.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("evidence")).alias("tokens")).where(F.size("tokens") >= shared)
+    lists, _ = materialize(lists, "evidence")
+    classes = classes_of(lists)
+    sets = ordered_sets(classes.select(F.lit(0).alias("side"), F.col("class").alias("id"), "tokens"))
     # sets that share enough share one of their n - shared + 1 rarest, so what most nodes have brings none together
-    first = sets.select("id", "node_type", "tokens", F.posexplode("tokens").alias("at", "x"), "n").where(F.col("at") <= F.col("n") - shared).withColumn("token", F.col("x.token"))
-    end = lambda e: first.select("token", F.col("id").alias(e), F.col("node_type").alias(f"t{e}"), F.col("tokens").alias(f"s{e}"))
-    wanted = F.concat_ws("|", "ta", "tb").isin(*["|".join(p) for p in type_pairs])
-    met = end("a").join(end("b"), "token").where(wanted).withColumn("common", F.array_intersect("sa", "sb"))
-    found = met.where((F.get("common", F.lit(0))["token"] == F.col("token")) & (F.size("common") >= shared)).select("a", "b", F.size("common").cast("long").alias("shared"))
-    v = lambda end: vectors.select(F.col("id").alias(end), F.col("embedding").alias(f"v{end}"))
-    out = found.join(v("a"), "a").join(v("b"), "b").withColumn("similarity", semantic_similarity(F.col("va"), F.col("vb")))
-    return out.where(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
+    first = sets.select("id", "tokens", F.posexplode("tokens").alias("at", "x"), "n").where(F.col("at") <= F.col("n") - shared).withColumn("token", F.col("x.token"))
+    end = lambda e: first.select("token", F.col("id").alias(e), F.col("tokens").alias(f"s{e}"))
+    met = end("a").join(end("b"), "token").withColumn("common", F.array_intersect("sa", "sb"))
+    meets = met.where((F.get("common", F.lit(0))["token"] == F.col("token")) & (F.size("common") >= shared)).select("a", "b", F.size("common").cast("long").alias("value"))
+    types = sorted({t for p in type_pairs for t in p})
+    kind = F.array_position(F.lit(types), F.col("node_type")).cast("int") - 1
+    rows = lists.join(classes, "tokens").select("id", "class").join(nodes.where(F.col("node_type").isin(types)).select("id", kind.alias("kind")), "id").join(vectors, "id")
+    side = lambda at: rows.where(F.col("kind").isin(sorted({types.index(p[at]) for p in type_pairs})))
+    found = alike(side(0), side(1), meets, 2 * least - 1 - 1e-9, [(types.index(x), types.index(y)) for x, y in type_pairs])
+    return found.select("a", "b", F.col("value").alias("shared"), ((F.col("cosine") + 1) / 2).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def semantic_similarity(a: Column, b: Column) -> Column:

@@ -159,9 +159,10 @@ _COS = "list_cosine_similarity(cast({a} as double[]), cast({b} as double[]))"
     "nodes",
 )
 def _(d):
-    evidence = d.nodes.where("evidence_ids <> '' and node_type in ('Table', 'Service', 'Mapper', 'Controller')").select("id", F.explode(F.split("evidence_ids", ",")).alias("evidence"))
-    vectors = d.nodes.select("id", F.col("k").alias("vec_id")).join(d.embeddings.select("vec_id", "embedding"), "vec_id")
-    return E.cross_type_candidates(d.nodes, evidence, vectors, [("Service", "Table"), ("Service", "Mapper"), ("Mapper", "Table"), ("Controller", "Service"), ("Controller", "Mapper")])
+    nodes = d.nodes.where("node_type in ('Table', 'Service', 'Mapper', 'Controller')")
+    evidence = nodes.where("evidence_ids <> ''").select("id", F.explode(F.split("evidence_ids", ",")).alias("evidence"))
+    vectors = nodes.select("id", F.col("k").alias("vec_id")).join(d.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return E.cross_type_candidates(nodes, evidence, vectors, [("Service", "Table"), ("Service", "Mapper"), ("Mapper", "Table"), ("Controller", "Service"), ("Controller", "Mapper")])
 
 
 @query("E15_semantic_similarity", f"select a.vec_id, ({_COS.format(a='a.embedding', b='b.embedding')} + 1) / 2 similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 7")
