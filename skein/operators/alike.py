@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.similarity import similar_sets
 from skein.storage import materialize, start_of
 
 #: Rows of a class in one tile, about: crowded classes are cut into tiles that meet pairwise.
@@ -81,6 +82,17 @@ def alike(a: DataFrame, b: DataFrame, meets: DataFrame, least: float, kinds: Seq
     return found.join(met.select("meet", "value"), "meet").select("a", "b", "value", "cosine")
 
 
+def alike_sets(a: DataFrame, b: DataFrame, share: float, least: float) -> DataFrame:
+    """(a, b, score, cosine): pairs of sets (id, tokens, embedding) by `similar_sets`' share whose cosine is `least` or more, by `alike`."""
+    tokens = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull()))).alias("tokens")
+    x, y = (materialize(rows.select("id", tokens, "embedding").where("size(tokens) > 0"), "sets")[0] for rows in (a, b))
+    classes = classes_of(x.select("tokens").union(y.select("tokens")))
+    own = lambda rows: classes.join(rows.select("tokens").distinct(), "tokens", "left_semi").select(F.col("class").alias("id"), "tokens")
+    meets = similar_sets(own(x), own(y), share).withColumnRenamed("score", "value")
+    side = lambda rows: rows.join(classes, "tokens").select("class", "id", F.lit(0).alias("kind"), "embedding")
+    return alike(side(x), side(y), meets, least).withColumnRenamed("value", "score")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 

@@ -9,7 +9,8 @@ from skein.operators import scans as S
 from skein.operators import stats as A
 from skein.operators import traverse as P
 from skein.plans.pattern_queries import _REACH
-from skein.operators.similarity import first_similar, similar_sets
+from skein.operators.alike import alike_sets
+from skein.operators.similarity import first_similar
 from skein.plans.registry import query
 from skein.plans.retrieval_queries import _Q, _SIM, _query
 from skein.sources.process import process_log
@@ -49,11 +50,9 @@ _COS = "list_cosine_similarity(cast(v.embedding as double[]), cast(w.embedding a
 def _(d):
     t = d.part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("tokens"), "p_size")
     a, b = t.where("p_size <= 3"), t.where("p_size > 45")
-    # a vector only raises a score: what is among the first three is among them by tokens, or both its ends have vectors
-    known = d.embeddings.select(F.col("vec_id").alias("id"))
-    near = similar_sets(a.join(known, "id", "left_semi"), b.join(known, "id", "left_semi"), 0.25)
-    v = lambda end: d.embeddings.select(F.col("vec_id").alias(end), F.col("embedding").alias(f"v{end}"))
-    raised = near.join(v("a"), "a").join(v("b"), "b").select("a", "b", F.greatest("score", F.coalesce(V.cosine(F.col("va"), F.col("vb")), F.lit(0.0))).alias("score"))
+    # a vector only raises a score: what is among the first three is among them by tokens, or both its ends have vectors of a cosine over 0.6
+    known = lambda rows: rows.select("id", "tokens").join(d.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    raised = alike_sets(known(a), known(b), 0.25, 0.6).select("a", "b", F.greatest("score", "cosine").alias("score"))
     scored = first_similar(a, b, 0.25, 3).union(raised).groupBy("a", "b").agg(F.max("score").alias("score")).where("score > 0.6")
     return J.top_per(scored, "a", 3, F.desc("score"), "b").select("a", "b", F.when(F.col("score") >= 0.8, "CONFIRMED").otherwise("PENDING_CONFIRM").alias("status"))
 

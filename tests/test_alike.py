@@ -7,6 +7,7 @@ import pytest
 
 from skein.operators import alike as A
 from skein.operators import resolution as E
+from skein.plans.catalog import queries
 
 
 def plain(u, v):
@@ -47,3 +48,18 @@ def test_nodes_of_one_evidence_do_not_meet_in_rows(spark):
     want = {(2 * a, 2 * b + 1): 3 if not 2 * a % 3 and not (2 * b + 1) % 3 else 2 for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     got = E.cross_type_candidates(nodes, evidence, vectors, [("A", "B")], least=0.8).collect()
     assert len(want) > 1000 and len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
+
+
+def test_features_of_one_name_do_not_meet_in_rows(spark, tmp_path):
+    """J17_feature_matches over 6 000 features and 6 000 pages that share one of three tokens: 36 million pairs."""
+    n = 12_000
+    x = np.random.default_rng(6).standard_normal((n, 16)).astype(np.float32)
+    spark.range(n).selectExpr("id p_partkey", "if(id % 2 = 0, 'a b c', 'c d e') p_name", "if(id % 2 = 0, 1, 46) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8).write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = set()
+    for a, row in enumerate(u[::2] @ u[1::2].T):
+        best = [b for b in np.argsort(-row, kind="stable")[:3] if row[b] > 0.6]
+        want |= {(2 * a, 2 * int(b) + 1, "CONFIRMED" if row[b] >= 0.8 else "PENDING_CONFIRM") for b in best}
+    got = queries()["J17_feature_matches"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a, r.b, r.status) for r in got} == want
